@@ -1,0 +1 @@
+"""Nothing to stream: runs are batch and on demand, with no watermark, session or state rule."""
