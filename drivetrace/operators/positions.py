@@ -152,8 +152,11 @@ def match_vehicle(positions: DataFrame, vehicle: str) -> DataFrame:
     target = F.lit(vehicle)
     wanted = vehicle_number(target)
     same = F.coalesce(F.col("vehicle_num") == wanted, F.lit(False))
-    found = positions.agg(F.coalesce(F.bool_or(same), F.lit(False)).alias("_found"))
-    return positions.crossJoin(F.broadcast(found)).filter(~F.col("_found") | same).drop("_found")
+    found = positions.agg(
+        F.coalesce(F.bool_or(same), F.lit(False)).alias("_found"), F.lit(0).alias("_one")
+    )
+    joined = positions.withColumn("_one", F.lit(0)).join(found, "_one")
+    return joined.filter(~F.col("_found") | same).drop("_found", "_one")
 
 
 def positions_of_results(*results: DataFrame, keys: Sequence[str]) -> DataFrame:
