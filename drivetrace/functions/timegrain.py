@@ -21,6 +21,12 @@ def grain_us(grain: str | int | float) -> int:
     return GRAIN_US[grain] if isinstance(grain, str) else int(grain * SECOND_US)
 
 
+def whole_div(c: Column, by: int) -> Column:
+    """Integer quotient rounded down, without going through double."""
+    n = F.lit(by).cast("long")
+    return F.call_function("div", c - F.pmod(c, n), n)
+
+
 def micros(ts: str | Column) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     return F.unix_micros(c.cast("timestamp"))

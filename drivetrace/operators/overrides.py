@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from drivetrace.config import LOCAL_TZ, STATE_TOLERANCE_SECONDS
 from drivetrace.functions.numeric import number
 from drivetrace.functions.text import parse_instant
-from drivetrace.functions.timegrain import plus_seconds
+from drivetrace.functions.timegrain import plus_seconds, whole_div
 from drivetrace.operators.asof import asof_nearest
 from drivetrace.operators.states import auto_mask
 
@@ -111,9 +111,9 @@ def epoch_to_instant(
     size = F.abs(v)
 
     aggs = [F.count("*").alias("_rows"), F.count(v).alias("_n")]
-    for n, (name, low, _) in enumerate(limits):
-        high = limits[n + 1][1] if n + 1 < len(limits) else float("inf")
-        here = F.when((size >= low) & (size < high), size)
+    for n, (_, low, _) in enumerate(limits):
+        above = size >= limits[n + 1][1] if n + 1 < len(limits) else F.lit(False)
+        here = F.when((size >= low) & ~above, size)
         aggs += [F.count(here).alias(f"_c{n}"), F.min(here).alias(f"_a{n}"), F.max(here).alias(f"_z{n}")]
     stats = rows.groupBy(*keys).agg(*aggs)
 
@@ -142,7 +142,7 @@ def epoch_to_instant(
     tagged = rows.join(units, list(keys))
     whole = F.col(column).try_cast("long")
     exact_us = (
-        F.when(F.col("time_unit") == "ns", F.floor(whole / F.lit(1000)))
+        F.when(F.col("time_unit") == "ns", whole_div(whole, 1000))
         .when(F.col("time_unit") == "us", whole)
         .when(F.col("time_unit") == "ms", whole * 1000)
         .when(F.col("time_unit") == "s", whole * 1_000_000)

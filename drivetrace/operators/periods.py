@@ -157,12 +157,18 @@ def suggested_split(periods: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def choose_period(
-    files: DataFrame, periods: DataFrame, *, file_key: str = "file", on: Sequence[str] = ()
+    files: DataFrame,
+    periods: DataFrame,
+    *,
+    file_key: str = "file",
+    on: Sequence[str] = (),
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """Per file the period with the largest time overlap, the earlier number winning ties.
 
-    ``files`` holds ``first_ts, last_ts``.  Both sides meet in day buckets, so only ranges that
-    touch the same day are compared.
+    ``files`` holds ``first_ts, last_ts`` per ``file_key`` and ``extra``; ``on`` names columns both
+    sides must share.  Both sides meet in day buckets, so only ranges that touch the same day are
+    compared.
     """
     f = over_buckets(files.withColumn("_to", plus_seconds("last_ts", 1e-6)), "first_ts", "_to")
     p = over_buckets(periods, "start_ts", "end_ts")
@@ -175,7 +181,7 @@ def choose_period(
         .filter(F.col("overlap_s") > 0)
     )
     best = F.min(F.struct((-F.col("overlap_s")).alias("neg"), F.col(PERIOD), F.col("label"))).alias("best")
-    keys = [*on, file_key]
+    keys = [*on, *extra, file_key]
     return candidates.groupBy(*keys).agg(best).select(
         *keys,
         F.col(f"best.{PERIOD}").alias(PERIOD),

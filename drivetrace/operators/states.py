@@ -59,6 +59,17 @@ def detect_auto_value(
     )
 
 
+def auto_of_chunks(
+    states_1s: DataFrame, chunks: DataFrame, keys: Sequence[str] = KEYS, generation: str = GEN_DETECT
+) -> DataFrame:
+    """The automatic value of every chunk that has states, by its states and its start."""
+    on = [c for c in keys if c in chunks.columns]
+    starts = states_1s.select(*keys).distinct().join(
+        chunks.select(*on, F.col("chunk_start").alias("start_ts")), on
+    )
+    return detect_auto_value(states_1s, starts, keys, generation)
+
+
 def auto_mask(state: Column, auto_value: Column) -> Column:
     """Whether a state, given as number or as enum name, means automatic driving; null does not."""
     by_number = number(state) == auto_value
