@@ -7,10 +7,13 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from drivetrace.functions.timegrain import from_local
+_ZONED = r"[T ].*(Z|[+-]\d\d(:?\d\d)?)$"
+_COMPACT = r"^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)"
+_BLANKS = " \t\r\n\f\u000b 　"
 
-_ZONED = r"(Z|[+-]\d{2}(:?\d{2})?)$"
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(.*)$"
+
+def trimmed(c: str | Column) -> Column:
+    return F.trim(F.col(c) if isinstance(c, str) else c, F.lit(_BLANKS))
 
 
 def parse_instant(text: str | Column, naive_tz: str = "UTC") -> Column:
@@ -18,14 +21,15 @@ def parse_instant(text: str | Column, naive_tz: str = "UTC") -> Column:
 
     Text without an offset is wall-clock time in ``naive_tz``.
     """
-    c = F.col(text) if isinstance(text, str) else text
-    t = F.regexp_replace(F.trim(c), r"^(\S+) +", "$1T")
-    t = F.regexp_replace(t, _COMPACT, "$1-$2-$3T$4:$5:$6$7")
-    dated = t.rlike(r"^\d{4}-\d{2}")
-    zoned = F.regexp_extract(t, r"T.*?" + _ZONED, 1) != ""
-    return F.when(dated & zoned, t.try_cast("timestamp")).when(
-        dated, from_local(t.try_cast("timestamp_ntz"), naive_tz)
+    t = trimmed(text)
+    dashed = F.substring(t, 5, 1) == "-"
+    compact = F.regexp_replace(t, _COMPACT, "$1-$2-$3T$4:$5:$6")
+    instant = F.when(dashed, t.try_cast("timestamp")).when(
+        t.rlike(_COMPACT), compact.try_cast("timestamp")
     )
+    if naive_tz == "UTC":
+        return instant
+    return F.when(t.rlike(_ZONED), instant).otherwise(F.to_utc_timestamp(instant, naive_tz))
 
 
 def parse_log_time(text: str | Column, naive_tz: str = "UTC") -> Column:

@@ -22,7 +22,7 @@ def _instant(t: datetime) -> Column:
 def _inline(spark: SparkSession, rows: list[Column], schema: str) -> DataFrame:
     if not rows:
         return spark.createDataFrame([], schema)
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
 
 
 def periods_frame(spark: SparkSession, ranges: Sequence[Range]) -> DataFrame:

@@ -23,25 +23,34 @@ from drivetrace.operators.distance import running_distance
 from drivetrace.operators.quantiles import exact_quantiles
 
 
-def position_track(
-    positions: DataFrame, keys: Sequence[str], *, order: Sequence[str], width_us: int = GRAIN_US["hour"]
-) -> DataFrame:
-    """``keys, ts, lat, lon, cum_dist_km``: one position per instant (the first in ``order``)."""
+def unique_positions(positions: DataFrame, keys: Sequence[str], *, order: Sequence[str]) -> DataFrame:
+    """``keys, ts, lat, lon``: of several positions at one instant the first in ``order``."""
     known = positions.select(
         *keys, "ts", number("lat").alias("lat"), number("lon").alias("lon"), *order
     ).dropna(subset=["ts", "lat", "lon"])
-    first = (
+    return (
         known.groupBy(*keys, "ts")
         .agg(F.min(F.struct(*order, "lat", "lon")).alias("_p"))
         .select(*keys, "ts", "_p.lat", "_p.lon")
     )
-    return running_distance(first, keys, ts="ts", lat="lat", lon="lon", width_us=width_us)
 
 
-def gaps(track: DataFrame, keys: Sequence[str], *, width_us: int = GRAIN_US["hour"]) -> DataFrame:
+def position_track(
+    positions: DataFrame, keys: Sequence[str], *, order: Sequence[str], width_us: int = GRAIN_US["hour"]
+) -> DataFrame:
+    """``keys, ts, lat, lon, cum_dist_km`` along time."""
+    unique = unique_positions(positions, keys, order=order)
+    return running_distance(unique, keys, ts="ts", lat="lat", lon="lon", width_us=width_us)
+
+
+def gaps(positions: DataFrame, keys: Sequence[str], *, width_us: int = GRAIN_US["hour"]) -> DataFrame:
     """``gap_s`` between neighbouring instants, inside time slices and across their edges."""
-    sliced = track.select(*keys, micros("ts").alias("_t")).withColumn(
-        "_slice", floor_micros(F.col("_t"), width_us)
+    known = positions.filter(number("lat").isNotNull() & number("lon").isNotNull())
+    sliced = (
+        known.select(*keys, micros("ts").alias("_t"))
+        .filter(F.col("_t").isNotNull())
+        .distinct()
+        .withColumn("_slice", floor_micros(F.col("_t"), width_us))
     )
     inside = W.partitionBy(*keys, "_slice").orderBy("_t")
     within = sliced.select(*keys, (F.col("_t") - F.lag("_t").over(inside)).alias("_g"))
@@ -53,44 +62,41 @@ def gaps(track: DataFrame, keys: Sequence[str], *, width_us: int = GRAIN_US["hou
     )
 
 
-def gap_tolerance(track: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join tolerance of a position source: 1.5 times its median gap, between 2 and 65 seconds."""
-    median = exact_quantiles(gaps(track, keys), "gap_s", {"median_gap_s": 0.5}, keys)
+def gap_tolerance(positions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join tolerance of a position source: 1.5 times its median gap, between 2 and 65 seconds.
+
+    Keys with a single instant have no gap and are left out; they take the upper limit.
+    """
+    median = exact_quantiles(gaps(positions, keys), "gap_s", {"median_gap_s": 0.5}, keys, width=1.0)
     tolerance = F.least(
         F.lit(POSITION_TOLERANCE_MAX_SECONDS),
         F.greatest(F.lit(POSITION_TOLERANCE_MIN_SECONDS), F.col("median_gap_s") * POSITION_GAP_FACTOR),
     )
-    return (
-        track.select(*keys)
-        .distinct()
-        .join(median, list(keys), "left")
-        .select(
-            *keys,
-            "median_gap_s",
-            F.coalesce(tolerance, F.lit(POSITION_TOLERANCE_MAX_SECONDS)).alias("tolerance_s"),
-        )
-    )
+    return median.select(*keys, "median_gap_s", tolerance.alias("tolerance_s"))
 
 
 def attach_positions(
     rows: DataFrame,
-    track: DataFrame,
+    positions: DataFrame,
     keys: Sequence[str],
     *,
+    order: Sequence[str],
     ts: str = "sec_time",
     tolerance_s: float | None = None,
     slice_s: float = 60.0,
 ) -> DataFrame:
     """Fill latitude, longitude and distance of result rows from the nearest position.
 
-    Without a given tolerance each key uses that of its own track; rows out of tolerance, and rows
+    Without a given tolerance each key uses that of its own source; rows out of tolerance, and rows
     that had a position before, get nulls.  Keys without any position stay as they are.
     """
-    replaced = ["latitude", "longitude", "cum_dist_km"]
+    track = position_track(positions, keys, order=order).withColumnsRenamed(
+        {"cum_dist_km": "_km", "lat": "_lat", "lon": "_lon"}
+    )
     limit = POSITION_TOLERANCE_MAX_SECONDS if tolerance_s is None else tolerance_s
-    joined = asof_nearest(
+    out = asof_nearest(
         rows,
-        track.withColumnsRenamed({"cum_dist_km": "_km", "lat": "_lat", "lon": "_lon"}),
+        track,
         by=keys,
         left_ts=ts,
         tolerance_s=limit,
@@ -98,14 +104,19 @@ def attach_positions(
         right_ts_as="_at",
         slice_s=slice_s,
     )
-    own = gap_tolerance(track, keys).select(*keys, "tolerance_s")
-    allowed = F.col("tolerance_s") if tolerance_s is None else F.lit(float(tolerance_s))
-    near = F.abs(micros(ts) - micros("_at")) <= allowed * 1e6
-    out = joined.join(own, list(keys), "left")
-    for old, new in zip(replaced, ("_lat", "_lon", "_km")):
+    near = F.col("_at").isNotNull()
+    if tolerance_s is None:
+        own = gap_tolerance(positions, keys).select(*keys, "tolerance_s")
+        allowed = F.coalesce("tolerance_s", F.lit(POSITION_TOLERANCE_MAX_SECONDS))
+        out = out.join(own, list(keys), "left")
+        near = near & (F.abs(micros(ts) - micros("_at")) <= allowed * 1e6)
+    known = positions.filter(number("lat").isNotNull() & number("lon").isNotNull() & F.col("ts").isNotNull())
+    has = known.select(*keys).distinct().withColumn("_has", F.lit(True))
+    out = out.join(has, list(keys), "left")
+    for old, new in zip(("latitude", "longitude", "cum_dist_km"), ("_lat", "_lon", "_km")):
         kept = F.col(old) if old in rows.columns else F.lit(None).cast("double")
-        out = out.withColumn(old, F.when(F.col("tolerance_s").isNull(), kept).when(near, F.col(new)))
-    return out.drop("_lat", "_lon", "_km", "_at", "tolerance_s")
+        out = out.withColumn(old, F.when(F.col("_has").isNull(), kept).when(near, F.col(new)))
+    return out.drop("_lat", "_lon", "_km", "_at", "_has", "tolerance_s")
 
 
 def remap_to_positions(

@@ -1,7 +1,7 @@
 """Exact quantiles without gathering a column in one task.
 
-The value range of each key is cut into equal bins and counted; only the bins that hold a wanted
-rank are then counted value by value.  Both counts combine on the map side.
+The values of each key are counted in equal bins; only the bins that hold a wanted rank are then
+counted value by value.  Both counts combine on the map side.
 """
 
 from __future__ import annotations
@@ -16,11 +16,17 @@ BINS = 4096
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = (), bins: int = BINS
+    df: DataFrame,
+    value: str,
+    probs: dict[str, float],
+    keys: Sequence[str] = (),
+    *,
+    width: float | None = None,
 ) -> DataFrame:
     """``keys``, ``n`` and one column per entry of ``probs`` (name to probability).
 
-    Linear interpolation between the two nearest ranks; null values do not count.
+    Linear interpolation between the two nearest ranks; null values do not count.  A caller that
+    knows the scale of its values gives the bin width and saves the pass that finds the extent.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
@@ -30,37 +36,37 @@ def exact_quantiles(
         keys = ["_all"]
         rows = rows.withColumn("_all", F.lit(0))
 
-    extent = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    place = F.least(
-        F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
-    )
-    binned = rows.join(extent.select(*keys, "_lo", "_hi"), keys).select(
-        *keys, "_v", F.when(F.col("_hi") > F.col("_lo"), place).otherwise(0).cast("int").alias("_bin")
-    )
+    if width is not None:
+        place = F.floor(F.col("_v") / F.lit(float(width)))
+        binned = rows.select(*keys, "_v", place.alias("_bin"))
+    else:
+        extent = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        place = F.when(F.col("_hi") > F.col("_lo"), F.floor(share * BINS)).otherwise(0)
+        binned = rows.join(extent, keys).select(*keys, "_v", place.cast("long").alias("_bin"))
 
     def below(counts: DataFrame, part: Sequence[str], order: str) -> DataFrame:
         before = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
         return counts.withColumn("_below", F.coalesce(F.sum("_c").over(before), F.lit(0)))
 
-    bin_counts = below(binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c")), keys, "_bin")
+    bins = below(binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c")), keys, "_bin")
+    bins = bins.withColumn("n", F.sum("_c").over(W.partitionBy(*keys)))
     at = [(F.col("n") - 1) * F.lit(float(p)) for p in probs.values()]
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(h), F.ceil(h)) for h in at])))
-    wanted = extent.select(*keys, F.explode(ranks).alias("_rank"))
-    targets = wanted.join(bin_counts, keys).filter(
-        (F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_c"))
-    ).select(*keys, "_bin", "_rank", F.col("_below").alias("_start"))
-
-    in_target = binned.join(targets.select(*keys, "_bin").distinct(), [*keys, "_bin"], "left_semi")
-    value_counts = below(
-        in_target.groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c")), [*keys, "_bin"], "_v"
+    inside = F.filter(ranks, lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_c")))
+    targets = bins.withColumn("_ranks", inside).filter(F.size("_ranks") > 0).select(
+        *keys, "_bin", "n", "_ranks", F.col("_below").alias("_start")
     )
-    offset = F.col("_rank") - F.col("_start")
-    hits = targets.join(value_counts, [*keys, "_bin"]).filter(
-        (offset >= F.col("_below")) & (offset < F.col("_below") + F.col("_c"))
+
+    counted = (
+        binned.join(targets, [*keys, "_bin"])
+        .groupBy(*keys, "_bin", "_v")
+        .agg(F.count("*").alias("_c"), F.min("n").alias("n"), F.min("_ranks").alias("_ranks"), F.min("_start").alias("_start"))
+    )
+    first = F.col("_start") + F.col("_below")
+    hits = below(counted, [*keys, "_bin"], "_v").select(
+        *keys, "n", "_v", F.explode(F.filter("_ranks", lambda r: (r >= first) & (r < first + F.col("_c")))).alias("_rank")
     )
-    found = hits.join(extent.select(*keys, "n"), keys)
 
     def at_rank(rank):
         return F.max(F.when(F.col("_rank") == rank, F.col("_v")))
@@ -68,13 +74,13 @@ def exact_quantiles(
     aggs = []
     for name, h in zip(probs, at):
         low, high = at_rank(F.floor(h)), at_rank(F.ceil(h))
-        share = F.max(h - F.floor(h))
-        aggs.append((low + (high - low) * share).alias(name))
-    out = found.groupBy(*keys, "n").agg(*aggs)
-    return out.drop("_all")
+        aggs.append((low + (high - low) * F.max(h - F.floor(h))).alias(name))
+    return hits.groupBy(*keys, "n").agg(*aggs).drop("_all")
 
 
-def describe(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+def describe(
+    df: DataFrame, value: str, keys: Sequence[str] = (), *, width: float | None = None
+) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum of a column."""
     v = F.col(value)
     keys = list(keys)
@@ -82,7 +88,7 @@ def describe(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     moments = known.groupBy(*keys).agg(
         F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
     )
-    quartiles = exact_quantiles(known, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, keys)
+    quartiles = exact_quantiles(known, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, keys, width=width)
     columns = ["n", "mean", "std", "min", "p25", "p50", "p75", "max"]
     if keys:
         return moments.join(quartiles, keys).select(*keys, *columns)

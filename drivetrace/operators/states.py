@@ -45,18 +45,8 @@ def detect_auto_value(
 
     An explicit generation decides; else a state of 5 or more proves the new enum; else the date.
     """
-    if generation in (GEN_NEW, GEN_OLD):
-        fixed = AUTO_VALUE_NEW if generation == GEN_NEW else AUTO_VALUE_OLD
-        return starts.select(
-            *keys, F.lit(fixed).alias("auto_value"), F.lit("explicit").alias("basis")
-        )
     top = states.groupBy(*keys).agg(F.max(number("system_state")).alias("_top"))
-    seen = F.col("_top") >= len(STATES_OLD)
-    return starts.join(top, list(keys), "left").select(
-        *keys,
-        F.when(seen, F.lit(AUTO_VALUE_NEW)).otherwise(value_by_date("start_ts")).alias("auto_value"),
-        F.when(seen, F.lit("state")).otherwise(F.lit("date")).alias("basis"),
-    )
+    return _decide(starts.join(top, list(keys), "left"), keys, generation)
 
 
 def auto_of_chunks(
@@ -64,10 +54,21 @@ def auto_of_chunks(
 ) -> DataFrame:
     """The automatic value of every chunk that has states, by its states and its start."""
     on = [c for c in keys if c in chunks.columns]
-    starts = states_1s.select(*keys).distinct().join(
-        chunks.select(*on, F.col("chunk_start").alias("start_ts")), on
+    top = states_1s.groupBy(*keys).agg(F.max(number("system_state")).alias("_top"))
+    starts = chunks.select(*on, F.col("chunk_start").alias("start_ts"))
+    return _decide(top.join(starts, on), keys, generation)
+
+
+def _decide(tops: DataFrame, keys: Sequence[str], generation: str) -> DataFrame:
+    if generation in (GEN_NEW, GEN_OLD):
+        fixed = AUTO_VALUE_NEW if generation == GEN_NEW else AUTO_VALUE_OLD
+        return tops.select(*keys, F.lit(fixed).alias("auto_value"), F.lit("explicit").alias("basis"))
+    seen = F.coalesce(F.col("_top") >= len(STATES_OLD), F.lit(False))
+    return tops.select(
+        *keys,
+        F.when(seen, F.lit(AUTO_VALUE_NEW)).otherwise(value_by_date("start_ts")).alias("auto_value"),
+        F.when(seen, F.lit("state")).otherwise(F.lit("date")).alias("basis"),
     )
-    return detect_auto_value(states_1s, starts, keys, generation)
 
 
 def auto_mask(state: Column, auto_value: Column) -> Column:
@@ -97,7 +98,7 @@ def state_names(spark: SparkSession) -> DataFrame:
         for auto, names in ((AUTO_VALUE_NEW, STATES_NEW), (AUTO_VALUE_OLD, STATES_OLD))
         for n, name in enumerate(names)
     ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
 
 
 def label_states(df: DataFrame) -> DataFrame:

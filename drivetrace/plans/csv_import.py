@@ -174,14 +174,15 @@ def override_results(
     threshold: float = 0.0,
     width: float = HIST_BASE_BIN,
     grain: Grain = Grain(),
-    track: DataFrame | None = None,
+    positions: DataFrame | None = None,
+    position_order: Sequence[str] = ("ts",),
     tolerance_s: float | None = None,
     tie: Sequence[str] = ("ts",),
 ) -> dict[str, DataFrame]:
     """Replacement frames of one target: ``points`` and, where the target has one, ``hist``.
 
     Targets are ``metric``, ``hist``, ``custom_metric`` and ``custom_timeseries``.  Here a time
-    series gets a histogram too.  Points take their position from ``track``.
+    series gets a histogram too.  Points take their position from ``positions``.
     """
     out = {}
     if target in ("hist", "custom_metric", "custom_timeseries"):
@@ -192,8 +193,10 @@ def override_results(
         out["points"] = csv_timeseries(rows, value, keys)
     if not out:
         raise ValueError(f"unknown override target: {target}")
-    if track is not None and "points" in out:
-        out["points"] = attach_positions(out["points"], track, keys, tolerance_s=tolerance_s)
+    if positions is not None and "points" in out:
+        out["points"] = attach_positions(
+            out["points"], positions, keys, order=position_order, tolerance_s=tolerance_s
+        )
     return out
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from drivetrace.operators.asof import match_sweep
 from drivetrace.operators.compare import backend_difference
 from drivetrace.operators.overrides import mask_by_state
-from drivetrace.operators.positions import attach_positions, position_track, remap_to_positions
+from drivetrace.operators.positions import attach_positions, remap_to_positions
 from drivetrace.operators.quantiles import describe
 from drivetrace.plans.run import metric
 from drivetrace.plans.signals import merge_signals
@@ -21,7 +21,7 @@ from drivetrace.registry.base import (
     tagged,
     telemetry,
 )
-from drivetrace.registry.distance import _TRACK_SQL, positions
+from drivetrace.registry.distance import _TRACK_SQL
 from drivetrace.registry.metrics import SPEC
 
 TOL_US = int(TOLERANCE_S * 1e6)
@@ -142,7 +142,7 @@ def asof_match_sweep(spark, sf):
 )
 def asof_gap_describe(spark, sf):
     """Count, mean, deviation, extremes and quartiles of the time differences."""
-    return describe(_paired(spark, sf), "time_diff_s_q3", ["vehicle_id"])
+    return describe(_paired(spark, sf), "time_diff_s_q3", ["vehicle_id"], width=1.0)
 
 
 @query(
@@ -163,9 +163,12 @@ def asof_positions(spark, sf):
     rows = metric(run_of(spark, sf), SPEC).select(
         "vehicle_id", "period_id", "chunk_idx", "win", "sec_time", "latitude", "longitude", "cum_dist_km"
     )
-    log = positions(spark, sf).join(of_kind(spark, sf, "signup", []).select("event_id"), "event_id", "left_semi")
-    track = position_track(log, ["vehicle_id"], order=["event_id"])
-    return attach_positions(rows, track, ["vehicle_id"], tolerance_s=TOLERANCE_S, slice_s=SLICE_S)
+    log = of_kind(spark, sf, "signup", ["latitude", "longitude"]).withColumnsRenamed(
+        {"latitude": "lat", "longitude": "lon"}
+    )
+    return attach_positions(
+        rows, log, ["vehicle_id"], order=["event_id"], tolerance_s=TOLERANCE_S, slice_s=SLICE_S
+    )
 
 
 @query(

@@ -81,9 +81,9 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.alias("state_name"),
         (F.col("value") - 50.0).alias("signal_a"),
         (((F.col("event_id") * 37) % 401 - 200) / F.lit(50.0)).alias("signal_b"),
-        (F.lit(35.0) + (F.col("event_id") % 997) * F.lit(0.0001)).alias("latitude"),
-        (F.lit(139.0) + k * F.lit(0.0001)).alias("longitude"),
-        (k * F.lit(0.3)).alias("speed_mps"),
+        (F.lit(35.0) + (F.col("event_id") % 997) / F.lit(9973.0)).alias("latitude"),
+        (F.lit(139.0) + k / F.lit(9973.0)).alias("longitude"),
+        (k / F.lit(3.7)).alias("speed_mps"),
         (k / F.lit(10.0)).alias("kp"),
         state.alias("system_state"),
     )
@@ -187,9 +187,9 @@ tel AS (
   SELECT event_id, user_id % 5 AS vehicle_id, ts, event_type AS state_name,
     value - CAST(50 AS DOUBLE) AS signal_a,
     CAST((event_id * 37) % 401 - 200 AS DOUBLE) / CAST(50 AS DOUBLE) AS signal_b,
-    CAST(35 AS DOUBLE) + (event_id % 997) * CAST(0.0001 AS DOUBLE) AS latitude,
-    CAST(139 AS DOUBLE) + k * CAST(0.0001 AS DOUBLE) AS longitude,
-    k * CAST(0.3 AS DOUBLE) AS speed_mps, k / CAST(10 AS DOUBLE) AS kp,
+    CAST(35 AS DOUBLE) + (event_id % 997) / CAST(9973 AS DOUBLE) AS latitude,
+    CAST(139 AS DOUBLE) + k / CAST(9973 AS DOUBLE) AS longitude,
+    k / CAST(3.7 AS DOUBLE) AS speed_mps, k / CAST(10 AS DOUBLE) AS kp,
     CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'error' THEN 3
       ELSE CASE WHEN (user_id % 5) % 2 = 0 THEN 16 ELSE 4 END END AS system_state
   FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events))""",

@@ -93,5 +93,4 @@ def position_cumdist(spark, sf):
     ),
 )
 def position_gap_tolerance(spark, sf):
-    track = position_track(positions(spark, sf), ["vehicle_id"], order=["event_id"])
-    return gap_tolerance(track, ["vehicle_id"])
+    return gap_tolerance(positions(spark, sf), ["vehicle_id"])

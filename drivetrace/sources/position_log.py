@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from drivetrace.functions.numeric import number
 from drivetrace.functions.text import parse_log_time, vehicle_number
 
-_FIELDS = "lat string, lon string, speed string, `truck-id` string, datetime string"
+_MESSAGES = "array<struct<lat string, lon string, speed string, `truck-id` string, datetime string>>"
 _OPTIONS = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
 
 
@@ -26,23 +26,25 @@ def read_position_log(
 def parse_position_lines(lines: DataFrame, naive_tz: str = "UTC", keep: Sequence[str] = ()) -> DataFrame:
     """``ts, lat, lon, speed, truck_id, vehicle_num`` of the lines that are positions.
 
-    Python's ``None``, ``True`` and ``False`` are rewritten to JSON before parsing.
+    Lines without both coordinate names are left out before parsing.  Python's ``None``, ``True``
+    and ``False`` are rewritten to JSON.  A line that cannot be parsed gives no row.
     """
-    body = F.regexp_extract("value", r"^.*?: (.*)$", 1)
+    line = F.col("value")
+    body = F.regexp_extract(line, r"^.*?: (.*)$", 1)
     before, after = r"(?<=[:,\[]\s?)", r"(?=\s*[,}\]])"
     for word, json in (("None", "null"), ("True", "true"), ("False", "false")):
-        body = F.regexp_replace(body, before + word + after, json)
-    message = F.from_json(body, _FIELDS, _OPTIONS)
+        body = F.when(line.contains(word), F.regexp_replace(body, before + word + after, json)).otherwise(body)
     return (
-        lines.select(*keep, message.alias("m"))
+        lines.filter(line.contains("lat") & line.contains("lon"))
+        .select(*keep, F.inline(F.from_json(body, _MESSAGES, _OPTIONS)))
         .select(
             *keep,
-            parse_log_time("m.datetime", naive_tz).alias("ts"),
-            number("m.lat").alias("lat"),
-            number("m.lon").alias("lon"),
-            number("m.speed").alias("speed"),
-            F.col("m.`truck-id`").alias("truck_id"),
-            vehicle_number("m.`truck-id`").alias("vehicle_num"),
+            parse_log_time("datetime", naive_tz).alias("ts"),
+            number("lat").alias("lat"),
+            number("lon").alias("lon"),
+            number("speed").alias("speed"),
+            F.col("truck-id").alias("truck_id"),
+            vehicle_number("truck-id").alias("vehicle_num"),
         )
         .dropna(subset=["ts", "lat", "lon"])
     )

@@ -7,15 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drivetrace.functions.text import parse_instant
-
-
-def _trimmed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"^\s+|\s+$", ""))
+from drivetrace.functions.text import parse_instant, trimmed
 
 
 def _parts(text: Column, separator: str, limit: int = -1) -> Column:
-    pieces = F.transform(F.split(text, separator, limit), _trimmed)
+    pieces = F.transform(F.split(text, separator, limit), trimmed)
     return F.filter(pieces, lambda p: p != "") if limit < 0 else pieces
 
 
@@ -39,7 +35,7 @@ def parse_periods(
 
     A label follows a comma and may hold a slash.  Blank lines are skipped.
     """
-    rows = lines.select(*keep, _trimmed(F.col(column)).alias("_line")).filter("_line <> ''")
+    rows = lines.select(*keep, trimmed(F.col(column)).alias("_line")).filter("_line <> ''")
     rows = rows.withColumn("_c", _parts(F.col("_line"), "[,，]"))
     rows = rows.withColumn("_s", _parts(F.get("_c", 0), "/"))
     count, slash = F.size("_c"), F.size("_s") == 2
@@ -59,7 +55,7 @@ def parse_excludes(
     lines: DataFrame, naive_tz: str = "Asia/Tokyo", keep: Sequence[str] = (), column: str = "value"
 ) -> DataFrame:
     """Two times apart by comma, slash, `` - `` or blank; ``#`` starts a comment line."""
-    rows = lines.select(*keep, _trimmed(F.col(column)).alias("_line")).filter(
+    rows = lines.select(*keep, trimmed(F.col(column)).alias("_line")).filter(
         "_line <> '' and not startswith(_line, '#')"
     )
     line = F.col("_line")
