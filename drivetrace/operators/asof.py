@@ -3,8 +3,8 @@
 Rows on both sides are reduced to one narrow row per key and instant, so copies of one instant
 never pile up.  Time is cut into slices that bound what one window holds; inside a slice the last
 right row before and the first right row after each instant come from two running windows, and the
-nearest right rows outside the slice come from a summary with one row per slice.  The slice width
-therefore does not depend on the tolerance.  Wide left rows are shuffled once, for the final join,
+nearest right rows outside the slice are copied into it from a summary with one row per slice.  The
+slice width therefore does not depend on the tolerance.  Wide left rows are shuffled once, for the final join,
 where AQE can split a hot instant.
 """
 
@@ -45,56 +45,60 @@ def asof_nearest(
     payload = F.struct(F.col("_t").alias("t"), *[F.col(c) for c in columns])
     rank = F.struct(*[F.col(c) for c in (order or columns)])
 
+    # One row per key and instant on either side, combined on the map side.
+    at_one = F.struct(rank.alias("o"), payload.alias("p"))
     r = (
-        right.filter(F.col(right_ts).isNotNull())
-        .select(*by, micros(right_ts).alias("_t"), *{*columns, *order} - {*by})
-        .select(*by, "_t", payload.alias("_p"), rank.alias("_o"), F.lit(False).alias("_is_left"))
+        right.select(*by, micros(right_ts).alias("_t"), *dict.fromkeys([*columns, *order]))
+        .dropna(subset=[*by, "_t"])
+        .groupBy(*by, "_t")
+        .agg(F.min(at_one).alias("_first"), F.max(at_one).alias("_last"))
+        .select(*by, "_t", F.col("_first.p").alias("_first"), F.col("_last.p").alias("_last"), F.lit(False).alias("_is_left"))
     )
-    no_right = [F.lit(None).cast(r.schema[c].dataType).alias(c) for c in ("_p", "_o")]
     wide = left.withColumn("_t", micros(left_ts))
-    l = wide.filter(F.col("_t").isNotNull()).select(*by, "_t", *no_right, F.lit(True).alias("_is_left"))
-
-    # One row per key and instant, combined on the map side.
-    have = F.col("_p").isNotNull()
-    instants = (
-        l.unionByName(r)
-        .withColumn("_s", floor_micros(F.col("_t"), width))
-        .groupBy(*by, "_s", "_t")
-        .agg(
-            F.min(F.when(have, F.struct("_o", "_p"))).alias("_first"),
-            F.max(F.when(have, F.struct("_o", "_p"))).alias("_last"),
-            F.max("_is_left").alias("_is_left"),
-        )
-        .select(*by, "_s", "_t", F.col("_first._p").alias("_first"), F.col("_last._p").alias("_last"), "_is_left")
-    )
-    part = W.partitionBy(*by, "_s")
-    until_now = (W.unboundedPreceding, 0)
-    inner = instants.withColumn(
-        "_back", F.last("_last", ignorenulls=True).over(part.orderBy("_t").rowsBetween(*until_now))
-    ).withColumn(
-        "_ahead", F.last("_first", ignorenulls=True).over(part.orderBy(F.desc("_t")).rowsBetween(*until_now))
+    none = F.lit(None).cast(r.schema["_first"].dataType)
+    l = (
+        wide.select(*by, "_t")
+        .dropna(subset=[*by, "_t"])
+        .distinct()
+        .select(*by, "_t", none.alias("_first"), none.alias("_last"), F.lit(True).alias("_is_left"))
     )
+    instants = l.unionByName(r).withColumn("_s", floor_micros(F.col("_t"), width))
 
-    # Slices: where the neighbours of a slice's outermost instants lie.
+    # Every slice with left rows gets copies of the nearest right rows before and after it.
+    known = F.col("_last").isNotNull()
     ends = instants.groupBy(*by, "_s").agg(
-        F.max(F.when(F.col("_last").isNotNull(), F.struct("_t", "_last"))).alias("_e"),
-        F.min(F.when(F.col("_first").isNotNull(), F.struct("_t", "_first"))).alias("_b"),
+        F.max(F.when(known, F.struct("_t", "_last"))).alias("_e"),
+        F.min(F.when(known, F.struct("_t", "_first"))).alias("_b"),
+        F.max("_is_left").alias("_used"),
     )
     slices = W.partitionBy(*by)
     earlier = (W.unboundedPreceding, -1)
-    carried = ends.select(
-        *by,
-        "_s",
-        F.last("_e._last", ignorenulls=True).over(slices.orderBy("_s").rowsBetween(*earlier)).alias("_prev"),
-        F.last("_b._first", ignorenulls=True).over(slices.orderBy(F.desc("_s")).rowsBetween(*earlier)).alias("_next"),
+    before = slices.orderBy("_s").rowsBetween(*earlier)
+    after = slices.orderBy(F.desc("_s")).rowsBetween(*earlier)
+    outside = F.array(
+        F.last("_e._last", ignorenulls=True).over(before), F.last("_b._first", ignorenulls=True).over(after)
+    )
+    copies = (
+        ends.select(*by, "_s", "_used", outside.alias("_outside"))
+        .filter("_used")
+        .select(*by, "_s", F.explode("_outside").alias("_p"))
+        .filter(F.col("_p").isNotNull())
+        .select(*by, "_s", F.col("_p.t").alias("_t"), F.col("_p").alias("_first"), F.col("_p").alias("_last"), F.lit(False).alias("_is_left"))
     )
 
-    back, ahead = F.coalesce("_back", "_prev"), F.coalesce("_ahead", "_next")
+    # Inside a slice; at one instant the right row comes before the left one either way.
+    part = W.partitionBy(*by, "_s")
+    until_now = (W.unboundedPreceding, 0)
+    forward = part.orderBy("_t", "_is_left").rowsBetween(*until_now)
+    backward = part.orderBy(F.desc("_t"), "_is_left").rowsBetween(*until_now)
+    back, ahead = F.col("_back"), F.col("_ahead")
     gap_back, gap_ahead = F.col("_t") - back["t"], ahead["t"] - F.col("_t")
     take_back = gap_back.isNotNull() & (gap_ahead.isNull() | (gap_back <= gap_ahead))
     nearest = (
-        inner.filter("_is_left")
-        .join(carried, [*by, "_s"])
+        instants.unionByName(copies)
+        .withColumn("_back", F.last("_last", ignorenulls=True).over(forward))
+        .withColumn("_ahead", F.last("_first", ignorenulls=True).over(backward))
+        .filter("_is_left")
         .withColumn("_m", F.when(take_back, back).otherwise(ahead))
         .filter(F.abs(F.col("_t") - F.col("_m.t")) <= tolerance)
         .select(*by, "_t", "_m")

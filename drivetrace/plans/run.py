@@ -5,8 +5,8 @@ Each result is one plan over the whole fleet; vehicle, period and chunk are colu
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -33,23 +33,39 @@ class Run:
     tables: Tables
     span: tuple[datetime, datetime] | None
     tie: tuple[str, ...]
+    _built: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def _once(self, name, build: Callable[[], DataFrame]) -> DataFrame:
+        """Each shared plan is built once, so that Spark sees equal parts as equal and reuses them."""
+        if name not in self._built:
+            self._built[name] = build()
+        return self._built[name]
 
     def rows(self, role: str) -> DataFrame:
         """A table's rows inside the chunks and outside the exclusions."""
-        return select_rows(self.tables.role(role), self.chunks, self.excludes, span=self.span)
+        table = self.tables.role(role)
+        return self._once(
+            ("rows", id(table)), lambda: select_rows(table, self.chunks, self.excludes, span=self.span)
+        )
 
     def states(self) -> DataFrame:
-        return state_per_second(self.rows("state"), fine=self.spec.grain.fine)
+        fine = self.spec.grain.fine
+        return self._once("states", lambda: state_per_second(self.rows("state"), fine=fine))
 
     def auto(self) -> DataFrame:
-        return auto_of_chunks(self.states(), self.chunks, generation=self.spec.generation)
+        generation = self.spec.generation
+        return self._once("auto", lambda: auto_of_chunks(self.states(), self.chunks, generation=generation))
 
     def driven(self) -> DataFrame:
-        return auto_seconds(self.states(), self.auto())
+        return self._once("driven", lambda: auto_seconds(self.states(), self.auto()))
 
     def distance(self) -> DataFrame:
-        return cumulative_distance(
-            self.spec.distance, self.rows("control"), self.rows("speed"), fine=self.spec.grain.fine
+        spec = self.spec
+        return self._once(
+            "distance",
+            lambda: cumulative_distance(
+                spec.distance, self.rows("control"), self.rows("speed"), fine=spec.grain.fine
+            ),
         )
 
 
@@ -92,16 +108,16 @@ def hist(run: Run, column: str, width: float, *, scale: float = 1.0, offset: flo
     return with_ratios(counted)
 
 
-def custom(run: Run, field: CustomField) -> DataFrame:
+def custom(run: Run, cf: CustomField) -> DataFrame:
     """Worst sample per window, or mean time series, of any table and column."""
-    rows = run.rows(field.table)
+    rows = run.rows(cf.table)
     position = has_position(rows)
-    if field.mode == "timeseries":
+    if cf.mode == "timeseries":
         return mean_per_second(
             rows,
-            number(field.column),
-            scale=field.scale,
-            offset=field.offset,
+            number(cf.column),
+            scale=cf.scale,
+            offset=cf.offset,
             fine=run.spec.grain.fine,
             with_position=position,
             distance=run.distance(),
@@ -109,9 +125,9 @@ def custom(run: Run, field: CustomField) -> DataFrame:
     return worst_per_window(
         rows,
         run.driven(),
-        linear(number(field.column), field.scale, field.offset),
+        linear(number(cf.column), cf.scale, cf.offset),
         "value",
-        field.threshold,
+        cf.threshold,
         distance=run.distance(),
         grain=run.spec.grain,
         carry=("latitude", "longitude") if position else (),
@@ -119,9 +135,9 @@ def custom(run: Run, field: CustomField) -> DataFrame:
     )
 
 
-def custom_hist(run: Run, field: CustomField) -> DataFrame:
+def custom_hist(run: Run, cf: CustomField) -> DataFrame:
     return hist(
-        run, field.column, field.hist_bin, scale=field.scale, offset=field.offset, role=field.table
+        run, cf.column, cf.hist_bin, scale=cf.scale, offset=cf.offset, role=cf.table
     )
 
 

@@ -15,7 +15,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: str = "8", app: str = "drivetrace", memory: str = "8g") -> SparkSession:
-    """A single-machine session for tests and the bench."""
+    """A single-machine session for tests and the bench.
+
+    Call sites of column expressions are not recorded: plans here hold hundreds of them, and each
+    costs several round trips while a plan is built.
+    """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -25,6 +29,7 @@ def local_session(cores: str = "8", app: str = "drivetrace", memory: str = "8g")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
