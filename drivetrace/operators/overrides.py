@@ -144,10 +144,13 @@ def epoch_to_instant(
     exact_us = (
         F.when(F.col("time_unit") == "ns", whole_div(whole, 1000))
         .when(F.col("time_unit") == "us", whole)
-        .when(F.col("time_unit") == "ms", whole * 1000)
-        .when(F.col("time_unit") == "s", whole * 1_000_000)
+        .when(F.col("time_unit") == "ms", F.try_multiply(whole, F.lit(1000)))
+        .when(F.col("time_unit") == "s", F.try_multiply(whole, F.lit(1_000_000)))
     )
-    as_number = F.timestamp_micros(F.coalesce(exact_us, F.floor(v * F.col("_us"))).cast("long"))
+    # Instants that epoch nanoseconds cannot hold are unreadable.
+    in_reach = F.abs(v * F.col("_us")) < 9.2e15
+    rounded = F.when(in_reach, F.floor(v * F.col("_us")).cast("long"))
+    as_number = F.when(in_reach, F.timestamp_micros(F.coalesce(exact_us, rounded)))
     text = parse_instant(F.col(column).cast("string"), naive_tz)
     return tagged.withColumn(out, F.when(F.col("time_unit") == "text", text).otherwise(as_number)).drop("_us")
 

@@ -19,9 +19,10 @@ def leg_instant(c: str | Column) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     n = number(c)
     seconds = F.when(n >= 1e12, n / 1000.0).otherwise(n)
-    return F.when(n.isNotNull(), F.timestamp_micros(F.round(seconds * 1e6).cast("long"))).otherwise(
-        parse_instant(c.cast("string"), "UTC")
-    )
+    # First and last second that a calendar date can express.
+    dated = (seconds >= -62_135_596_800) & (seconds < 253_402_300_800)
+    as_number = F.when(dated, F.timestamp_micros(F.round(seconds * 1e6).cast("long")))
+    return F.when(n.isNotNull(), as_number).otherwise(parse_instant(c.cast("string"), "UTC"))
 
 
 def clean_legs(raw: DataFrame) -> DataFrame:
