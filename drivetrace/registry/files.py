@@ -9,7 +9,7 @@ from drivetrace.operators.overrides import epoch_to_instant
 from drivetrace.operators.positions import match_vehicle
 from drivetrace.registry.base import oracle, query, telemetry
 from drivetrace.session import scratch_path
-from drivetrace.sources.position_log import parse_position_lines, read_position_log
+from drivetrace.sources.position_log import read_position_log
 from drivetrace.sources.topic_csv import read_topic_csv, read_value_csv, state_rows
 
 
@@ -105,7 +105,7 @@ def csv_value_scan(spark, sf):
     """Generic files, one folder per vehicle: time first, then values of which some are no numbers."""
     path = scratch_path(spark, "values")
     no_value = F.when(F.col("state_name") == "view", F.lit("-")).otherwise(F.col("signal_b").cast("string"))
-    telemetry(spark, sf).repartition("vehicle_id").select(
+    telemetry(spark, sf).select(
         _timed_text(), "signal_a", no_value.alias("signal_b"), "event_id", F.col("vehicle_id").alias("vehicle")
     ).withColumn("v", F.col("vehicle")).write.partitionBy("v").option("header", True).csv(path)
     rows = read_value_csv(spark, path)
@@ -151,10 +151,16 @@ def _log_lines(spark, sf):
         .otherwise(message(field("lat", lat), field("lon", lon), field("speed", F.lit("'fast'")), at, field("note", F.lit('"it\'s on"'))))
     )
     broken = F.when(F.col("vehicle_id") == 4, F.lit("{'lat': 1,")).otherwise(body)
-    return telemetry(spark, sf).select("event_id", F.concat(time, F.lit(": "), broken).alias("value"))
+    return telemetry(spark, sf).select(F.concat(time, F.lit(": "), broken).alias("value"))
 
 
-_LOG = """lg AS (SELECT event_id, ts, round(latitude, 9) AS lat, round(longitude, 9) AS lon,
+def _read_back(spark, sf):
+    path = scratch_path(spark, "log")
+    _log_lines(spark, sf).write.text(path)
+    return read_position_log(spark, path, "Asia/Tokyo", glob="part-*")
+
+
+_LOG = """lg AS (SELECT ts, round(latitude, 9) AS lat, round(longitude, 9) AS lon,
   CASE WHEN state_name = 'view' THEN round(speed_mps, 9) END AS speed,
   CASE WHEN state_name <> 'purchase' THEN 't2-isuzugiga-0' || vehicle_id END AS truck_id,
   CASE WHEN state_name <> 'purchase' THEN CAST(vehicle_id AS INTEGER) END AS vehicle_num
@@ -164,28 +170,24 @@ _LOG = """lg AS (SELECT event_id, ts, round(latitude, 9) AS lat, round(longitude
 
 @query(
     "position_log_scan",
-    oracle("tel", _LOG + "SELECT * EXCLUDE (event_id) FROM lg"),
+    oracle("tel", _LOG + "SELECT * FROM lg"),
 )
 def position_log_scan(spark, sf):
-    path = scratch_path(spark, "log")
-    _log_lines(spark, sf).select("value").write.text(path)
-    return read_position_log(spark, path, "Asia/Tokyo", glob="part-*")
+    return _read_back(spark, sf)
 
 
 @query(
     "position_vehicle_filter",
-    oracle("tel", _LOG + "SELECT event_id, ts, lat, lon, vehicle_num FROM lg WHERE vehicle_num = 3"),
+    oracle("tel", _LOG + "SELECT ts, lat, lon, vehicle_num FROM lg WHERE vehicle_num = 3"),
 )
 def position_vehicle_filter(spark, sf):
-    log = parse_position_lines(_log_lines(spark, sf), "Asia/Tokyo", keep=["event_id"])
-    return match_vehicle(log, "giga03").select("event_id", "ts", "lat", "lon", "vehicle_num")
+    return match_vehicle(_read_back(spark, sf), "giga03").select("ts", "lat", "lon", "vehicle_num")
 
 
 @query(
     "position_vehicle_unmatched",
-    oracle("tel", _LOG + "SELECT event_id, ts, lat, lon, vehicle_num FROM lg"),
+    oracle("tel", _LOG + "SELECT ts, lat, lon, vehicle_num FROM lg"),
 )
 def position_vehicle_unmatched(spark, sf):
     """No position of that vehicle: all stay."""
-    log = parse_position_lines(_log_lines(spark, sf), "Asia/Tokyo", keep=["event_id"])
-    return match_vehicle(log, "giga07").select("event_id", "ts", "lat", "lon", "vehicle_num")
+    return match_vehicle(_read_back(spark, sf), "giga07").select("ts", "lat", "lon", "vehicle_num")

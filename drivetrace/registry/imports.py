@@ -56,15 +56,23 @@ rows_ AS (SELECT *, 'vehicle ' || vehicle_id AS label, date_trunc('second', ts)
 )
 
 
+def _label():
+    return F.concat(F.lit("vehicle "), F.col("vehicle_id")).alias("label")
+
+
+def unmasked(spark, sf):
+    rows = telemetry(spark, sf).withColumn("sec_time", floor_time("ts", "second"))
+    return drop_excluded(rows, excludes(spark), ts="sec_time").select(
+        "event_id", _label(), "ts", "sec_time", "signal_a", "signal_b"
+    )
+
+
 def imported(spark, sf):
-    label = F.concat(F.lit("vehicle "), F.col("vehicle_id")).alias("label")
-    rows = drop_excluded(
-        telemetry(spark, sf).withColumn("sec_time", floor_time("ts", "second")), excludes(spark), ts="sec_time"
-    ).select("event_id", label, "ts", "sec_time", "signal_a", "signal_b")
+    rows = unmasked(spark, sf)
     states = (
         telemetry(spark, sf)
         .filter("state_name IN ('purchase', 'error')")
-        .select(label, "ts", "event_id", "system_state")
+        .select(_label(), "ts", "event_id", "system_state")
     )
     starts = rows.groupBy("label").agg(F.min("sec_time").alias("start_ts"))
     return masked_rows(
@@ -198,7 +206,7 @@ def override_apply(spark, sf):
 def override_drive_mode(spark, sf):
     """How many rows each drive mode takes as automatic."""
     by_state = imported(spark, sf).select("label", "is_auto")
-    rows = by_state.drop("is_auto")
+    rows = unmasked(spark, sf).select("label")
     sides = [resolve_drive_mode(rows, mode).withColumn("drive_mode", F.lit(mode)) for mode in ("auto", "manual")]
     sides.append(by_state.withColumn("drive_mode", F.lit("state")))
     all_rows = sides[0].unionByName(sides[1]).unionByName(sides[2])
