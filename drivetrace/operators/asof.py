@@ -62,28 +62,35 @@ def asof_nearest(
         .distinct()
         .select(*by, "_t", none.alias("_first"), none.alias("_last"), F.lit(True).alias("_is_left"))
     )
-    instants = l.unionByName(r).withColumn("_s", floor_micros(F.col("_t"), width))
-
-    # Every slice with left rows gets copies of the nearest right rows before and after it.
-    known = F.col("_last").isNotNull()
-    ends = instants.groupBy(*by, "_s").agg(
-        F.max(F.when(known, F.struct("_t", "_last"))).alias("_e"),
-        F.min(F.when(known, F.struct("_t", "_first"))).alias("_b"),
-        F.max("_is_left").alias("_used"),
+    l, r = (side.withColumn("_s", floor_micros(F.col("_t"), width)) for side in (l, r))
+
+    # Every slice with left rows gets copies of the nearest right rows before and after it.  In
+    # either direction a slice's left row comes first, so it sees only right rows of other slices.
+    ends = r.groupBy(*by, "_s").agg(
+        F.max(F.struct("_t", "_last")).alias("_e"), F.min(F.struct("_t", "_first")).alias("_b")
     )
+    used = l.select(*by, "_s").distinct().withColumn("_used", F.lit(True))
+    summary = ends.withColumn("_used", F.lit(False)).unionByName(used, allowMissingColumns=True)
     slices = W.partitionBy(*by)
     earlier = (W.unboundedPreceding, -1)
-    before = slices.orderBy("_s").rowsBetween(*earlier)
-    after = slices.orderBy(F.desc("_s")).rowsBetween(*earlier)
+    before = slices.orderBy("_s", F.desc("_used")).rowsBetween(*earlier)
+    after = slices.orderBy(F.desc("_s"), F.desc("_used")).rowsBetween(*earlier)
     outside = F.array(
         F.last("_e._last", ignorenulls=True).over(before), F.last("_b._first", ignorenulls=True).over(after)
     )
     copies = (
-        ends.select(*by, "_s", "_used", outside.alias("_outside"))
+        summary.select(*by, "_s", "_used", outside.alias("_outside"))
         .filter("_used")
         .select(*by, "_s", F.explode("_outside").alias("_p"))
         .filter(F.col("_p").isNotNull())
-        .select(*by, "_s", F.col("_p.t").alias("_t"), F.col("_p").alias("_first"), F.col("_p").alias("_last"), F.lit(False).alias("_is_left"))
+        .select(
+            *by,
+            F.col("_p.t").alias("_t"),
+            F.col("_p").alias("_first"),
+            F.col("_p").alias("_last"),
+            F.lit(False).alias("_is_left"),
+            "_s",
+        )
     )
 
     # Inside a slice; at one instant the right row comes before the left one either way.
@@ -95,7 +102,8 @@ def asof_nearest(
     gap_back, gap_ahead = F.col("_t") - back["t"], ahead["t"] - F.col("_t")
     take_back = gap_back.isNotNull() & (gap_ahead.isNull() | (gap_back <= gap_ahead))
     nearest = (
-        instants.unionByName(copies)
+        l.unionByName(r)
+        .unionByName(copies)
         .withColumn("_back", F.last("_last", ignorenulls=True).over(forward))
         .withColumn("_ahead", F.last("_first", ignorenulls=True).over(backward))
         .filter("_is_left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drivetrace.config import LOCAL_TZ, STATE_TOLERANCE_SECONDS
+from drivetrace.functions.generators import computed_once
 from drivetrace.functions.numeric import number
 from drivetrace.functions.text import parse_instant
 from drivetrace.functions.timegrain import plus_seconds, whole_div
@@ -152,5 +153,6 @@ def epoch_to_instant(
     rounded = F.when(in_reach, F.floor(v * F.col("_us")).cast("long"))
     as_number = F.when(in_reach, F.timestamp_micros(F.coalesce(exact_us, rounded)))
     text = parse_instant(F.col(column).cast("string"), naive_tz)
-    return tagged.withColumn(out, F.when(F.col("time_unit") == "text", text).otherwise(as_number)).drop("_us")
+    instant = F.when(F.col("time_unit") == "text", text).otherwise(as_number)
+    return tagged.select("*", computed_once(**{out: instant})).drop("_us")
 

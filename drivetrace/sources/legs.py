@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drivetrace.functions.generators import computed_once
 from drivetrace.functions.numeric import number
 from drivetrace.functions.text import parse_instant
 from drivetrace.functions.timegrain import local_text, to_local
@@ -30,8 +31,7 @@ def clean_legs(raw: DataFrame) -> DataFrame:
     return (
         raw.select(
             *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in TEXTS],
-            leg_instant("data_start_time").alias("start_ts"),
-            leg_instant("data_end_time").alias("end_ts"),
+            computed_once(start_ts=leg_instant("data_start_time"), end_ts=leg_instant("data_end_time")),
         )
         .filter(F.col("end_ts") > F.col("start_ts"))
         .withColumn("local_date", F.to_date(to_local("start_ts")))

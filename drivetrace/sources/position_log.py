@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drivetrace.functions.generators import computed_once
 from drivetrace.functions.numeric import number
 from drivetrace.functions.text import parse_log_time, vehicle_number
 
@@ -39,12 +40,14 @@ def parse_position_lines(lines: DataFrame, naive_tz: str = "UTC", keep: Sequence
         .select(*keep, F.inline(F.from_json(body, _MESSAGES, _OPTIONS)))
         .select(
             *keep,
-            parse_log_time("datetime", naive_tz).alias("ts"),
-            number("lat").alias("lat"),
-            number("lon").alias("lon"),
-            number("speed").alias("speed"),
-            F.col("truck-id").alias("truck_id"),
-            vehicle_number("truck-id").alias("vehicle_num"),
+            computed_once(
+                ts=parse_log_time("datetime", naive_tz),
+                lat=number("lat"),
+                lon=number("lon"),
+                speed=number("speed"),
+                truck_id=F.col("truck-id"),
+            ),
         )
         .dropna(subset=["ts", "lat", "lon"])
+        .withColumn("vehicle_num", vehicle_number("truck_id"))
     )

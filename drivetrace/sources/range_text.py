@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from drivetrace.functions.generators import computed_once
 from drivetrace.functions.text import parse_instant, trimmed
 
 
@@ -17,8 +18,8 @@ def _parts(text: Column, separator: str, limit: int = -1) -> Column:
 
 def _checked(lines: DataFrame, start: Column, end: Column, naive_tz: str) -> DataFrame:
     """Adds ``start_ts``, ``end_ts`` and ``error``: fields, time, order, or null."""
-    timed = lines.withColumns({"_a": start, "_b": end}).withColumns(
-        {"start_ts": parse_instant("_a", naive_tz), "end_ts": parse_instant("_b", naive_tz)}
+    timed = lines.select("*", computed_once(_a=start, _b=end)).select(
+        "*", computed_once(start_ts=parse_instant("_a", naive_tz), end_ts=parse_instant("_b", naive_tz))
     )
     error = (
         F.when(F.col("_a").isNull() | F.col("_b").isNull(), "fields")
