@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,24 +101,34 @@ def csv_periods(
     *,
     state_path: str | None = None,
     excludes: DataFrame | None = None,
-) -> dict[str, DataFrame]:
+) -> tuple[dict[str, DataFrame], list[str]]:
     """Results of imported files by name, keyed by ``label``, and ``bounds`` of the new periods.
 
-    Without a state file every row counts as automatic.  Built-in metrics take scale and offset
+    Entries that cannot be used are left out and told in the second value.  Without a state file every row counts as automatic.  Built-in metrics take scale and offset
     from the entry, custom fields from the field; a time series gets no histogram.
     """
     states = state_rows(read_topic_csv(spark, state_path)) if state_path else None
     metrics = {m.key: m for m in spec.metrics}
     fields = {f.key: f for f in spec.fields}
     found: dict[str, list[DataFrame]] = {}
+    problems = [] if state_path else ["no state file: all rows count as automatic"]
     for e in entries:
-        topic = drop_excluded(read_topic_csv(spark, e.path), excludes, ts="sec_time")
         target = metrics.get(e.target) or fields.get(e.target)
         if target is None:
-            raise ValueError(f"unknown target {e.target}")
+            problems.append(f"{e.label}: unknown target {e.target}")
+            continue
+        if e.path == state_path:
+            problems.append(f"{e.label}: the state file holds no values ({e.path})")
+            continue
+        try:
+            topic = drop_excluded(read_topic_csv(spark, e.path), excludes, ts="sec_time")
+        except (ValueError, AnalysisException) as ex:
+            problems.append(f"{e.label}: cannot read {e.path}: {ex}")
+            continue
         column = e.column.strip() or value_column(topic, target.column.split(".")[-1])
         if column is None or column not in topic.columns:
-            raise ValueError(f"no value column in {e.path}")
+            problems.append(f"{e.label}: no value column in {e.path}")
+            continue
         raw = topic.select("ts", "sec_time", "t_ns", number(F.col(f"`{column}`")).alias("_raw")).withColumn(
             "label", F.lit(e.label)
         )
@@ -153,7 +164,7 @@ def csv_periods(
         for p in parts[1:]:
             merged = merged.unionByName(p)
         out[name] = csv_bounds(merged, ["label"]) if name == "bounds" else merged
-    return out
+    return out, problems
 
 
 def override_rows(

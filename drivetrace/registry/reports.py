@@ -15,11 +15,11 @@ from drivetrace.operators.compare import (
 )
 from drivetrace.operators.histogram import rebin
 from drivetrace.operators.positions import map_points, position_track, positions_of_results, prefer_source
+from drivetrace.plans.export import sheets
 from drivetrace.plans.run import custom, metric, report, whole_periods
 from drivetrace.registry.base import METRIC_KM, oracle, periods, query, run_of, tagged
 from drivetrace.registry.histograms import _RATIOS, of_periods
 from drivetrace.registry.metrics import FIELD, SERIES, SPEC
-from drivetrace.sources.sinks import local_times, sheet_key
 
 _SERIES_SQL = """series AS (
   SELECT vehicle_id, period_id, chunk_idx, sec_time, avg(signal_a) * 0.5 + 3 AS value, avg(latitude) AS latitude,
@@ -174,12 +174,30 @@ def range_check(spark, sf):
 )
 def export_sheet_rows(spark, sf):
     """Rows of the export, one sheet per period, chunk and result, in local time."""
-    rows = metric(run_of(spark, sf), SPEC).withColumn("sheet", sheet_key("Q1"))
-    return local_times(rows).select(
+    run = run_of(spark, sf, metrics=(SPEC,), hist_column="signal_b")
+    return sheets(run)["Q1"].select(
         "sheet", VEHICLE, "win", "sec_time", "signal_a", "abs_signal_a", "cum_dist_km"
     )
 
 
+@query(
+    "export_sheet_hist",
+    oracle(
+        "hist",
+        f"""r AS (SELECT vehicle_id, period_id, chunk_idx, bin_start, round(bin_start + 0.2, 9) AS bin_end,
+            CAST(sum(cnt_auto) AS BIGINT) AS cnt_auto, CAST(sum(cnt_manual) AS BIGINT) AS cnt_manual
+          FROM (SELECT * EXCLUDE (bin_start), round(floor(bin_start / CAST(0.2 AS DOUBLE) + 1e-9) * CAST(0.2 AS DOUBLE), 9)
+            AS bin_start FROM hist) GROUP BY 1, 2, 3, 4)
+        SELECT * EXCLUDE (period_id, chunk_idx), {_RATIOS}, 'T' || period_id || '_C' || (chunk_idx + 1) || '_Q2' AS sheet
+        FROM r WINDOW w AS (PARTITION BY vehicle_id, period_id, chunk_idx)""",
+    ),
+)
+def export_sheet_hist(spark, sf):
+    """The export's histogram sheets, at display width."""
+    run = run_of(spark, sf, metrics=(SPEC,), hist_column="signal_b")
+    return sheets(run)["Q2"].drop(PERIOD, "chunk_idx", "query")
+
+
 @query(
     "metric_whole_periods",
     oracle(

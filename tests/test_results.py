@@ -13,6 +13,8 @@ from drivetrace.operators.quantiles import describe, exact_quantiles
 from drivetrace.operators.states import (
     auto_mask, detect_auto_value, label_states, prefer_states, state_per_second, state_track)
 from drivetrace.plans.csv_import import CsvEntry, csv_periods, override_results, read_override
+from drivetrace.plans.export import sheets
+from drivetrace.plans.override import OverrideEntry, override, replay
 from drivetrace.plans.run import hist, metric, notes, plan_run, results
 from drivetrace.sources.tables import Tables, first_rows_between, normalized, select_columns
 
@@ -366,7 +368,11 @@ def test_csv_periods(spark, topics):
     series = CustomField("cf2", "f", "t", "lateral_error", "timeseries")
     spec = RunSpec(fields=(field, series), grain=Grain("second", "minute"))
     debug = str(topics / "debug.csv")
-    out = csv_periods(spark, [CsvEntry("a", debug, "q1"), CsvEntry("a", debug, "cf1"), CsvEntry("a", debug, "cf2")], spec, state_path=str(topics / "state.csv"))
+    entries = [CsvEntry("a", debug, "q1"), CsvEntry("a", debug, "cf1"), CsvEntry("a", debug, "cf2")]
+    bad = [CsvEntry("a", debug, "zzz"), CsvEntry("a", str(topics / "state.csv"), "q1"), CsvEntry("a", debug, "q1", "nope"),
+           CsvEntry("a", str(topics / "missing.csv"), "q1")]
+    out, problems = csv_periods(spark, entries + bad, spec, state_path=str(topics / "state.csv"))
+    assert len(problems) == 4
     assert set(out) == {"metric:q1", "custom:cf1", "customhist:cf1", "custom:cf2", "bounds"}
     got = values(out["metric:q1"], "win", "lateral_error", "abs_lateral_error", "cum_dist_km")
     assert [g[1:] for g in got] == [(-0.9, 0.9, None)]
@@ -375,10 +381,9 @@ def test_csv_periods(spark, topics):
     assert out["custom:cf2"].count() == 90
     b = out["bounds"].collect()[0]
     assert (b.end_ts - b.start_ts).total_seconds() == 90
-    everything = csv_periods(spark, [CsvEntry("a", debug, "q1")], spec)["metric:q1"]
-    assert sorted(g[0] for g in values(everything, "lateral_error")) == [-0.9, 1.5]
-    with pytest.raises(ValueError):
-        csv_periods(spark, [CsvEntry("a", debug, "zzz")], spec)
+    everything, problems = csv_periods(spark, [CsvEntry("a", debug, "q1")], spec)
+    assert sorted(g[0] for g in values(everything["metric:q1"], "lateral_error")) == [-0.9, 1.5]
+    assert len(problems) == 1
 
 
 def test_override(spark, topics):
@@ -398,6 +403,43 @@ def test_override(spark, topics):
     assert (funnel.n_period, funnel.n_auto, funnel.n_threshold) == (180, 120, 60)
 
 
+def test_override_of_a_run(spark, topics):
+    """A file replaces a metric and the histogram of one vehicle and the period it overlaps most."""
+    rows = frame(spark, "vehicle_id int, ts timestamp, lateral_error double, acceleration double, lateral_accel double, "
+                 "latitude double, longitude double, speed_mps double, system_state int",
+                 [(v, at("2026-07-01 00:00:00", n), 9.0, 9.0, 9.0, 35.0 + 1e-5 * n, 139.0, 1.0, 16 if n < 60 else 4) for v in (1, 2) for n in range(120)])
+    ranges = [Range(utc("2026-06-30 23:00"), utc("2026-07-01 00:00:10"), "early"), Range(utc("2026-07-01 00:00"), utc("2026-07-01 00:02"), "late")]
+    p = periods.periods_frame(spark, ranges)
+    spec = RunSpec(split_minutes=0)
+    r = plan_run(Tables(rows, rows, rows, rows), p, spec)
+    base = results(r)
+    states = r.rows("state").select("vehicle_id", "period_id", "ts", "system_state")
+    track = rows.select("vehicle_id", F.lit(2).alias("period_id"), "ts", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    entry = OverrideEntry(str(topics / "debug.csv"), 1, "q1", "debug_for_mcap.lateral_error")
+    out = override(spark, base, entry, spec, p, states=states, positions=track)
+    got = values(out["metric:q1"], "vehicle_id", "period_id", "lateral_error", "overridden")
+    assert got == [(1, 1, 9.0, False), (1, 2, -0.9, True), (2, 1, 9.0, False), (2, 2, 9.0, False)]
+    row = out["metric:q1"].filter("overridden").collect()[0]
+    assert row.latitude == pytest.approx(35.0003) and row.cum_dist_km == pytest.approx(0.0333585, rel=1e-4)
+    hist_entry = OverrideEntry(entry.path, 1, "q3", entry.column, period_label="late", drive_mode="manual")
+    again = replay(spark, out, [hist_entry, entry], spec, p, states=states, positions=track)
+    counts = values(again["hist"].filter("overridden"), "vehicle_id", "bin_start", "cnt_auto", "cnt_manual")
+    assert counts == [(1, -0.9, 0, 60), (1, 0.5, 0, 60), (1, 1.5, 0, 60)]
+    assert values(again["metric:q1"], "vehicle_id", "period_id", "lateral_error", "overridden") == got
+    with pytest.raises(ValueError):
+        override(spark, base, entry, spec, p)
+    with pytest.raises(ValueError):
+        override(spark, base, OverrideEntry(entry.path, 1, "zzz", entry.column), spec, p)
+
+
+def test_sheets(spark):
+    out = sheets(run(spark))
+    assert set(out) == {"Q1", "Q2", "Q3"}
+    assert values(out["Q1"].filter("vehicle_id = 1"), "sheet", "win")[0][0] == "T1_C1_Q1"
+    assert values(out["Q1"], "win")[0][0].hour == 10
+    assert values(out["Q3"].filter("vehicle_id = 1"), "sheet", "bin_start") == [("T1_C1_Q3", -1.0), ("T1_C1_Q3", 0.4), ("T1_C2_Q3", 1.4)]
+
+
 def test_recipes(spark):
     r = frame(spark, "label string, target string, seq int, scale double", [("a", "q1", 1, 1.0), ("a", "q1", 2, 3.0), ("a", "q2", 1, 5.0)])
     assert values(latest_recipes(r, ["label", "target"], ["seq"]), "label", "target", "scale") == [("a", "q1", 3.0), ("a", "q2", 5.0)]
