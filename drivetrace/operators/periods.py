@@ -7,10 +7,9 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from drivetrace.config import CHUNK, DEFAULT_SPLIT_MINUTES, PERIOD, VEHICLE, Range
-from drivetrace.functions.timegrain import GRAIN_US, micros, plus_seconds
+from drivetrace.functions.timegrain import GRAIN_US, floor_micros, micros, plus_seconds
 from drivetrace.operators.intervals import flag_in_intervals, join_intervals, over_buckets
 
 
@@ -170,15 +169,18 @@ def choose_period(
     sides must share.  Both sides meet in day buckets, so only ranges that touch the same day are
     compared.
     """
-    f = over_buckets(files.withColumn("_to", plus_seconds("last_ts", 1e-6)), "first_ts", "_to")
-    p = over_buckets(periods, "start_ts", "end_ts")
-    low = F.greatest("first_ts", "start_ts")
-    high = F.least("last_ts", "end_ts")
-    overlap = (micros(high) - micros(low)) / F.lit(1e6)
-    candidates = (
-        f.join(p, ["_bucket", *on])
-        .withColumn("overlap_s", overlap)
-        .filter(F.col("overlap_s") > 0)
+    f = over_buckets(files.withColumn("_to", plus_seconds("last_ts", 1e-6)), "first_ts", "_to").alias("f")
+    p = over_buckets(periods, "start_ts", "end_ts").alias("p")
+    low, high = F.greatest("first_ts", "start_ts"), F.least("last_ts", "end_ts")
+    # Ranges that share several buckets meet in the first one only.
+    meet = (low < high) & (F.col("f._bucket") == floor_micros(micros(low), GRAIN_US["day"]))
+    for c in ("_bucket", *on):
+        meet = (F.col(f"f.{c}") == F.col(f"p.{c}")) & meet
+    candidates = f.join(p, meet).select(
+        *[F.col(f"f.{c}").alias(c) for c in (*on, *extra, file_key)],
+        F.col(f"p.{PERIOD}").alias(PERIOD),
+        "label",
+        ((micros(high) - micros(low)) / F.lit(1e6)).alias("overlap_s"),
     )
     best = F.min(F.struct((-F.col("overlap_s")).alias("neg"), F.col(PERIOD), F.col("label"))).alias("best")
     keys = [*on, *extra, file_key]
@@ -198,12 +200,11 @@ def choose_by_label(files: DataFrame, periods: DataFrame, *, wanted: str = "want
 
 def attach_meta(periods: DataFrame, legs: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Metadata of the leg with the same label, as a map; of equal labels the latest leg counts."""
-    latest = W.partitionBy("label").orderBy(F.desc("leg_start"), F.desc("guid"))
+    rest = [c for c in columns if c != "guid"]
+    latest = F.max(F.struct("start_ts", "guid", *rest)).alias("_leg")
     meta = (
-        legs.select(F.col("display_name").alias("label"), F.col("start_ts").alias("leg_start"), "guid",
-                    *[c for c in columns if c != "guid"])
-        .withColumn("_rank", F.row_number().over(latest))
-        .filter("_rank = 1")
-        .select("label", F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))]).alias("meta"))
+        legs.groupBy(F.col("display_name").alias("label"))
+        .agg(latest)
+        .select("label", F.create_map(*[x for c in columns for x in (F.lit(c), F.col(f"_leg.{c}"))]).alias("meta"))
     )
     return periods.join(meta, "label", "left")

@@ -26,7 +26,9 @@ def local_times(df: DataFrame) -> DataFrame:
 
 
 def write_sheets(df: DataFrame, path: str, partition_by: Sequence[str] = (PERIOD, CHUNK, "query")) -> None:
-    df.write.mode("error").partitionBy(*partition_by).parquet(path)
+    """One folder per partition.  Rows are rebalanced by folder first: small folders get one file,
+    a folder holding most rows is split over several tasks."""
+    df.hint("rebalance", *partition_by).write.mode("error").partitionBy(*partition_by).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
