@@ -20,7 +20,7 @@ def _topic(spark, sf):
         local_text("ts").alias("time_jst"),
         (us / F.lit(1e6)).alias("t_sec"),
         F.when(F.col("state_name") == "error", F.lit("bad")).otherwise((us * 1000).cast("string")).alias("t_ns"),
-        F.col("signal_b").alias("debug_for_mcap.lateral_error"),
+        F.col("signal_b").alias("debug.lateral_error"),
         F.when(F.col("state_name") == "purchase", F.lit("kAutonomousDriving"))
         .when(F.col("state_name") == "click", F.lit("unknown"))
         .otherwise(F.col("system_state").cast("string"))
@@ -45,7 +45,7 @@ def csv_topic_scan(spark, sf):
         F.col("event_id").cast("long").alias("event_id"),
         "t_ns",
         "sec_time",
-        F.col("`debug_for_mcap.lateral_error`").cast("double").alias("lateral_error"),
+        F.col("`debug.lateral_error`").cast("double").alias("lateral_error"),
     )
 
 
@@ -131,7 +131,7 @@ def _log_lines(spark, sf):
     def field(name, value):
         return F.concat(F.lit(f"'{name}': "), value)
 
-    truck = field("truck-id", text(F.concat(F.lit("t2-isuzugiga-0"), F.col("vehicle_id"))))
+    truck = field("truck-id", text(F.concat(F.lit("car-giga-0"), F.col("vehicle_id"))))
     lat, lon = F.col("latitude").cast("string"), F.col("longitude").cast("string")
     at = field("datetime", text(time))
     kind = F.col("state_name")
@@ -162,7 +162,7 @@ def _read_back(spark, sf):
 
 _LOG = """lg AS (SELECT ts, round(latitude, 9) AS lat, round(longitude, 9) AS lon,
   CASE WHEN state_name = 'view' THEN round(speed_mps, 9) END AS speed,
-  CASE WHEN state_name <> 'purchase' THEN 't2-isuzugiga-0' || vehicle_id END AS truck_id,
+  CASE WHEN state_name <> 'purchase' THEN 'car-giga-0' || vehicle_id END AS truck_id,
   CASE WHEN state_name <> 'purchase' THEN CAST(vehicle_id AS INTEGER) END AS vehicle_num
   FROM tel WHERE vehicle_id <> 4 AND state_name IN ('view', 'click', 'purchase'))
 """

@@ -1,6 +1,8 @@
 """Run registered queries beside their SQL in DuckDB and compare rows.
 
     python tests/compare.py [sf_dir] [query ...]
+
+With COMPARE_SHUFFLE=1 no side of a join is broadcast, as with large inputs.
 """
 
 from __future__ import annotations
@@ -84,6 +86,9 @@ def main(argv):
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or list(QUERIES)
     spark = local_session()
+    if os.environ.get("COMPARE_SHUFFLE"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     con = oracle_connection(sf_dir)
     failed = 0
     for name in names:

@@ -358,13 +358,13 @@ def write_topic(path, rows, column):
 @pytest.fixture()
 def topics(tmp_path):
     error = [(n / 2, 0.5 if n < 60 else -0.9 if n < 120 else 1.5) for n in range(180)]
-    write_topic(tmp_path / "debug.csv", error, "debug_for_mcap.lateral_error")
+    write_topic(tmp_path / "debug.csv", error, "debug.lateral_error")
     write_topic(tmp_path / "state.csv", [(n / 2, 16 if n < 120 else 4) for n in range(180)], "system_state")
     return tmp_path
 
 
 def test_csv_periods(spark, topics):
-    field = CustomField("cf1", "f", "t", ".debug_for_mcap.lateral_error", "metric", 0.0, 0.5, 2.0, 0.0)
+    field = CustomField("cf1", "f", "t", ".debug.lateral_error", "metric", 0.0, 0.5, 2.0, 0.0)
     series = CustomField("cf2", "f", "t", "lateral_error", "timeseries")
     spec = RunSpec(fields=(field, series), grain=Grain("second", "minute"))
     debug = str(topics / "debug.csv")
@@ -387,7 +387,7 @@ def test_csv_periods(spark, topics):
 
 
 def test_override(spark, topics):
-    rows, value = read_override(spark, str(topics / "debug.csv"), "debug_for_mcap.lateral_error", 2.0, 0.1)
+    rows, value = read_override(spark, str(topics / "debug.csv"), "debug.lateral_error", 2.0, 0.1)
     rows = rows.withColumn("p", F.lit(1)).withColumn("is_auto", F.lit(True))
     out = override_results(rows, "custom_timeseries", value, ["p"], width=0.5)
     assert set(out) == {"points", "hist"}
@@ -415,7 +415,7 @@ def test_override_of_a_run(spark, topics):
     base = results(r)
     states = r.rows("state").select("vehicle_id", "period_id", "ts", "system_state")
     track = rows.select("vehicle_id", F.lit(2).alias("period_id"), "ts", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    entry = OverrideEntry(str(topics / "debug.csv"), 1, "q1", "debug_for_mcap.lateral_error")
+    entry = OverrideEntry(str(topics / "debug.csv"), 1, "q1", "debug.lateral_error")
     out = override(spark, base, entry, spec, p, states=states, positions=track)
     got = values(out["metric:q1"], "vehicle_id", "period_id", "lateral_error", "overridden")
     assert got == [(1, 1, 9.0, False), (1, 2, -0.9, True), (2, 1, 9.0, False), (2, 2, 9.0, False)]

@@ -37,7 +37,7 @@ def test_parse_instant(spark, text, tz, expected):
 
 
 @pytest.mark.parametrize("text,number", [
-    ("giga07", 7), ("t2-isuzugiga-9", 9), ("GIGA_12", 12), ("truck_t2-isuzugiga-9_2026-02-04.log", 9),
+    ("giga07", 7), ("car-giga-9", 9), ("GIGA_12", 12), ("truck_car-giga-9_2026-02-04.log", 9),
     ("car 5 of 6", 5), ("none", None), (None, None),
 ])
 def test_vehicle_number(spark, text, number):
@@ -85,10 +85,10 @@ def test_excludes(spark):
     assert [(g[0], g[3]) for g in got[4:]] == [(7, "fields"), (8, "order"), (9, "fields")]
 
 
-LOG = """2026/02/04 12:34:56.005000: {'truck-id': 't2-isuzugiga-9', 'lat': 35.6811, 'lon': 139.7, 'speed': 12.3, 'datetime': '2026/02/04 12:34:56.005000'}
-2026/02/04 12:34:57.005000: {'truck-id': 't2-isuzugiga-9', 'status': 'ok', 'flag': True}
+LOG = """2026/02/04 12:34:56.005000: {'truck-id': 'car-giga-9', 'lat': 35.6811, 'lon': 139.7, 'speed': 12.3, 'datetime': '2026/02/04 12:34:56.005000'}
+2026/02/04 12:34:57.005000: {'truck-id': 'car-giga-9', 'status': 'ok', 'flag': True}
 2026/02/04 12:34:58.005000: {'cpu': 0.5, 'datetime': '2026/02/04 12:34:58.005000'}
-2026/02/04 12:34:59: {'truck-id': 't2-isuzugiga-9', 'lat': 35.6822, 'lon': 139.8, 'speed': None, 'ok': True, 'datetime': '2026/02/04 12:34:59'}
+2026/02/04 12:34:59: {'truck-id': 'car-giga-9', 'lat': 35.6822, 'lon': 139.8, 'speed': None, 'ok': True, 'datetime': '2026/02/04 12:34:59'}
 no separator here with lat and lon
 2026/02/04 12:35:00.005000: {'lat': 1, 'lon': broken
 2026/02/04 12:35:01.005000: {'lat': None, 'lon': 139.8, 'datetime': '2026/02/04 12:35:01'}
@@ -102,8 +102,8 @@ def test_position_log(spark, tmp_path):
     (tmp_path / "other.log").write_text(LOG)
     got = shown(read_position_log(spark, str(tmp_path), "Asia/Tokyo"), "ts", "lat", "lon", "speed", "truck_id", "vehicle_num")
     assert got == [
-        ("2026-02-04 03:34:56.005000", 35.6811, 139.7, 12.3, "t2-isuzugiga-9", 9),
-        ("2026-02-04 03:34:59", 35.6822, 139.8, None, "t2-isuzugiga-9", 9),
+        ("2026-02-04 03:34:56.005000", 35.6811, 139.7, 12.3, "car-giga-9", 9),
+        ("2026-02-04 03:34:59", 35.6822, 139.8, None, "car-giga-9", 9),
         ("2026-02-04 03:35:03", 35.5, 139.8, None, None, None),
     ]
     both = read_position_log(spark, [str(tmp_path / "truck_a.log"), str(tmp_path / "other.log")], glob=None)
@@ -117,21 +117,21 @@ def test_long_line_is_parsed_whole(spark):
     assert values(parse_position_lines(frame(spark, "value string", [(line,)])), "lat", "lon") == [(1.5, 2.5)]
 
 
-TOPIC = "﻿time_jst,t_sec,t_ns,debug_for_mcap.lateral_error,other\n"
+TOPIC = "﻿time_jst,t_sec,t_ns,debug.lateral_error,other\n"
 
 
 def test_topic_csv(spark, tmp_path):
     path = tmp_path / "topic.csv"
     path.write_text(TOPIC + "x,1,1765244221500000999,0.5,a\nx,1,bad,0.7,b\nx,1,1765244220000000000,,c\n", encoding="utf-8")
     df = read_topic_csv(spark, str(path))
-    assert shown(df, "t_ns", "ts", "sec_time", "debug_for_mcap.lateral_error"[:0] or "other") == [
+    assert shown(df, "t_ns", "ts", "sec_time", "debug.lateral_error"[:0] or "other") == [
         (1765244220000000000, "2025-12-09 01:37:00", "2025-12-09 01:37:00", "c"),
         (1765244221500000999, "2025-12-09 01:37:01.500000", "2025-12-09 01:37:01", "a"),
     ]
     assert df.columns[0] == "time_jst"
-    assert value_column(df, "lateral_error") == "debug_for_mcap.lateral_error"
+    assert value_column(df, "lateral_error") == "debug.lateral_error"
     assert value_column(df, "other") == "other"
-    assert value_column(df, "unknown") == "debug_for_mcap.lateral_error"
+    assert value_column(df, "unknown") == "debug.lateral_error"
     (tmp_path / "no.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError):
         read_topic_csv(spark, str(tmp_path / "no.csv"))
