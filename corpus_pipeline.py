@@ -1,15 +1,29 @@
 """A training corpus from raw documents, stage by stage.
 
 Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; every stage is written as
-Parquet and read again as the documents of the next one.
+Parquet and read again as the documents of the next one. All but the last return the columns of
+``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from drivetrace.llm import pii
+from drivetrace.llm import jaccard, mixing, pieces, pii, quality
 from drivetrace.llm.common import written
+from drivetrace.llm.queries import PIECE_MODEL
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    machine = quality.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.accepted(docs, machine)
+
+
+def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
+    return jaccard.distinct_texts(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,9 +31,21 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.sanitised(docs)
 
 
-STAGES = [("private", private)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of their sources reads them."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document, and whether they decode to its text."""
+    vocabulary = pieces.vocabulary(PIECE_MODEL)
+    rows = pieces.decoded(pieces.encoded(docs, vocabulary), vocabulary)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+STAGES = [("quality", good), ("near-duplicates", single), ("private", private), ("mixture", mixed), ("pieces", tokens)]
 
-#: Trained models, probabilistic search and sentence pieces have no SQL; the stages are tested one by one.
+#: Trained models, hashed permutations and pieces have no SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
 
