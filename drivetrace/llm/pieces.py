@@ -2,16 +2,23 @@
 
 Spaces become the mark U+2581 and one mark is put in front of a text. A text falls into marked words:
 marks and what follows up to the next mark; a line end is a word of its own. Distinct words, sorted,
-are a trie in depth-first order: two neighbours share the path of their common prefix, and the forward
-scores along it are kept. The best segmentation has the largest sum of piece scores; among equal sums
-the one whose last piece is longer. A character that no piece covers becomes its UTF-8 bytes, and so
-does a mark that stands in the text itself, so that decoding gives back exactly what was encoded.
+are a trie in depth-first order: two neighbours share the path of their common prefix, and what the
+forward pass found along it is kept.
+
+In a unigram model the forward pass keeps the best sum of scores of each prefix and its last piece. In
+a byte-pair model scores are the order of merges and sums mean nothing; there a prefix has exactly one
+segmentation that the merges make, and its last piece follows another only if merging the two alone
+leaves them as they are, so the pass keeps that one piece instead of a best sum. A character that no
+piece covers becomes its UTF-8 bytes, and so does a mark that stands in the text itself, so that
+decoding gives back exactly what was encoded.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -29,11 +36,14 @@ WORDS = re.compile(" *[^ \n]+| +|\n")
 
 @dataclass
 class Pieces:
-    """A vocabulary: score and id of each piece, the ids of the 256 byte pieces, and each id's bytes."""
+    """A vocabulary: score and id of each piece, the ids of the 256 byte pieces, each id's bytes, and
+    whether scores are the order of merges."""
 
     scores: dict[str, tuple[float, int]]
     byte_ids: list[int]
     decoded: list[bytes]
+    merges: bool = False
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @cached_property
     def longest(self) -> int:
@@ -42,9 +52,16 @@ class Pieces:
 
 def vocabulary(path: str) -> Pieces:
     """The pieces of a SentencePiece model file with byte pieces."""
-    from sentencepiece import SentencePieceProcessor
-
-    model = SentencePieceProcessor(model_file=path)
+    from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+    with open(path, "rb") as file:
+        proto = file.read()
+    model = SentencePieceProcessor(model_proto=proto)
+    spec = sentencepiece_model_pb2.ModelProto()
+    spec.ParseFromString(proto)
+    kinds = spec.trainer_spec
+    if kinds.model_type not in (kinds.UNIGRAM, kinds.BPE):
+        raise ValueError("only unigram and byte-pair models have pieces to choose from")
     scores, byte_ids, decoded = {}, [0] * 256, []
     for i in range(model.vocab_size()):
         piece = model.id_to_piece(i)
@@ -56,42 +73,79 @@ def vocabulary(path: str) -> Pieces:
         else:
             scores[piece] = (model.get_score(i), i)
             decoded.append(piece.replace(MARK, " ").encode())
-    return Pieces(scores, byte_ids, decoded)
+    return Pieces(scores, byte_ids, decoded, kinds.model_type == kinds.BPE)
 
 
-def segmented(words: list[str], pieces: Pieces) -> list[bytes]:
-    """Ids of the best segmentation of each marked word, as 32-bit numbers; ``words`` are sorted."""
-    find, longest, byte_ids = pieces.scores.get, pieces.longest, pieces.byte_ids
+def merged(text: str, scores: dict[str, tuple[float, int]]) -> list[str]:
+    """Characters merged as a byte-pair model does it: the best-scored neighbours first, the left ones of equals."""
+    parts = list(text)
+    while True:
+        found = [(scores[a + b][0], -n) for n, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in scores]
+        if not found:
+            return parts
+        n = -max(found)[1]
+        parts[n : n + 2] = [parts[n] + parts[n + 1]]
+
+
+def _best_sum(pieces: Pieces):
+    """Forward step of a unigram model: (best sum, last piece) of the prefix that ends at ``end``."""
+    find, longest = pieces.scores.get, pieces.longest
     lowest = min((s for s, _ in pieces.scores.values()), default=0.0) - 10.0
-    best, back = [0.0], [(0, b"")]
+
+    def step(word: str, end: int, states: list[tuple]) -> tuple:
+        top, last = None, ""
+        for start in range(max(0, end - longest), end):
+            hit = find(word[start:end])
+            if hit is not None and (top is None or states[start][0] + hit[0] > top):
+                top, last = states[start][0] + hit[0], word[start:end]
+        if find(word[end - 1]) is None and (top is None or states[end - 1][0] + lowest > top):
+            top, last = states[end - 1][0] + lowest, word[end - 1]
+        return top, last
+
+    return step
+
+
+def _only_merge(pieces: Pieces):
+    """Forward step of a byte-pair model: (0, last piece) of the prefix that ends at ``end``."""
+    scores, longest = pieces.scores, pieces.longest
+    apart: dict[tuple[str, str], bool] = {}
+
+    def step(word: str, end: int, states: list[tuple]) -> tuple:
+        for start in range(max(0, end - longest), end):
+            piece = word[start:end]
+            if piece in scores:
+                before = states[start][1]
+                fits = apart.get((before, piece))
+                if fits is None:
+                    if len(apart) > REMEMBERED:
+                        apart.clear()
+                    fits = apart[before, piece] = merged(before + piece, scores) == ([before, piece] if before else [piece])
+                if fits:
+                    return 0.0, piece
+        return 0.0, word[end - 1]
+
+    return step
+
+
+def segmented(words: list[str], pieces: Pieces) -> list[bytes]:
+    """Ids of the segmentation of each marked word, as 32-bit numbers; ``words`` are sorted."""
+    step = _only_merge(pieces) if pieces.merges else _best_sum(pieces)
+    states: list[tuple] = [(0.0, "")]
     before, out = "", []
     for word in words:
         shared, most = 0, min(len(word), len(before))
         while shared < most and word[shared] == before[shared]:
             shared += 1
-        del best[shared + 1 :], back[shared + 1 :]
+        del states[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
-            top, way = None, None
-            for start in range(max(0, end - longest), end):
-                hit = find(word[start:end])
-                if hit is not None:
-                    score = best[start] + hit[0]
-                    if top is None or score > top:
-                        top, way = score, (start, hit[1])
-            if way is None or find(word[end - 1]) is None:
-                single = best[end - 1] + lowest
-                if top is None or single > top:
-                    top, way = single, (end - 1, [byte_ids[b] for b in (MARK if word[end - 1] == LITERAL else word[end - 1]).encode()])
-            best.append(top)
-            back.append(way)
-        ids, at = [], len(word)
+            states.append(step(word, end, states))
+        found, at = [], len(word)
         while at:
-            at, piece = back[at]
-            ids.append(piece)
-        flat = []
-        for piece in reversed(ids):
-            flat.extend(piece) if isinstance(piece, list) else flat.append(piece)
-        out.append(np.array(flat, np.int32).tobytes())
+            piece = states[at][1]
+            at -= len(piece)
+            hit = pieces.scores.get(piece)
+            found.append(np.int32(hit[1]).tobytes() if hit else np.array([pieces.byte_ids[b] for b in piece.replace(LITERAL, MARK).encode()], np.int32).tobytes())
+        out.append(b"".join(reversed(found)))
         before = word
     return out
 
@@ -105,7 +159,8 @@ def encoded(documents: DataFrame, pieces: Pieces) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(pieces)  # as large as the vocabulary
 
     def encode(parts):
-        known, held = _REMEMBERED.setdefault(shared.id, {}), shared.value
+        held = shared.value
+        known = _REMEMBERED.setdefault(held.name, {})
         for pdf in parts:
             texts = pdf["text"].to_list()
             ids, lo, size = [], 0, 0
@@ -122,7 +177,7 @@ def encoded(documents: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 #: Words a worker has segmented, by vocabulary.
-_REMEMBERED: dict[int, dict[str, bytes]] = {}
+_REMEMBERED: dict[str, dict[str, bytes]] = {}
 
 
 def _encoded(texts: list[str], known: dict[str, bytes], pieces: Pieces) -> list[np.ndarray]:
@@ -145,7 +200,8 @@ def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
     """
     shared = rows.sparkSession.sparkContext.broadcast(pieces)
 
-    def decode(parts):
+    @F.pandas_udf("string")
+    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = shared.value.decoded
         for ids in parts:
             out = []
@@ -158,4 +214,4 @@ def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
                 out.append(body.decode("utf-8", "replace").removeprefix(" "))
             yield pd.Series(out)
 
-    return rows.withColumn("decoded", F.pandas_udf(decode, "string", F.PandasUDFType.SCALAR_ITER)("ids"))
+    return rows.withColumn("decoded", decode("ids"))

@@ -77,22 +77,23 @@ def probabilities(logits: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logits.astype(np.float64), -30, 30)))
 
 
-def fitted(x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.02, decay: float = 1e-5, seed: int = 1) -> Machine:
+def fitted(x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 256, rate: float = 0.02, decay: float = 1e-5, seed: int = 1) -> Machine:
     """Logistic loss, minimised by Adam over shuffled batches."""
     rng = np.random.default_rng(seed)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
     params = [np.array([np.log(share / (1 - share))]), np.zeros(x.shape[1]), rng.normal(0, 0.05, (x.shape[1], RANK))]
+    params = [p.astype(np.float32) for p in params]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     step = 0
     for _ in range(epochs if len(y) else 0):
         order = rng.permutation(len(y))
         for lo in range(0, len(y), batch):
-            xb = x[order[lo : lo + batch]].astype(np.float64)
+            xb = x[order[lo : lo + batch]].astype(np.float32)
             bias, w, v = params
             sums = xb @ v
             squares = xb * xb
             p = probabilities(bias[0] + xb @ w + 0.5 * ((sums**2).sum(1) - squares @ (v * v).sum(1)))
-            g = (p - y[order[lo : lo + batch]]) / len(xb)
+            g = ((p - y[order[lo : lo + batch]]) / len(xb)).astype(np.float32)
             grads = [np.array([g.sum()]), xb.T @ g + decay * w, xb.T @ (g[:, None] * sums) - v * (squares.T @ g)[:, None] + decay * v]
             step += 1
             for k, grad in enumerate(grads):
@@ -130,7 +131,7 @@ def _batches(pdf: pd.DataFrame, rows: int = 64, size: int = 1 << 20):
         yield slice(lo, len(sizes))
 
 
-def learned(documents: DataFrame, labels: DataFrame, column: str = "quality", sample: int = 6000) -> Machine:
+def learned(documents: DataFrame, labels: DataFrame, column: str = "quality", sample: int = 5000) -> Machine:
     """A machine fitted on at most ``sample`` labelled documents that are not held out.
 
     The sample is taken by a hash of the doc_id. Null labels and doc_ids teach nothing; of several labels

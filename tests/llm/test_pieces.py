@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import numpy as np
 import pytest
 
 from drivetrace.llm import pieces
@@ -13,13 +15,22 @@ def vocabulary():
 
 @pytest.fixture(scope="module")
 def library():
-    """The installed library's own Viterbi search over the same pieces and scores."""
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=PIECE_MODEL)
+
+
+@pytest.fixture(scope="module")
+def as_unigram(tmp_path_factory):
+    """The same pieces and scores as a unigram model, for which the library searches the best sum."""
     from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
     model = sentencepiece_model_pb2.ModelProto()
     model.ParseFromString(open(PIECE_MODEL, "rb").read())
     model.trainer_spec.model_type = 1
-    return SentencePieceProcessor(model_proto=model.SerializeToString())
+    path = tmp_path_factory.mktemp("model") / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    return pieces.vocabulary(str(path)), SentencePieceProcessor(model_file=str(path))
 
 
 def words(n=3000, seed=6):
@@ -28,21 +39,36 @@ def words(n=3000, seed=6):
     return sorted({" " * rng.choice([1, 1, 1, 2, 3]) + "".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(n)})
 
 
-def test_equals_the_library(vocabulary, library):
-    import numpy as np
+def marked():
+    """Words as the library gets them, and marked; it gives nothing for an empty text."""
+    both = sorted((w.replace(" ", pieces.MARK), w[1:]) for w in words() if w != " ")
+    return [m for m, _ in both], [w for _, w in both]
+
+
+def ids_of(packed):
+    return [np.frombuffer(b, np.int32).tolist() for b in packed]
 
-    marked = sorted(w.replace(" ", pieces.MARK) for w in words())
-    got = [np.frombuffer(b, np.int32).tolist() for b in pieces.segmented(marked, vocabulary)]
-    assert got == [library.encode(w[1:].replace(pieces.MARK, " ")) for w in marked]
+
+def test_merges_equal_the_library(vocabulary, library):
+    mine, theirs = marked()
+    assert vocabulary.merges
+    assert ids_of(pieces.segmented(mine, vocabulary)) == [library.encode(w) for w in theirs]
+
+
+def test_sums_equal_the_library(as_unigram):
+    own, model = as_unigram
+    mine, theirs = marked()
+    assert not own.merges
+    score = lambda ids: sum(model.get_score(i) for i in ids if not model.is_byte(i))
+    for ids, word in zip(ids_of(pieces.segmented(mine, own)), theirs):
+        best = model.nbest_encode_as_ids(word, 2) if 0 < len(word.strip()) < 16 else [ids]
+        if not any(model.is_byte(i) for i in best[0]):
+            assert score(ids) == max(map(score, best))
 
 
 def test_best_sum_by_brute_force():
     scores = {"▁": (-5.0, 0), "a": (-4.0, 1), "b": (-4.0, 2), "ab": (-5.0, 3), "▁a": (-6.0, 4), "ba": (-4.5, 5), "aba": (-8.0, 6)}
     own = pieces.Pieces(scores, list(range(100, 356)), [])
-    import itertools
-
-    import numpy as np
-
     marked = sorted({"▁" + "".join(w) for n in range(0, 7) for w in itertools.product("ab", repeat=n)})
 
     def best(w):
@@ -84,5 +110,5 @@ def test_query_on_whole_table(spark, sf_dir, library):
     got = {r.doc_id: r for r in op9_pieces(spark, sf_dir).collect()}
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     assert len(got) == len(rows) and all(r.round_trip for r in got.values())
-    for r in rows[:40]:
+    for r in rows:
         assert got[r.doc_id].n_tokens == len(library.encode(r.text))

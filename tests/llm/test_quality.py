@@ -22,7 +22,7 @@ def test_learns_an_interaction():
     rng = np.random.default_rng(3)
     x = (rng.random((3000, 6)) < 0.5).astype(np.float32)
     y = (x[:, 0] != x[:, 1]).astype(float)  # no single feature tells
-    machine = quality.fitted(x, y, epochs=60)
+    machine = quality.fitted(x, y, epochs=60, batch=64)
     assert (((machine.logits(x) > 0) == y).mean()) > 0.95
 
 
@@ -36,7 +36,7 @@ def test_features_do_not_depend_on_the_batch():
 
 @pytest.fixture(scope="module")
 def trained(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"
     return quality.learned(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
 
 
@@ -47,8 +47,8 @@ def test_held_out_accuracy(spark, trained):
     assert len(rows) > 300
     good = [r for r in rows if labels[r.doc_id] == 1]
     bad = [r for r in rows if labels[r.doc_id] == 0]
-    assert sum(r.predicted for r in good) >= 0.98 * len(good)
-    assert sum(1 - r.predicted for r in bad) >= 0.7 * len(bad)
+    assert sum(r.predicted for r in good) >= 0.99 * len(good)
+    assert sum(1 - r.predicted for r in bad) >= 0.95 * len(bad)
 
 
 def test_scores_of_odd_rows(docs_of, trained):
