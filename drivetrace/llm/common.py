@@ -45,30 +45,28 @@ def block_count(texts: DataFrame, bytes_each: int) -> int:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Smallest node reachable from each node of the undirected ``edges`` (a, b): columns node, root.
 
-    Alternates the large-star and the small-star step until nothing changes. A node with many
-    neighbours is no bottleneck: its smallest neighbour is found by an aggregate that combines before
-    the shuffle, and the join back can be split. Each round is written to the shared folder.
-    Null nodes and loops are ignored; without edges the result is empty.
+    Alternates the large-star and the small-star step until every node points at a root. A node with
+    many neighbours is no bottleneck: its smallest neighbour is found by an aggregate that combines before
+    the shuffle, and the join back can be split. Each round is written to the shared folder. Null nodes
+    and loops are ignored; without edges the result is empty.
     """
 
     def directed(df: DataFrame) -> DataFrame:
-        return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
-    def digest(df: DataFrame):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def flat(df: DataFrame) -> bool:
+        """Whether each node has one neighbour below it, and that one none."""
+        ends = df.select(F.col("a").alias("node"), "b").union(df.select("b", F.lit(None).cast("long")))
+        nodes = ends.groupBy("node").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.count_if(F.col("b").isNull()).alias("below"))
+        return nodes.where("low <> high OR (low IS NOT NULL AND below > 0)").isEmpty()
 
     now = written(directed(edges.select("a", "b")), name)
-    seen = digest(now)
-    while seen[0]:
+    while not flat(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = directed(large)
+        large = directed(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(directed(small.union(lowest.select("a", F.col("m").alias("b")))), name)
-        before, seen = seen, digest(now)
-        if before == seen:
-            break
-    roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+        now = written(directed(small.union(lowest.select("a", F.col("m").alias("b")))).distinct(), name)
+    nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b"))
+    return nodes.distinct()

@@ -15,7 +15,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drivetrace.llm.common import components, written
@@ -113,14 +113,6 @@ def near_duplicates(
     axes = principal_axes(valid, sample)
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
 
-    def leading(parts):
-        for pdf in parts:
-            lead = np.zeros(len(pdf))
-            for length, rows in pdf.groupby(pdf.embedding.map(len)).indices.items():
-                m = unit(scaled(matrix(pdf.embedding.iloc[rows])))
-                lead[rows] = m @ axes[length][:, 0] if length in axes else m[:, 0]
-            yield pdf.assign(lead=lead, length=pdf.embedding.map(len))
-
     def tiles(parts):
         number, held = TaskContext.get().partitionId() << 32, None
 
@@ -170,7 +162,7 @@ def near_duplicates(
                 root = ids[order][local_roots(len(ids), place[i], place[j])[place]]
                 yield pd.DataFrame({"a": ids[n > 0], "b": root[n > 0], "n": n[n > 0]})
 
-    placed = valid.mapInPandas(leading, f"{_kinds(valid)}, lead double, length int")
+    placed = valid.withColumns({"length": F.size("embedding"), "lead": _lead(axes)})
     ranged = placed.repartitionByRange("label", "length", "lead", "vec_id").sortWithinPartitions("label", "length", "lead", "vec_id")
     kind = dict(valid.dtypes)["label"]
     packs = written(ranged.mapInPandas(tiles, f"label {kind}, length int, tile long, low double, high double, ids binary, rows binary"), "tiles")
@@ -194,5 +186,14 @@ def near_duplicates(
     )
 
 
-def _kinds(df: DataFrame) -> str:
-    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+def _lead(axes: dict[int, np.ndarray]) -> Column:
+    """The first coordinate of the unit vector along the axes of its length; that of the vector itself without axes."""
+    most = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    small = F.transform("embedding", lambda x: x.cast("double") / most)
+    add = lambda s, x: s + x
+    along = F.element_at(small, 1)
+    for length, basis in axes.items():
+        axis = F.array(*map(F.lit, basis[:, 0].tolist()))
+        product = F.aggregate(F.zip_with(small, axis, lambda x, y: x * y), F.lit(0.0), add)
+        along = F.when(F.size("embedding") == length, product).otherwise(along)
+    return along / F.sqrt(F.aggregate(F.transform(small, lambda x: x * x), F.lit(0.0), add))
