@@ -139,13 +139,13 @@ def new_warnings(now: DataFrame, before: DataFrame) -> DataFrame:
 def backend_difference(
     a: DataFrame, b: DataFrame, on: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
-    """Full outer join of two result sets, with absolute differences that take null as 0."""
+    """Full outer join of two result sets, with absolute differences that take null and NaN as 0."""
     left = a.select(*on, *[F.col(c).alias(f"{c}_a") for c in columns])
     right = b.select(*on, *[F.col(c).alias(f"{c}_b") for c in columns])
     zero = F.lit(0.0)
     return left.join(right, list(on), "full").withColumns(
         {
-            f"{c}_abs_diff": F.abs(F.coalesce(f"{c}_a", zero) - F.coalesce(f"{c}_b", zero))
+            f"{c}_abs_diff": F.abs(F.coalesce(number(f"{c}_a"), zero) - F.coalesce(number(f"{c}_b"), zero))
             for c in columns
         }
     )

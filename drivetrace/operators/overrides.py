@@ -97,21 +97,25 @@ def csv_bounds(rows: DataFrame, keys: Sequence[str], *, ts: str = "sec_time") ->
 
 
 def epoch_to_instant(
-    rows: DataFrame, column: str, keys: Sequence[str], out: str = "ts", naive_tz: str = LOCAL_TZ
+    rows: DataFrame, column: str, keys: Sequence[str], out: str = "ts", naive_tz: str = LOCAL_TZ, *, refuse: bool = False
 ) -> DataFrame:
     """Time column of a file as instant, with the unit found per file.
 
     When at least 90 % of a file's values (and at least one) are numbers the median size tells
     nanoseconds, microseconds, milliseconds or seconds; otherwise the values are text.  The median
     is only compared with powers of ten, so counts per size class and the classes' extremes decide
-    it exactly, without gathering the values.
+    it exactly, without gathering the values.  With ``refuse`` a file of text of which none is a time
+    raises.
     """
     # Smallest median of each unit, and its microseconds per unit.
     limits = (("s", 0.0, 1e6), ("ms", 1e11, 1e3), ("us", 1e14, 1.0), ("ns", 1e17, 1e-3))
     v = number(column)
     size = F.abs(v)
 
+    text = parse_instant(F.col(column).cast("string"), naive_tz)
     aggs = [F.count("*").alias("_rows"), F.count(v).alias("_n")]
+    if refuse:
+        aggs.append(F.max(F.when(v.isNull(), text.isNotNull())).alias("_some"))
     for n, (_, low, _) in enumerate(limits):
         above = size >= limits[n + 1][1] if n + 1 < len(limits) else F.lit(False)
         here = F.when((size >= low) & ~above, size)
@@ -139,6 +143,7 @@ def epoch_to_instant(
         .otherwise(F.lit("text"))
         .alias("time_unit"),
         F.when(numeric, F.element_at(F.array(*[F.lit(x[2]) for x in limits]), unit_no + 1)).alias("_us"),
+        *([(numeric | F.col("_some")).alias("_some")] if refuse else []),
     )
     tagged = rows.join(units, list(keys))
     whole = F.col(column).try_cast("long")
@@ -152,7 +157,9 @@ def epoch_to_instant(
     in_reach = F.abs(v * F.col("_us")) < 9.2e15
     rounded = F.when(in_reach, F.floor(v * F.col("_us")).cast("long"))
     as_number = F.when(in_reach, F.timestamp_micros(F.coalesce(exact_us, rounded)))
-    text = parse_instant(F.col(column).cast("string"), naive_tz)
     instant = F.when(F.col("time_unit") == "text", text).otherwise(as_number)
-    return tagged.select("*", computed_once(**{out: instant})).drop("_us")
+    if refuse:
+        told = F.concat(F.lit("no readable time in "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+        instant = F.when(F.coalesce("_some", F.lit(False)), instant).otherwise(F.raise_error(told).cast("timestamp"))
+    return tagged.select("*", computed_once(**{out: instant})).drop("_us", "_some")
 

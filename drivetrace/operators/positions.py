@@ -65,14 +65,16 @@ def gaps(positions: DataFrame, keys: Sequence[str], *, width_us: int = GRAIN_US[
 def gap_tolerance(positions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join tolerance of a position source: 1.5 times its median gap, between 2 and 65 seconds.
 
-    Keys with a single instant have no gap and are left out; they take the upper limit.
+    Keys with a single instant have no gap; they take the upper limit.
     """
-    median = exact_quantiles(gaps(positions, keys), "gap_s", {"median_gap_s": 0.5}, keys, width=1.0)
-    tolerance = F.least(
-        F.lit(POSITION_TOLERANCE_MAX_SECONDS),
-        F.greatest(F.lit(POSITION_TOLERANCE_MIN_SECONDS), F.col("median_gap_s") * POSITION_GAP_FACTOR),
+    median = exact_quantiles(gaps(positions, keys), "gap_s", {"median_gap_s": 0.5}, keys)
+    known = positions.filter(number("lat").isNotNull() & number("lon").isNotNull() & F.col("ts").isNotNull())
+    top = F.lit(POSITION_TOLERANCE_MAX_SECONDS)
+    wanted = F.greatest(F.lit(POSITION_TOLERANCE_MIN_SECONDS), F.col("median_gap_s") * POSITION_GAP_FACTOR)
+    tolerance = F.when(F.col("median_gap_s").isNull(), top).otherwise(F.least(top, wanted))
+    return known.select(*keys).distinct().join(median, list(keys), "left").select(
+        *keys, "median_gap_s", tolerance.alias("tolerance_s")
     )
-    return median.select(*keys, "median_gap_s", tolerance.alias("tolerance_s"))
 
 
 def attach_positions(
@@ -160,14 +162,9 @@ def remap_to_positions(
 
 def match_vehicle(positions: DataFrame, vehicle: str) -> DataFrame:
     """Positions of the vehicle with the same number; all of them if none match."""
-    target = F.lit(vehicle)
-    wanted = vehicle_number(target)
-    same = F.coalesce(F.col("vehicle_num") == wanted, F.lit(False))
-    found = positions.agg(
-        F.coalesce(F.bool_or(same), F.lit(False)).alias("_found"), F.lit(0).alias("_one")
-    )
-    joined = positions.withColumn("_one", F.lit(0)).join(found, "_one")
-    return joined.filter(~F.col("_found") | same).drop("_found", "_one")
+    same = F.coalesce(F.col("vehicle_num") == vehicle_number(F.lit(vehicle)), F.lit(False))
+    found = positions.filter(same).select(F.lit(True).alias("_found")).limit(1).scalar()
+    return positions.filter(found.isNull() | same)
 
 
 def positions_of_results(*results: DataFrame, keys: Sequence[str]) -> DataFrame:

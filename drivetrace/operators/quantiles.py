@@ -1,96 +1,100 @@
 """Exact quantiles without gathering a column in one task.
 
-The values of each key are counted in equal bins; only the bins that hold a wanted rank are then
-counted value by value.  Both counts combine on the map side.
+A mergeable sketch brackets every wanted rank between two values; only rows between them are counted
+value by value, and rows below are counted as one number.  The brackets follow the ranks, not the
+extent of the values, so outliers and ties change nothing: a bracket holds a fixed small share of the
+rows of its key, or few rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BINS = 4096
+from drivetrace.functions.numeric import number
 
+#: The sketch errs by at most one rank in ACCURACY; a bracket reaches MARGIN to either side.
+ACCURACY, MARGIN = 10_000, 1e-3
+#: Keys with fewer rows need no bracket.
+FEW = 2_500
 
-def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: dict[str, float],
-    keys: Sequence[str] = (),
-    *,
-    width: float | None = None,
-) -> DataFrame:
+
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
     """``keys``, ``n`` and one column per entry of ``probs`` (name to probability).
 
-    Linear interpolation between the two nearest ranks; null values do not count.  A caller that
-    knows the scale of its values gives the bin width and saves the pass that finds the extent.
+    Linear interpolation between the two nearest ranks; nulls and NaN do not count.  A key without any
+    value has ``n`` 0 and null quantiles.
     """
-    keys = list(keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    )
-    if not keys:
-        keys = ["_all"]
-        rows = rows.withColumn("_all", F.lit(0))
-
-    if width is not None:
-        place = F.floor(F.col("_v") / F.lit(float(width)))
-        binned = rows.select(*keys, "_v", place.alias("_bin"))
-    else:
-        extent = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-        place = F.when(F.col("_hi") > F.col("_lo"), F.floor(share * BINS)).otherwise(0)
-        binned = rows.join(extent, keys).select(*keys, "_v", place.cast("long").alias("_bin"))
-
-    def below(counts: DataFrame, part: Sequence[str], order: str) -> DataFrame:
-        before = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        return counts.withColumn("_below", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-
-    bins = below(binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c")), keys, "_bin")
-    bins = bins.withColumn("n", F.sum("_c").over(W.partitionBy(*keys)))
-    at = [(F.col("n") - 1) * F.lit(float(p)) for p in probs.values()]
-    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(h), F.ceil(h)) for h in at])))
-    inside = F.filter(ranks, lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_c")))
-    targets = bins.withColumn("_ranks", inside).filter(F.size("_ranks") > 0).select(
-        *keys, "_bin", "n", "_ranks", F.col("_below").alias("_start")
+    keys, ps = list(keys), [float(p) for p in probs.values()]
+    rows = df.select(*keys, number(value).alias("_v"))
+    low = F.percentile_approx("_v", [max(0.0, p - MARGIN) for p in ps], ACCURACY)
+    high = F.percentile_approx("_v", [min(1.0, p + MARGIN) for p in ps], ACCURACY)
+    extent = F.min("_v"), F.max("_v")
+    known = rows.groupBy(*keys).agg(F.count("_v").alias("n"), low.alias("_low"), high.alias("_high"), extent[0].alias("_min"), extent[1].alias("_max"))
+
+    def bracket(n: int, p: float) -> Column:
+        few = F.col("n") < FEW
+        return F.struct(
+            F.lit(n).alias("no"),
+            F.when(few | F.lit(p <= MARGIN), F.col("_min")).otherwise(F.element_at("_low", n + 1)).alias("low"),
+            F.when(few | F.lit(p >= 1 - MARGIN), F.col("_max")).otherwise(F.element_at("_high", n + 1)).alias("high"),
+            ((F.col("n") - 1) * F.lit(p)).alias("at"),
+        )
+
+    known = known.select(*keys, "n", F.array(*[bracket(n, p) for n, p in enumerate(ps)]).alias("_b"))
+    beside = with_totals(rows.filter(F.col("_v").isNotNull()), known.select(*keys, "_b"), keys)
+    below = beside.groupBy(*keys).agg(
+        *[F.count_if(F.col("_v") < F.col("_b")[n]["low"]).alias(f"_below{n}") for n in range(len(ps))]
     )
+    inside = F.exists("_b", lambda b: (F.col("_v") >= b["low"]) & (F.col("_v") <= b["high"]))
+    counted = beside.filter(inside).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    counted = with_totals(with_totals(counted, known.select(*keys, "_b"), keys), below, keys)
+    mine = F.filter("_b", lambda b: (F.col("_v") >= b["low"]) & (F.col("_v") <= b["high"]))
+    start = F.array(*[F.col(f"_below{n}") for n in range(len(ps))])
+    places = counted.select(*keys, "_v", "_c", start.alias("_start"), F.explode(mine).alias("_q"))
+    before = W.partitionBy(*keys, "_q.no").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    first = F.element_at("_start", F.col("_q.no") + 1) + F.coalesce(F.sum("_c").over(before), F.lit(0))
+    places = places.withColumn("_first", first)
+    holds = lambda rank: (rank >= F.col("_first")) & (rank < F.col("_first") + F.col("_c"))
+    at = F.col("_q.at")
+    floor, ceil = F.floor(at), F.ceil(at)
+    hits = places.filter(holds(floor) | holds(ceil))
+    aggs = []
+    for n, name in enumerate(probs):
+        own = F.col("_q.no") == n
+        lower, upper = F.max(F.when(own & holds(floor), F.col("_v"))), F.max(F.when(own & holds(ceil), F.col("_v")))
+        aggs.append((lower + (upper - lower) * F.max(F.when(own, at - floor))).alias(name))
+    found = hits.groupBy(*keys).agg(*aggs)
+    return with_totals(known.select(*keys, "n"), found, keys)
 
-    counted = (
-        binned.join(targets, [*keys, "_bin"])
-        .groupBy(*keys, "_bin", "_v")
-        .agg(F.count("*").alias("_c"), F.min("n").alias("n"), F.min("_ranks").alias("_ranks"), F.min("_start").alias("_start"))
-    )
-    first = F.col("_start") + F.col("_below")
-    hits = below(counted, [*keys, "_bin"], "_v").select(
-        *keys, "n", "_v", F.explode(F.filter("_ranks", lambda r: (r >= first) & (r < first + F.col("_c")))).alias("_rank")
-    )
 
-    def at_rank(rank):
-        return F.max(F.when(F.col("_rank") == rank, F.col("_v")))
+def with_totals(rows: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` beside the one row of ``totals`` for their keys, where there is one.
 
-    aggs = []
-    for name, h in zip(probs, at):
-        low, high = at_rank(F.floor(h)), at_rank(F.ceil(h))
-        aggs.append((low + (high - low) * F.max(h - F.floor(h))).alias(name))
-    return hits.groupBy(*keys, "n").agg(*aggs).drop("_all")
+    Without keys ``totals`` is a single row and comes as scalar subquery, not through a join.
+    """
+    keys = list(keys)
+    if keys:
+        return rows.join(totals, keys, "left")
+    columns = totals.columns
+    one = totals.select(F.struct(*columns).alias("_t")).scalar()
+    return rows.withColumn("_t", one).select(*rows.columns, *[F.col(f"_t.{c}").alias(c) for c in columns])
 
 
-def describe(
-    df: DataFrame, value: str, keys: Sequence[str] = (), *, width: float | None = None
-) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum of a column."""
-    v = F.col(value)
+def describe(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Count, mean, sample deviation, minimum, quartiles and maximum of a column; NaN counts as null.
+
+    Keys without any value stay, with count 0.
+    """
     keys = list(keys)
-    known = df.filter(v.isNotNull())
-    moments = known.groupBy(*keys).agg(
+    rows = df.select(*keys, number(value).alias("_value"))
+    v = F.col("_value")
+    moments = rows.groupBy(*keys).agg(
         F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
     )
-    quartiles = exact_quantiles(known, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, keys, width=width)
+    quartiles = exact_quantiles(rows, "_value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, keys)
     columns = ["n", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    if keys:
-        return moments.join(quartiles, keys).select(*keys, *columns)
-    one = F.lit(0).alias("_one")
-    return moments.select("*", one).join(quartiles.select("*", one), "_one").select(*columns)
+    return with_totals(moments, quartiles, keys).select(*keys, *columns)

@@ -136,13 +136,13 @@ def asof_match_sweep(spark, sf):
         + """SELECT vehicle_id, count(gap) AS n, round(avg(gap), 4) AS mean, round(stddev_samp(gap), 4) AS std,
           round(min(gap), 9) AS "min", round(quantile_cont(gap, 0.25), 9) AS p25, round(quantile_cont(gap, 0.5), 9) AS p50,
           round(quantile_cont(gap, 0.75), 9) AS p75, round(max(gap), 9) AS "max"
-        FROM gaps WHERE gap IS NOT NULL GROUP BY 1""",
+        FROM gaps GROUP BY 1""",
     ),
     {"mean": 4, "std": 4},
 )
 def asof_gap_describe(spark, sf):
     """Count, mean, deviation, extremes and quartiles of the time differences."""
-    return describe(_paired(spark, sf), "time_diff_s_q3", ["vehicle_id"], width=1.0)
+    return describe(_paired(spark, sf), "time_diff_s_q3", ["vehicle_id"])
 
 
 @query(

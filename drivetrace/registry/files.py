@@ -1,4 +1,4 @@
-"""Readers, over files that Spark first writes from the given tables to the shared folder."""
+"""Parsers of text formats, over lines made from the given tables."""
 
 from __future__ import annotations
 
@@ -8,9 +8,14 @@ from drivetrace.functions.timegrain import local_text, to_local
 from drivetrace.operators.overrides import epoch_to_instant
 from drivetrace.operators.positions import match_vehicle
 from drivetrace.registry.base import oracle, query, telemetry
-from drivetrace.session import scratch_path
-from drivetrace.sources.position_log import read_position_log
-from drivetrace.sources.topic_csv import read_topic_csv, read_value_csv, state_rows
+from drivetrace.sources.position_log import parse_position_lines
+from drivetrace.sources.topic_csv import csv_lines, state_rows, typed_topic, typed_values
+
+
+def as_csv(rows, *keep):
+    """Rows as CSV lines, parsed again as text columns."""
+    columns = [c for c in rows.columns if c not in keep]
+    return csv_lines(rows.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("value"), *keep), columns, keep)
 
 
 def _topic(spark, sf):
@@ -38,9 +43,7 @@ def _topic(spark, sf):
     ),
 )
 def csv_topic_scan(spark, sf):
-    path = scratch_path(spark, "topic")
-    _topic(spark, sf).write.option("header", True).csv(path)
-    rows = read_topic_csv(spark, path)
+    rows = typed_topic(as_csv(_topic(spark, sf)))
     return rows.select(
         F.col("event_id").cast("long").alias("event_id"),
         "t_ns",
@@ -59,9 +62,7 @@ def csv_topic_scan(spark, sf):
     ),
 )
 def csv_state_scan(spark, sf):
-    path = scratch_path(spark, "state")
-    _topic(spark, sf).write.option("header", True).csv(path)
-    return state_rows(read_topic_csv(spark, path)).select("t_ns", "system_state")
+    return state_rows(typed_topic(as_csv(_topic(spark, sf)))).select("t_ns", "system_state")
 
 
 _UNITS = """CASE vehicle_id WHEN 0 THEN 's' WHEN 1 THEN 'ms' WHEN 2 THEN 'us' WHEN 3 THEN 'ns' ELSE 'text' END"""
@@ -102,13 +103,13 @@ def epoch_unit_detect(spark, sf):
     ),
 )
 def csv_value_scan(spark, sf):
-    """Generic files, one folder per vehicle: time first, then values of which some are no numbers."""
-    path = scratch_path(spark, "values")
+    """Generic files, one per vehicle: time first, then values of which some are no numbers."""
     no_value = F.when(F.col("state_name") == "view", F.lit("-")).otherwise(F.col("signal_b").cast("string"))
-    telemetry(spark, sf).select(
-        _timed_text(), "signal_a", no_value.alias("signal_b"), "event_id", F.col("vehicle_id").alias("vehicle")
-    ).withColumn("v", F.col("vehicle")).write.partitionBy("v").option("header", True).csv(path)
-    rows = read_value_csv(spark, path)
+    files = telemetry(spark, sf).select(
+        _timed_text(), "signal_a", no_value.alias("signal_b"), "event_id", F.col("vehicle_id").alias("vehicle"),
+        F.concat(F.lit("v="), "vehicle_id").alias("_file"),
+    )
+    rows = typed_values(as_csv(files, "_file"))
     return rows.select(
         F.col("event_id").cast("long").alias("event_id"),
         F.col("vehicle").cast("long").alias("vehicle_id"),
@@ -154,10 +155,8 @@ def _log_lines(spark, sf):
     return telemetry(spark, sf).select(F.concat(time, F.lit(": "), broken).alias("value"))
 
 
-def _read_back(spark, sf):
-    path = scratch_path(spark, "log")
-    _log_lines(spark, sf).write.text(path)
-    return read_position_log(spark, path, "Asia/Tokyo", glob="part-*")
+def _positions(spark, sf):
+    return parse_position_lines(_log_lines(spark, sf), "Asia/Tokyo")
 
 
 _LOG = """lg AS (SELECT ts, round(latitude, 9) AS lat, round(longitude, 9) AS lon,
@@ -173,7 +172,7 @@ _LOG = """lg AS (SELECT ts, round(latitude, 9) AS lat, round(longitude, 9) AS lo
     oracle("tel", _LOG + "SELECT * FROM lg"),
 )
 def position_log_scan(spark, sf):
-    return _read_back(spark, sf)
+    return _positions(spark, sf)
 
 
 @query(
@@ -181,7 +180,7 @@ def position_log_scan(spark, sf):
     oracle("tel", _LOG + "SELECT ts, lat, lon, vehicle_num FROM lg WHERE vehicle_num = 3"),
 )
 def position_vehicle_filter(spark, sf):
-    return match_vehicle(_read_back(spark, sf), "giga03").select("ts", "lat", "lon", "vehicle_num")
+    return match_vehicle(_positions(spark, sf), "giga03").select("ts", "lat", "lon", "vehicle_num")
 
 
 @query(
@@ -190,4 +189,4 @@ def position_vehicle_filter(spark, sf):
 )
 def position_vehicle_unmatched(spark, sf):
     """No position of that vehicle: all stay."""
-    return match_vehicle(_read_back(spark, sf), "giga07").select("ts", "lat", "lon", "vehicle_num")
+    return match_vehicle(_positions(spark, sf), "giga07").select("ts", "lat", "lon", "vehicle_num")

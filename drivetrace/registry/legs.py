@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from drivetrace.operators.compare import union_periods
 from drivetrace.operators.periods import attach_meta
 from drivetrace.registry.base import leg_periods, legs_raw, oracle, query
-from drivetrace.session import scratch_path
-from drivetrace.sources.legs import META, clean_legs, local_dates, read_legs_jsonl
+from drivetrace.sources.legs import META, clean_legs, leg_lines, legs_of_day, local_dates, vehicles
 
 _LINE = """strftime(start_ts + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') || '+09:00, '
   || strftime(end_ts + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') || '+09:00, ' || display_name"""
@@ -29,13 +29,11 @@ def legs_clean(spark, sf):
 
 @query("legs_jsonl_scan", _LEGS_SQL)
 def legs_jsonl_scan(spark, sf):
-    """Legs written as JSON lines, with a malformed and a blank line after some, and read back."""
-    path = scratch_path(spark, "legs")
+    """Legs as JSON lines, with a malformed and a blank line after some, and parsed again."""
     raw = legs_raw(spark, sf)
     line = F.to_json(F.struct(*raw.columns))
-    broken = F.when(F.col("direction") == "P", F.concat(line, F.lit("\n{broken\n"))).otherwise(line)
-    raw.select(broken.alias("value")).write.text(path)
-    return read_legs_jsonl(spark, path).select(*_COLUMNS)
+    lines = F.when(F.col("direction") == "P", F.array(line, F.lit("{broken"), F.lit(""))).otherwise(F.array(line))
+    return leg_lines(raw.select(F.explode(lines).alias("value"))).select(*_COLUMNS)
 
 
 @query(
@@ -46,6 +44,29 @@ def legs_dates(spark, sf):
     return local_dates(clean_legs(legs_raw(spark, sf)))
 
 
+@query("legs_vehicles", oracle("legs", "SELECT DISTINCT vehicle_id FROM legs WHERE vehicle_id <> ''"))
+def legs_vehicles(spark, sf):
+    return vehicles(clean_legs(legs_raw(spark, sf)))
+
+
+DAYS = ("2025-07-02", "2025-07-04", "2025-11-18", "2025-12-02")
+
+
+@query(
+    "legs_one_day",
+    oracle(
+        "legs",
+        f"""SELECT vehicle_id, display_name, start_ts, end_ts FROM legs
+        WHERE vehicle_id = 'v3' AND strftime(start_ts + INTERVAL 9 HOUR, '%Y-%m-%d') IN {DAYS}""",
+    ),
+)
+def legs_one_day(spark, sf):
+    """Legs of one vehicle on some days."""
+    legs = clean_legs(legs_raw(spark, sf))
+    days = [legs_of_day(legs, "v3", day) for day in DAYS]
+    return union_periods(*days).select("vehicle_id", "display_name", "start_ts", "end_ts")
+
+
 @query(
     "period_meta_join",
     oracle(

@@ -1,10 +1,7 @@
-"""Session helpers: required settings and the shared scratch folder."""
+"""Session helpers: required settings."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 
 
@@ -35,15 +32,3 @@ def local_session(cores: str = "8", app: str = "drivetrace", memory: str = "8g")
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that is unset, and only on a single machine, a temporary folder stands in.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="drivetrace-")
-    return f"{root.rstrip('/')}/drivetrace/{name}-{uuid.uuid4().hex}"

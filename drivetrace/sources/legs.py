@@ -53,17 +53,18 @@ def range_line(start: str, end: str, label: str) -> Column:
 
 def legs_table(spark: SparkSession, name: str) -> DataFrame:
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    return newest_first(clean_legs(spark.table(name).select(*columns)))
+    return clean_legs(spark.table(name).select(*columns))
 
 
 def read_legs_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; blank and malformed lines are skipped."""
     raw = spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(path)
-    return newest_first(clean_legs(raw))
+    return clean_legs(raw)
 
 
-def newest_first(legs: DataFrame) -> DataFrame:
-    return legs.orderBy(F.desc("start_ts"))
+def leg_lines(lines: DataFrame) -> DataFrame:
+    """Legs of JSON lines in ``value``; blank and malformed lines are skipped."""
+    return clean_legs(lines.select(F.from_json("value", SCHEMA).alias("_l")).filter(F.col("_l").isNotNull()).select("_l.*"))
 
 
 def vehicles(legs: DataFrame) -> DataFrame:
@@ -76,9 +77,7 @@ def local_dates(legs: DataFrame) -> DataFrame:
 
 
 def legs_of_day(legs: DataFrame, vehicle: str, day: str) -> DataFrame:
-    return legs.filter((F.col("vehicle_id") == vehicle) & (F.col("local_date") == F.lit(day).cast("date"))).orderBy(
-        "start_ts"
-    )
+    return legs.filter((F.col("vehicle_id") == vehicle) & (F.col("local_date") == F.lit(day).cast("date")))
 
 
 def as_periods(legs: DataFrame) -> DataFrame:

@@ -182,17 +182,41 @@ def test_quantiles(spark):
     v = np.round(rng.exponential(10, 3000), 1)
     df = spark.createDataFrame([(int(n % 2), float(x)) for n, x in enumerate(v)], "k int, v double").unionByName(
         spark.createDataFrame([(1, None), (7, 3.5)], "k int, v double"))
-    for width in (None, 0.3, 1000.0):
-        got = {r.k: r for r in exact_quantiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.99}, ["k"], width=width).collect()}
-        for k in (0, 1):
-            want = np.quantile(v[k::2], [0.25, 0.5, 0.99])
-            assert [got[k].a, got[k].b, got[k].c] == pytest.approx(list(want))
-        assert got[7].n == 1 and got[7].a == got[7].c == 3.5
+    more = spark.createDataFrame([(8, None), (9, float("nan")), (9, None)], "k int, v double")
+    got = {r.k: r for r in exact_quantiles(df.unionByName(more), "v", {"a": 0.25, "b": 0.5, "c": 0.99}, ["k"]).collect()}
+    for k in (0, 1):
+        want = np.quantile(v[k::2], [0.25, 0.5, 0.99])
+        assert [got[k].a, got[k].b, got[k].c] == pytest.approx(list(want))
+    assert got[7].n == 1 and got[7].a == got[7].c == 3.5
+    assert (got[8].n, got[8].a, got[9].n, got[9].c) == (0, None, 0, None)
     d = describe(df.filter("k < 2"), "v").collect()[0]
     assert (d.n, d["min"], d["max"]) == (3000, v.min(), v.max())
     assert d.std == pytest.approx(v.std(ddof=1)) and d.p50 == pytest.approx(np.median(v))
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_quantiles_with_an_outlier_and_ties(spark, keys):
+    """Brackets follow ranks: one outlier does not put everything into one group."""
+    import numpy as np
+    rng = np.random.default_rng(7)
+    v = np.concatenate([np.round(rng.normal(0, 1, 30000), 5), np.full(9000, 0.25), [1e18, -1e18]])
+    rng.shuffle(v)
+    df = spark.createDataFrame([(1, float(x)) for x in v], "k int, v double")
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.75, "e": 0.999, "f": 1.0}
+    got = exact_quantiles(df, "v", probs, keys).collect()[0]
+    assert got.n == len(v)
+    assert [got[n] for n in probs] == pytest.approx(list(np.quantile(v, list(probs.values()))), rel=1e-12)
+    plan = exact_quantiles(df, "v", probs, keys)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_describe_keeps_keys_without_values(spark):
+    df = frame(spark, "k int, v double", [(1, 2.0), (1, float("nan")), (1, None), (2, None), (2, float("nan"))])
+    got = {r.k: r for r in describe(df, "v", ["k"]).collect()}
+    assert (got[1].n, got[1]["mean"], got[1]["max"], got[1].p50) == (1, 2.0, 2.0, 2.0)
+    assert (got[2].n, got[2]["mean"], got[2].p50) == (0, None, None)
+
+
 # --- states --------------------------------------------------------------------------------------
 
 def test_auto_mask(spark):

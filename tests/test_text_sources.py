@@ -4,12 +4,11 @@ from pyspark.sql import functions as F
 
 from drivetrace.functions.text import clean_column, parse_instant, safe_name, vehicle_number
 from drivetrace.operators.overrides import epoch_to_instant
-from drivetrace.session import scratch_path
 from drivetrace.sources.legs import clean_legs, legs_of_day, local_dates, read_legs_jsonl, vehicles
 from drivetrace.sources.position_log import parse_position_lines, read_position_log
 from drivetrace.sources.range_text import parse_excludes, parse_periods, require_valid
 from drivetrace.sources.sinks import write_csv, write_sheets
-from drivetrace.sources.topic_csv import read_topic_csv, read_value_csv, state_rows, value_column
+from drivetrace.sources.topic_csv import read_topic_csv, read_value_csv, state_rows, typed_values, value_column
 
 
 def naive(rows):
@@ -217,9 +216,8 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
 
 
-def test_scratch_path_follows_the_session(spark):
-    a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
-    assert a != b
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    assert root is None or a.startswith(root.rstrip("/"))
-    assert utc("2026-01-01").tzinfo
+def test_unreadable_times_are_told(spark):
+    raw = frame(spark, "time string, v string, _file string", [("never", "1", "a"), ("-", "2", "a"), ("2026-01-01 00:00:00", "3", "b")])
+    assert typed_values(raw.filter("_file = 'b'")).count() == 1
+    with pytest.raises(Exception, match="no readable time in a"):
+        typed_values(raw).collect()
