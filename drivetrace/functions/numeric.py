@@ -33,9 +33,12 @@ def bin_end(index: Column, width: float) -> Column:
 
 
 def step_decimals(step: Column) -> Column:
-    """Decimals needed to write a step: 0.01 needs 2, 0.025 needs 3, at most 9."""
-    exact = [
-        F.when(F.abs(F.round(step, d) - step) <= step * 1e-6, F.lit(d)) for d in range(9)
-    ]
-    usable = step.isNotNull() & (step > 0) & (step < float("inf"))
-    return F.when(usable, F.coalesce(*exact, F.lit(9))).otherwise(F.lit(1)).cast("int")
+    """Decimals that the notation of a step needs, read off its seven leading digits: 0.025 needs 3.
+
+    At most 9; a step that is null, infinite or not positive counts as one with a single decimal.
+    """
+    notation = F.format_string("%.6e", step)
+    digits = F.length(F.regexp_extract(notation, r"\.(\d*?)0*e", 1))
+    power = F.regexp_extract(notation, r"e([+-]\d+)", 1).cast("int")
+    needed = F.least(F.greatest(digits - power, F.lit(0)), F.lit(9))
+    return F.when((step > 0) & (step < float("inf")), needed).otherwise(F.lit(1)).cast("int")

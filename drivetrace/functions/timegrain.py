@@ -46,10 +46,6 @@ def plus_seconds(ts: str | Column, seconds: float) -> Column:
     return F.timestamp_micros(micros(ts) + F.lit(int(seconds * SECOND_US)))
 
 
-def seconds_between(later: str | Column, earlier: str | Column) -> Column:
-    return (micros(later) - micros(earlier)) / F.lit(float(SECOND_US))
-
-
 def to_local(ts: str | Column, tz: str = LOCAL_TZ) -> Column:
     """Wall-clock time of an instant, without zone."""
     c = F.col(ts) if isinstance(ts, str) else ts

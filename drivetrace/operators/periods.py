@@ -192,10 +192,15 @@ def choose_period(
     )
 
 
-def choose_by_label(files: DataFrame, periods: DataFrame, *, wanted: str = "wanted_label") -> DataFrame:
-    """Files that name their period; of equal labels the first period is taken."""
-    first = periods.groupBy("label").agg(F.min(PERIOD).alias(PERIOD))
-    return files.join(first, F.col(wanted) == F.col("label"), "inner")
+def choose_by_label(
+    files: DataFrame, periods: DataFrame, *, wanted: str = "wanted_label", on: Sequence[str] = ()
+) -> DataFrame:
+    """Files that name their period; of equal labels the first period is taken.
+
+    ``on`` names columns both sides must share, such as the vehicle of periods that have one.
+    """
+    first = periods.groupBy(*on, F.col("label").alias(wanted)).agg(F.min(PERIOD).alias(PERIOD))
+    return files.join(first, [*on, wanted], "inner").withColumn("label", F.col(wanted))
 
 
 def attach_meta(periods: DataFrame, legs: DataFrame, columns: Sequence[str]) -> DataFrame:

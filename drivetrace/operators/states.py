@@ -46,20 +46,23 @@ def detect_auto_value(
     An explicit generation decides; else a state of 5 or more proves the new enum; else the date.
     """
     top = states.groupBy(*keys).agg(F.max(number("system_state")).alias("_top"))
-    return _decide(starts.join(top, list(keys), "left"), keys, generation)
+    return decide_auto(starts.join(top, list(keys), "left"), keys, generation)
 
 
 def auto_of_chunks(
-    states_1s: DataFrame, chunks: DataFrame, keys: Sequence[str] = KEYS, generation: str = GEN_DETECT
+    states_1s: DataFrame, chunks: DataFrame, keys: Sequence[str] = KEYS, generation: str = GEN_DETECT,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """The automatic value of every chunk that has states, by its states and its start."""
+    """The automatic value of every chunk that has states, or of all ``known``, by its states and its start."""
     on = [c for c in keys if c in chunks.columns]
     top = states_1s.groupBy(*keys).agg(F.max(number("system_state")).alias("_top"))
+    top = top if known is None else known.join(top, list(keys), "left")
     starts = chunks.select(*on, F.col("chunk_start").alias("start_ts"))
-    return _decide(top.join(starts, on), keys, generation)
+    return decide_auto(top.join(starts, on), keys, generation)
 
 
-def _decide(tops: DataFrame, keys: Sequence[str], generation: str) -> DataFrame:
+def decide_auto(tops: DataFrame, keys: Sequence[str], generation: str) -> DataFrame:
+    """``keys, auto_value, basis`` from the largest state (``_top``) and ``start_ts``."""
     if generation in (GEN_NEW, GEN_OLD):
         fixed = AUTO_VALUE_NEW if generation == GEN_NEW else AUTO_VALUE_OLD
         return tops.select(*keys, F.lit(fixed).alias("auto_value"), F.lit("explicit").alias("basis"))
@@ -79,8 +82,8 @@ def auto_mask(state: Column, auto_value: Column) -> Column:
 
 
 def state_seconds(states_1s: DataFrame, auto: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Automatic and other seconds per key, beside the value and basis used."""
-    counts = states_1s.filter(F.col("system_state").isNotNull()).join(auto, list(keys))
+    """Automatic and other seconds per key, beside the value and basis used; keys without a state have 0."""
+    counts = auto.join(states_1s.select(*keys, "system_state"), list(keys), "left")
     hit = F.col("system_state") == F.col("auto_value")
     return counts.groupBy(*keys, "auto_value", "basis").agg(
         F.count_if(hit).alias("auto_seconds"), F.count_if(~hit).alias("other_seconds")

@@ -9,16 +9,17 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drivetrace.config import HIST_BASE_BIN, CustomField, Grain, RunSpec
-from drivetrace.functions.numeric import linear, number
+from drivetrace.config import HIST_BASE_BIN, STATE_TOLERANCE_SECONDS, Grain, RunSpec
+from drivetrace.functions.numeric import number
 from drivetrace.functions.timegrain import floor_time
+from drivetrace.operators.asof import SLICE_SECONDS, asof_nearest
 from drivetrace.operators.histogram import masked_histogram, with_ratios
 from drivetrace.operators.intervals import join_intervals
 from drivetrace.operators.overrides import csv_bounds, resolve_drive_mode
 from drivetrace.operators.periods import drop_excluded
 from drivetrace.operators.positions import attach_positions
-from drivetrace.operators.states import detect_auto_value
-from drivetrace.sources.topic_csv import read_topic_csv, read_value_csv, state_rows, value_column
+from drivetrace.operators.states import auto_mask, decide_auto, detect_auto_value
+from drivetrace.sources.topic_csv import chosen_columns, read_topic_csv, read_values, state_rows
 
 _POSITION = ("latitude", "longitude", "cum_dist_km")
 
@@ -95,76 +96,102 @@ class CsvEntry:
 
 
 def csv_periods(
+    rows: DataFrame,
+    entries: DataFrame,
+    spec: RunSpec,
+    *,
+    states: DataFrame | None = None,
+    excludes: DataFrame | None = None,
+    state_order: Sequence[str] = ("t_ns",),
+    tolerance_s: float = STATE_TOLERANCE_SECONDS,
+    slice_s: float = SLICE_SECONDS,
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Results of imported files by name, keyed by ``label``, with ``bounds`` of the new periods, and notes.
+
+    ``rows`` are those of all files: file, ts, sec_time, t_ns and values (map of numbers by column).
+    ``entries`` has label, file, target, column, scale and offset; a blank column is guessed. One plan
+    serves all of them, however many there are. ``states`` (ts, system_state) hold for every file; without
+    any state row all rows count as automatic. Built-in metrics take scale and offset from the entry,
+    custom fields from the field; a time series gets no histogram. The notes are the entries with their
+    column and ``note``, which tells why an entry cannot be used, or is empty.
+    """
+    targets = {m.key: ("metric", m.name, spec.threshold(m), m.column, None) for m in spec.metrics}
+    for f in spec.fields:
+        targets[f.key] = ("series" if f.mode == "timeseries" else "custom", "value", f.threshold, f.column, f)
+
+    def by_target(of) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for t, v in targets.items() for x in (t, of(v))]), F.col("target"))
+
+    told = entries.withColumn("token", by_target(lambda v: v[3].split(".")[-1]))
+    known = rows.select("file").distinct().withColumn("_rows", F.lit(True))
+    told = chosen_columns(told, rows, "column", "token").join(known, "file", "left")
+    note = (
+        F.when(F.col("token").isNull(), F.lit("unknown target"))
+        .when(F.col("_rows").isNull(), F.lit("no rows"))
+        .when(F.col("column").isNull(), F.lit("no value column"))
+        .otherwise(F.lit(""))
+    )
+    told = told.withColumn("note", note).drop("token", "_rows")
+    own = by_target(lambda v: v[4] is not None)
+    scale = F.when(own, by_target(lambda v: v[4].scale if v[4] else 1.0)).otherwise(F.col("scale"))
+    offset = F.when(own, by_target(lambda v: v[4].offset if v[4] else 0.0)).otherwise(F.col("offset"))
+    used = told.filter("note = ''").select("file", "label", "target", "column", scale.alias("_scale"), offset.alias("_offset"))
+    inside = drop_excluded(rows, excludes, ts="sec_time")
+    if states is not None:
+        inside = asof_nearest(
+            inside, states, by=[], tolerance_s=tolerance_s, columns=["system_state"], order=state_order, right_ts_as="state_ts", slice_s=slice_s
+        )
+    value = F.element_at("values", F.col("column")) * F.col("_scale") + F.col("_offset")
+    body = inside.join(used, "file").withColumn("_value", value)
+    bounds = csv_bounds(body, ["label"])
+    body = _automatic(body, states, bounds, spec.generation)
+    out = {"bounds": bounds}
+    for target, (kind, name, threshold, _, cf) in targets.items():
+        mine = body.filter(F.col("target") == target)
+        if kind == "series":
+            out[f"custom:{target}"] = csv_timeseries(mine, F.col("_value"), ["label"])
+            continue
+        prefix = "metric" if cf is None else "custom"
+        out[f"{prefix}:{target}"] = csv_metric(mine, F.col("_value"), name, threshold, ["label"], spec.grain, ("t_ns",))
+        if cf is not None:
+            out[f"customhist:{target}"] = csv_hist(mine, F.col("_value"), cf.hist_bin, ["label"])
+    return out, told
+
+
+def _automatic(body: DataFrame, states: DataFrame | None, bounds: DataFrame, generation: str) -> DataFrame:
+    """``is_auto`` of rows that carry their nearest state; the automatic value is found per label."""
+    if states is None:
+        return body.withColumn("is_auto", F.lit(True))
+    top = states.agg(F.max(number("system_state")).alias("_top")).scalar()
+    some = states.select(F.lit(True).alias("_some")).limit(1).scalar()
+    auto = decide_auto(bounds.withColumn("_top", top), ["label"], generation).select("label", "auto_value")
+    return body.join(auto, "label").withColumn("is_auto", some.isNull() | auto_mask(F.col("system_state"), F.col("auto_value")))
+
+
+def read_csv_periods(
     spark: SparkSession,
     entries: Sequence[CsvEntry],
     spec: RunSpec,
     *,
     state_path: str | None = None,
     excludes: DataFrame | None = None,
-) -> tuple[dict[str, DataFrame], list[str]]:
-    """Results of imported files by name, keyed by ``label``, and ``bounds`` of the new periods.
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """``csv_periods`` of files; files that cannot be opened, and the state file, have no rows."""
 
-    Entries that cannot be used are left out and told in the second value.  Without a state file every row counts as automatic.  Built-in metrics take scale and offset
-    from the entry, custom fields from the field; a time series gets no histogram.
-    """
-    states = state_rows(read_topic_csv(spark, state_path)) if state_path else None
-    metrics = {m.key: m for m in spec.metrics}
-    fields = {f.key: f for f in spec.fields}
-    found: dict[str, list[DataFrame]] = {}
-    problems = [] if state_path else ["no state file: all rows count as automatic"]
-    for e in entries:
-        target = metrics.get(e.target) or fields.get(e.target)
-        if target is None:
-            problems.append(f"{e.label}: unknown target {e.target}")
-            continue
-        if e.path == state_path:
-            problems.append(f"{e.label}: the state file holds no values ({e.path})")
-            continue
+    def readable(path: str) -> bool:
         try:
-            topic = drop_excluded(read_topic_csv(spark, e.path), excludes, ts="sec_time")
-        except (ValueError, AnalysisException) as ex:
-            problems.append(f"{e.label}: cannot read {e.path}: {ex}")
-            continue
-        column = e.column.strip() or value_column(topic, target.column.split(".")[-1])
-        if column is None or column not in topic.columns:
-            problems.append(f"{e.label}: no value column in {e.path}")
-            continue
-        raw = topic.select("ts", "sec_time", "t_ns", number(F.col(f"`{column}`")).alias("_raw")).withColumn(
-            "label", F.lit(e.label)
-        )
-        scaled = (target if isinstance(target, CustomField) else e)
-        value = linear(F.col("_raw"), scaled.scale, scaled.offset)
-        own = states.withColumn("label", F.lit(e.label)) if states is not None else None
-        rows = masked_rows(
-            raw,
-            own,
-            ["label"],
-            "state" if own is not None else "auto",
-            spec.generation,
-            raw.groupBy("label").agg(F.min("sec_time").alias("start_ts")),
-            order=["t_ns"] if own is not None else (),
-        )
-        found.setdefault("bounds", []).append(raw.select("label", "sec_time"))
-        if isinstance(target, CustomField) and target.mode == "timeseries":
-            found.setdefault(f"custom:{target.key}", []).append(csv_timeseries(rows, value, ["label"]))
-            continue
-        prefix = "custom" if isinstance(target, CustomField) else "metric"
-        threshold = target.threshold if isinstance(target, CustomField) else spec.threshold(target)
-        name = "value" if isinstance(target, CustomField) else target.name
-        found.setdefault(f"{prefix}:{target.key}", []).append(
-            csv_metric(rows, value, name, threshold, ["label"], spec.grain, ("t_ns",))
-        )
-        if isinstance(target, CustomField):
-            found.setdefault(f"customhist:{target.key}", []).append(
-                csv_hist(rows, value, target.hist_bin, ["label"])
-            )
-    out = {}
-    for name, parts in found.items():
-        merged = parts[0]
-        for p in parts[1:]:
-            merged = merged.unionByName(p)
-        out[name] = csv_bounds(merged, ["label"]) if name == "bounds" else merged
-    return out, problems
+            spark.read.text(path)
+        except AnalysisException:
+            return False
+        return path != state_path
+
+    table = spark.createDataFrame(
+        [(e.label, e.path, e.target, e.column, float(e.scale), float(e.offset)) for e in entries],
+        "label string, file string, target string, column string, scale double, offset double",
+    )
+    rows = read_values(spark, [p for p in dict.fromkeys(e.path for e in entries) if readable(p)])
+    states = state_rows(read_topic_csv(spark, state_path)) if state_path else None
+    return csv_periods(rows, table, spec, states=states, excludes=excludes)
 
 
 def override_rows(
@@ -209,14 +236,3 @@ def override_results(
             out["points"], positions, keys, order=position_order, tolerance_s=tolerance_s
         )
     return out
-
-
-def read_override(
-    spark: SparkSession, path: str, column: str, scale: float, offset: float
-) -> tuple[DataFrame, Column]:
-    """Rows of a replacement file and the value to take from it; the entry's scale applies."""
-    rows = read_value_csv(spark, path)
-    chosen = column.strip()
-    if chosen not in rows.columns:
-        raise ValueError(f"no column {column} in {path}")
-    return rows.withColumn("_raw", number(F.col(f"`{chosen}`"))), linear(F.col("_raw"), scale, offset)

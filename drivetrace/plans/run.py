@@ -142,8 +142,13 @@ def custom_hist(run: Run, cf: CustomField) -> DataFrame:
 
 
 def notes(run: Run) -> DataFrame:
-    """Automatic value, its basis, and automatic and other seconds of each chunk."""
-    return state_seconds(run.states(), run.auto())
+    """Automatic value, its basis, and automatic and other seconds of each chunk with rows.
+
+    A chunk with control rows but without states has its value by explicit generation or date.
+    """
+    driven = run.rows("control").select(*KEYS).union(run.states().select(*KEYS)).distinct()
+    auto = auto_of_chunks(run.states(), run.chunks, generation=run.spec.generation, known=driven)
+    return state_seconds(run.states(), auto)
 
 
 def results(run: Run) -> dict[str, DataFrame]:

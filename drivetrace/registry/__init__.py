@@ -9,6 +9,7 @@ from drivetrace.registry import (  # noqa: F401
     legs,
     metrics,
     periods,
+    replays,
     reports,
     states,
 )

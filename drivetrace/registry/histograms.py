@@ -8,7 +8,7 @@ from drivetrace.config import HIST_BASE_BIN, HIST_DISPLAY_BIN, KEYS, SMOOTH_WIND
 from drivetrace.functions.numeric import step_decimals
 from drivetrace.operators.histogram import merge_modes, rebin, smooth, sum_bins, with_ratios
 from drivetrace.plans.run import hist
-from drivetrace.registry.base import oracle, query, run_of
+from drivetrace.registry.base import oracle, query, run_of, telemetry
 
 _RATIOS = """CASE WHEN sum(cnt_auto) OVER w > 0 THEN round(cnt_auto / sum(cnt_auto) OVER w, 9) ELSE 0 END AS ratio_auto,
   CASE WHEN sum(cnt_manual) OVER w > 0 THEN round(cnt_manual / sum(cnt_manual) OVER w, 9) ELSE 0 END AS ratio_manual"""
@@ -65,6 +65,23 @@ def hist_rebin(spark, sf):
     return rows.withColumn("x_decimals", step_decimals(F.round(F.col("bin_end") - F.col("bin_start"), 9)))
 
 
+@query(
+    "hist_step_decimals",
+    oracle(
+        "tel",
+        """SELECT DISTINCT event_id % 97 AS k, 10.0 ** -(event_id % 5) * (1 + event_id % 97) AS step,
+          CAST(CASE WHEN strpos(t, '.') = 0 THEN 0 ELSE length(t) - strpos(t, '.') END AS INTEGER) AS decimals
+        FROM (SELECT event_id, rtrim(rtrim(printf('%.9f', (1 + event_id % 97) / CAST(10 ** (event_id % 5) AS DOUBLE)), '0'), '.') AS t FROM tel)""",
+    ),
+)
+def hist_step_decimals(spark, sf):
+    """Decimals of many widths, from whole numbers to ten-thousandths."""
+    rows = telemetry(spark, sf).select(
+        (F.col("event_id") % 97).alias("k"), ((1 + F.col("event_id") % 97) / F.pow(F.lit(10.0), F.col("event_id") % 5)).alias("step")
+    )
+    return rows.distinct().withColumn("decimals", step_decimals(F.col("step")))
+
+
 @query(
     "hist_smooth",
     oracle(

@@ -324,3 +324,20 @@ def xy_elapsed(spark, sf):
     return xy_rows(rows, "signal_a", "elapsed", "start_ts").select("event_id", "period_id", "x", "signal_a")
 
 
+@query(
+    "xy_time",
+    oracle(
+        "tel periods",
+        """SELECT event_id, period_id, ts + INTERVAL 9 HOUR AS x, round(signal_a, 9) AS signal_a
+        FROM tel JOIN periods ON ts >= start_ts AND ts < end_ts""",
+    ),
+)
+def xy_time(spark, sf):
+    """Local wall-clock time as axis."""
+    from drivetrace.operators.compare import xy_rows
+    from drivetrace.operators.intervals import join_intervals
+
+    rows = join_intervals(telemetry(spark, sf), periods(spark)).withColumnRenamed("ts", "sec_time")
+    return xy_rows(rows, "signal_a", "time").select("event_id", "period_id", "x", "signal_a")
+
+

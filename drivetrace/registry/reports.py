@@ -8,10 +8,13 @@ from drivetrace.config import HIST_DISPLAY_BIN, KEYS, PERIOD, SMOOTH_WINDOW_DEFA
 from drivetrace.operators.compare import (
     axis_mode,
     hist_range_check,
+    new_warnings,
+    range_warnings,
     scatter_range_check,
     union_periods,
     visible,
     with_labels,
+    xy_rows,
 )
 from drivetrace.operators.histogram import rebin
 from drivetrace.operators.positions import map_points, position_track, positions_of_results, prefer_source
@@ -162,6 +165,40 @@ def range_check(spark, sf):
     )
 
 
+@query(
+    "xy_distance",
+    oracle(
+        "worst",
+        """SELECT vehicle_id, period_id, chunk_idx, win, round(cum_dist_km, 3) AS x, round(signal_a, 9) AS signal_a
+        FROM worst WHERE cum_dist_km IS NOT NULL""",
+    ),
+    {"x": 3},
+)
+def xy_distance(spark, sf):
+    """Distance as axis."""
+    rows = metric(run_of(spark, sf), SPEC)
+    return xy_rows(rows, "signal_a", "distance").select(VEHICLE, PERIOD, "chunk_idx", "win", "x", "signal_a")
+
+
+@query(
+    "range_new_warnings",
+    oracle(
+        "worst",
+        """c AS (SELECT 'q1' AS item, 'y' AS axis, -30.0 AS limit_lo, 40.0 AS limit_hi, min(signal_a) AS data_lo, max(signal_a) AS data_hi FROM worst
+          UNION ALL SELECT 'q1', 'x', 0, 10, min(cum_dist_km), max(cum_dist_km) FROM worst)
+        SELECT item, axis, CAST(limit_lo AS DOUBLE) AS limit_lo, CAST(limit_hi AS DOUBLE) AS limit_hi,
+          round(CAST(data_lo AS DOUBLE), 2) AS data_lo, round(CAST(data_hi AS DOUBLE), 2) AS data_hi FROM c WHERE axis = 'x'""",
+    ),
+    {"data_lo": 2, "data_hi": 2},
+)
+def range_new_warnings(spark, sf):
+    """The distance was not checked before; the value's warning is known."""
+    points = metric(run_of(spark, sf), SPEC)
+    before = range_warnings(scatter_range_check(points, "q1", "signal_a", ylim=(-30.0, 40.0)))
+    now = range_warnings(scatter_range_check(points, "q1", "signal_a", ylim=(-30.0, 40.0), xlim=(0.0, 10.0)))
+    return new_warnings(now, before)
+
+
 @query(
     "export_sheet_rows",
     oracle(

@@ -4,11 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from drivetrace.config import KEYS
+from drivetrace.config import KEYS, RunSpec
 from drivetrace.operators.positions import overlay_track, track_extent
 from drivetrace.operators.states import auto_mask, label_states, prefer_states, state_track
-from drivetrace.plans.run import notes
-from drivetrace.registry.base import oracle, query, run_of, tagged, telemetry
+from drivetrace.operators.periods import span_of
+from drivetrace.plans.run import notes, plan_run
+from drivetrace.registry.base import (
+    GRAIN,
+    PERIODS,
+    SPLIT_MINUTES,
+    TIE,
+    excludes,
+    oracle,
+    periods,
+    query,
+    run_of,
+    tagged,
+    telemetry,
+)
+from drivetrace.sources.tables import Tables
 
 _TRACK = """track AS (
   SELECT vehicle_id, period_id, chunk_idx, make_timestamp((epoch_us(ts) // 21600000000) * 21600000000) AS sec_time,
@@ -44,6 +58,33 @@ def state_seconds(spark, sf):
     return notes(run_of(spark, sf))
 
 
+@query(
+    "state_notes_gaps",
+    oracle(
+        "tagged",
+        """s AS (SELECT vehicle_id, period_id, chunk_idx, sec_time, max(system_state) AS system_state FROM tagged
+          WHERE vehicle_id <> 3 OR period_id = 2 GROUP BY 1, 2, 3, 4),
+        k AS (SELECT DISTINCT vehicle_id, period_id, chunk_idx FROM tagged),
+        a AS (SELECT k.*, CASE WHEN max(system_state) >= 5 THEN 16 ELSE 4 END AS auto_value,
+            CASE WHEN max(system_state) >= 5 THEN 'state' ELSE 'date' END AS basis
+          FROM k LEFT JOIN s USING (vehicle_id, period_id, chunk_idx) GROUP BY ALL)
+        SELECT a.*, count_if(coalesce(system_state = auto_value, FALSE)) AS auto_seconds,
+          count_if(coalesce(system_state <> auto_value, FALSE)) AS other_seconds
+        FROM a LEFT JOIN s USING (vehicle_id, period_id, chunk_idx) GROUP BY ALL""",
+    ),
+)
+def state_notes_gaps(spark, sf):
+    """One vehicle has states in one period only; its other chunks are noted by date."""
+    tel = telemetry(spark, sf)
+    second = PERIODS[1]
+    states = tel.filter(
+        (F.col("vehicle_id") != 3) | ((F.col("ts") >= F.lit(second.start)) & (F.col("ts") < F.lit(second.end)))
+    )
+    tables = Tables(tel, states, tel, tel, {"telemetry": tel})
+    spec = RunSpec(split_minutes=SPLIT_MINUTES, grain=GRAIN)
+    return notes(plan_run(tables, periods(spark), spec, excludes=excludes(spark), span=span_of(PERIODS), tie=TIE))
+
+
 @query(
     "auto_mask",
     oracle(

@@ -12,9 +12,10 @@ from drivetrace.operators.positions import map_points, track_extent
 from drivetrace.operators.quantiles import describe, exact_quantiles
 from drivetrace.operators.states import (
     auto_mask, detect_auto_value, label_states, prefer_states, state_per_second, state_track)
-from drivetrace.plans.csv_import import CsvEntry, csv_periods, override_results, read_override
+from drivetrace.plans.csv_import import CsvEntry, override_results, read_csv_periods
 from drivetrace.plans.export import sheets
-from drivetrace.plans.override import OverrideEntry, override, replay
+from drivetrace.plans.override import OverrideEntry, override, recipes_frame, replay
+from drivetrace.sources.topic_csv import read_values
 from drivetrace.plans.run import hist, metric, notes, plan_run, results
 from drivetrace.sources.tables import Tables, first_rows_between, normalized, select_columns
 
@@ -395,9 +396,10 @@ def test_csv_periods(spark, topics):
     entries = [CsvEntry("a", debug, "q1"), CsvEntry("a", debug, "cf1"), CsvEntry("a", debug, "cf2")]
     bad = [CsvEntry("a", debug, "zzz"), CsvEntry("a", str(topics / "state.csv"), "q1"), CsvEntry("a", debug, "q1", "nope"),
            CsvEntry("a", str(topics / "missing.csv"), "q1")]
-    out, problems = csv_periods(spark, entries + bad, spec, state_path=str(topics / "state.csv"))
-    assert len(problems) == 4
-    assert set(out) == {"metric:q1", "custom:cf1", "customhist:cf1", "custom:cf2", "bounds"}
+    out, told = read_csv_periods(spark, entries + bad, spec, state_path=str(topics / "state.csv"))
+    assert sorted(r.note for r in told.collect()) == ["", "", "", "no rows", "no rows", "no value column", "unknown target"]
+    assert set(out) == {"metric:q1", "metric:q2", "custom:cf1", "customhist:cf1", "custom:cf2", "bounds"}
+    assert out["metric:q2"].count() == 0
     got = values(out["metric:q1"], "win", "lateral_error", "abs_lateral_error", "cum_dist_km")
     assert [g[1:] for g in got] == [(-0.9, 0.9, None)]
     h = values(out["customhist:cf1"], "bin_start", "cnt_auto", "cnt_manual")
@@ -405,14 +407,17 @@ def test_csv_periods(spark, topics):
     assert out["custom:cf2"].count() == 90
     b = out["bounds"].collect()[0]
     assert (b.end_ts - b.start_ts).total_seconds() == 90
-    everything, problems = csv_periods(spark, [CsvEntry("a", debug, "q1")], spec)
+    everything, told = read_csv_periods(spark, [CsvEntry("a", debug, "q1")], spec)
     assert sorted(g[0] for g in values(everything["metric:q1"], "lateral_error")) == [-0.9, 1.5]
-    assert len(problems) == 1
+    (topics / "empty.csv").write_text("t_ns,system_state\n")
+    nothing, _ = read_csv_periods(spark, [CsvEntry("a", debug, "q1")], spec, state_path=str(topics / "empty.csv"))
+    assert sorted(g[0] for g in values(nothing["metric:q1"], "lateral_error")) == [-0.9, 1.5]
 
 
 def test_override(spark, topics):
-    rows, value = read_override(spark, str(topics / "debug.csv"), "debug.lateral_error", 2.0, 0.1)
-    rows = rows.withColumn("p", F.lit(1)).withColumn("is_auto", F.lit(True))
+    raw = read_values(spark, [str(topics / "debug.csv")])
+    value = F.col("values")["debug.lateral_error"] * 2.0 + 0.1
+    rows = raw.withColumn("p", F.lit(1)).withColumn("is_auto", F.lit(True))
     out = override_results(rows, "custom_timeseries", value, ["p"], width=0.5)
     assert set(out) == {"points", "hist"}
     assert out["points"].count() == 90
@@ -423,7 +428,8 @@ def test_override(spark, topics):
     assert sorted(values(merged, "p", "overridden")) == [(1, True), (1, True), (2, False)]
     nothing = apply_overrides(base, points.select("p", "lateral_error").filter("false"), ["p"])
     assert values(nothing, "p", "lateral_error") == [(1, 9.0), (2, 8.0)]
-    funnel = override_funnel(rows.withColumn("is_auto", F.col("_raw") < 1), value, 1.5, ["p"]).collect()[0]
+    low = F.col("values")["debug.lateral_error"] < 1
+    funnel = override_funnel(rows.withColumn("is_auto", low), value, 1.5, ["p"]).collect()[0]
     assert (funnel.n_period, funnel.n_auto, funnel.n_threshold) == (180, 120, 60)
 
 
@@ -446,16 +452,39 @@ def test_override_of_a_run(spark, topics):
     row = out["metric:q1"].filter("overridden").collect()[0]
     assert row.latitude == pytest.approx(35.0003) and row.cum_dist_km == pytest.approx(0.0333585, rel=1e-4)
     hist_entry = OverrideEntry(entry.path, 1, "q3", entry.column, period_label="late", drive_mode="manual")
-    again = replay(spark, out, [hist_entry, entry], spec, p, states=states, positions=track)
+    again = override(spark, out, [hist_entry, entry], spec, p, states=states, positions=track)
     counts = values(again["hist"].filter("overridden"), "vehicle_id", "bin_start", "cnt_auto", "cnt_manual")
     assert counts == [(1, -0.9, 0, 60), (1, 0.5, 0, 60), (1, 1.5, 0, 60)]
     assert values(again["metric:q1"], "vehicle_id", "period_id", "lateral_error", "overridden") == got
+    blank = override(spark, base, OverrideEntry(entry.path, 1, "q1"), spec, p, states=states, positions=track)
+    assert values(blank["metric:q1"], "vehicle_id", "period_id", "lateral_error", "overridden") == got
     with pytest.raises(ValueError):
         override(spark, base, entry, spec, p)
+    with pytest.raises(Exception, match="no states"):
+        override(spark, base, entry, spec, p, states=states.filter("vehicle_id = 2"), positions=track)["metric:q1"].collect()
     with pytest.raises(ValueError):
         override(spark, base, OverrideEntry(entry.path, 1, "zzz", entry.column), spec, p)
 
 
+def test_replay_plan_does_not_grow(spark):
+    """Two or many recipes, periods of two vehicles: as many scans."""
+    base = frame(spark, "vehicle_id int, period_id int, lateral_error double", [(1, 1, 9.0), (2, 2, 9.0)])
+    own = frame(spark, "vehicle_id int, period_id int, label string, start_ts timestamp, end_ts timestamp",
+                [(1, 1, "a", "2026-07-01 00:00:00", "2026-07-01 01:00:00"), (2, 2, "b", "2026-07-01 00:30:00", "2026-07-01 02:00:00")])
+    rows = frame(spark, "file string, ts timestamp, sec_time timestamp, t_ns long, v double",
+                 [(f"f{v}", t, t, n, 1.0 + n) for v in (1, 2) for n, t in enumerate(("2026-07-01 00:40:00", "2026-07-01 00:50:00", "2026-07-01 01:10:00"))])
+    rows = rows.select("file", "ts", "sec_time", "t_ns", F.create_map(F.lit("x.lateral_error"), "v").alias("values"))
+
+    def run(n):
+        entries = [OverrideEntry(f"f{1 + k % 2}", 1 + k % 2, "q1", "", 1.0, float(k), "", "auto") for k in range(n)]
+        return replay({"metric:q1": base}, recipes_frame(spark, entries, "int"), rows, RunSpec(), own, order=["seq"])[0]["metric:q1"]
+
+    got = values(run(4), "vehicle_id", "period_id", "lateral_error", "overridden")
+    assert got == [(1, 1, 3.0, True), (1, 1, 4.0, True), (2, 2, 4.0, True), (2, 2, 5.0, True), (2, 2, 6.0, True)]
+    size = lambda n: run(n)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert size(2) == size(200)
+
+
 def test_sheets(spark):
     out = sheets(run(spark))
     assert set(out) == {"Q1", "Q2", "Q3"}
