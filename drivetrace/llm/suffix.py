@@ -122,30 +122,48 @@ def repeated(documents: DataFrame, width: int = 50, bytes_each: int = 12 << 20)
                 out.append((block, 0, bucket, own.tobytes(), b""))
         return B.packed_frame(out)
 
+    def short(digit: np.ndarray) -> np.ndarray:
+        """A first digit by its bucket and low half."""
+        return (digit & half) | (B.bucket_of(digit, buckets).astype(np.uint64) << np.uint64(32))
+
+    def shorts(answers: pd.DataFrame) -> np.ndarray:
+        """The digits that answers name, sorted."""
+        parts = [np.frombuffer(k, np.uint32) | (np.uint64(b) << np.uint64(32)) for b, k in zip(answers["bucket"], answers["keys"])]
+        return np.sort(np.concatenate([np.zeros(0, np.uint64), *parts]))
+
     def contexts(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(answers):
             return B.packed_frame([])
         runs = Runs(B.Buffer(pdf), width)
-        shared = np.sort(np.concatenate([np.frombuffer(k, np.uint32) | (np.uint64(b) << np.uint64(32)) for b, k in zip(answers["bucket"], answers["keys"])]))
-        own = (runs.digit & half) | (B.bucket_of(runs.digit, buckets).astype(np.uint64) << np.uint64(32))
+        shared, own = shorts(answers), short(runs.digit)
         kept = B.looked_up(shared, np.ones(len(shared), bool), own, False)
         whole, least = B.least_by_key(runs.whole[kept], runs.ids[kept])
         out = B.packed(key[0], buckets, whole, least, kind=0)
-        low, lowest = B.least_by_key(runs.digit[kept], runs.whole[kept])
-        _, highest = B.least_by_key(runs.digit[kept], ~runs.whole[kept])
-        return B.packed_frame(out + B.packed(key[0], buckets, low, lowest, ~highest, kind=1))
+        # Of each digit the one run, or that there are several: one run's hash for each single one.
+        digit, lowest = B.least_by_key(own[kept], runs.whole[kept])
+        _, highest = B.least_by_key(own[kept], ~runs.whole[kept])
+        single = lowest == ~highest
+        edges = np.searchsorted(digit >> np.uint64(32), np.arange(buckets + 1))
+        for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
+            if hi > lo:
+                one, low = single[lo:hi], (digit[lo:hi] & half).astype(np.uint32)
+                out.append((key[0], 1, b, low[one].tobytes() + low[~one].tobytes(), lowest[lo:hi][one].tobytes()))
+        return B.packed_frame(out)
 
     def context_answers(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["kind"].iloc[0] == 0:
             return B.smallest_elsewhere(pdf)
-        keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
-        ranges = [np.frombuffer(d, np.uint64).reshape(2, -1) for d in pdf["data"]]
-        all_keys, lowest = B.least_by_key(np.concatenate(keys), np.concatenate([r[0] for r in ranges]))
-        _, highest = B.least_by_key(np.concatenate(keys), np.concatenate([~r[1] for r in ranges]))
-        differ = all_keys[lowest != ~highest]
+        keys = [np.frombuffer(k, np.uint32) for k in pdf["keys"]]
+        runs = [np.frombuffer(d, np.uint64) for d in pdf["data"]]
+        single = np.concatenate([k[: len(r)] for k, r in zip(keys, runs)])
+        several = np.concatenate([k[len(r) :] for k, r in zip(keys, runs)])
+        values = np.concatenate(runs)
+        digit, lowest = B.least_by_key(single, values)
+        _, highest = B.least_by_key(single, ~values)
+        differ = np.union1d(digit[lowest != ~highest], several)
         out = []
         for block, bucket, k in zip(pdf["block"], pdf["bucket"], keys):
-            own = np.intersect1d(k, differ, assume_unique=True)
+            own = np.intersect1d(k, differ)
             if len(own):
                 out.append((block, 1, bucket, own.tobytes(), b""))
         return B.packed_frame(out)
@@ -157,8 +175,8 @@ def repeated(documents: DataFrame, width: int = 50, bytes_each: int = 12 << 20)
         elsewhere, smaller = B.unpacked(answers, 0)
         least = np.minimum(least, B.looked_up(elsewhere, smaller, runs.whole, B.NO_ID))
         repeats = least < runs.ids
-        differ, _ = B.unpacked(answers, 1)
-        return repeats, np.flatnonzero(~repeats & B.looked_up(differ, np.ones(len(differ), bool), runs.digit, False))
+        differ = shorts(answers[answers["kind"] == 1])
+        return repeats, np.flatnonzero(~repeats & B.looked_up(differ, np.ones(len(differ), bool), short(runs.digit), False))
 
     def strings(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(answers):
