@@ -39,7 +39,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document, and whether they decode to its text."""
     vocabulary = pieces.vocabulary(PIECE_MODEL)
-    rows = pieces.decoded(pieces.encoded(docs, vocabulary), vocabulary)
+    rows = pieces.encoded(docs, vocabulary, decode=True)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 

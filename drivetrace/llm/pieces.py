@@ -1,7 +1,8 @@
 """Encoding texts as sentence pieces, and back, by a shared-prefix Viterbi search.
 
 Spaces become the mark U+2581 and one mark is put in front of a text. A text falls into marked words:
-marks and what follows up to the next mark; a line end is a word of its own. Distinct words, sorted,
+marks and what follows, up to the next mark, line end, or change between letters and other characters.
+Words are cut only where no piece of the vocabulary could reach across. Distinct words, sorted,
 are a trie in depth-first order: two neighbours share the path of their common prefix, and what the
 forward pass found along it is kept.
 
@@ -19,7 +20,6 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Stands for a mark that the text itself holds; no text can hold this code point.
 LITERAL = "\ud800"
-#: Words a Python worker remembers between batches, and text bytes encoded at a time.
-REMEMBERED, AT_ONCE = 300_000, 4 << 20
-WORDS = re.compile(" *[^ \n]+| +|\n")
+#: Words (twice over) and pairs of pieces a Python worker remembers, and characters encoded at a time.
+REMEMBERED, AT_ONCE = 300_000, 2 << 20
 
 
 @dataclass
@@ -45,9 +44,6 @@ class Pieces:
     merges: bool = False
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    @cached_property
-    def longest(self) -> int:
-        return max(map(len, self.scores), default=0)
 
 
 def vocabulary(path: str) -> Pieces:
@@ -87,71 +83,145 @@ def merged(text: str, scores: dict[str, tuple[float, int]]) -> list[str]:
         parts[n : n + 2] = [parts[n] + parts[n + 1]]
 
 
-def _best_sum(pieces: Pieces):
-    """Forward step of a unigram model: (best sum, last piece) of the prefix that ends at ``end``."""
-    find, longest = pieces.scores.get, pieces.longest
-    lowest = min((s for s, _ in pieces.scores.values()), default=0.0) - 10.0
-
-    def step(word: str, end: int, states: list[tuple]) -> tuple:
-        top, last = None, ""
-        for start in range(max(0, end - longest), end):
-            hit = find(word[start:end])
-            if hit is not None and (top is None or states[start][0] + hit[0] > top):
-                top, last = states[start][0] + hit[0], word[start:end]
-        if find(word[end - 1]) is None and (top is None or states[end - 1][0] + lowest > top):
-            top, last = states[end - 1][0] + lowest, word[end - 1]
-        return top, last
-
-    return step
-
-
-def _only_merge(pieces: Pieces):
-    """Forward step of a byte-pair model: (0, last piece) of the prefix that ends at ``end``."""
-    scores, longest = pieces.scores, pieces.longest
-    apart: dict[tuple[str, str], bool] = {}
-
-    def step(word: str, end: int, states: list[tuple]) -> tuple:
-        for start in range(max(0, end - longest), end):
-            piece = word[start:end]
-            if piece in scores:
-                before = states[start][1]
-                fits = apart.get((before, piece))
+class Trie:
+    """Words as a trie, walked depth-first: what the forward pass holds for each prefix of the last word."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.number = {p: i for p, (_, i) in pieces.scores.items()}
+        self.packed = {i: np.int32(i).tobytes() for i in self.number.values()}
+        ends: dict[str, set[int]] = {}
+        for piece in self.number:
+            ends.setdefault(piece[-2:], set()).add(len(piece))
+        #: Lengths of the pieces that end in two given characters, the longest first.
+        self.lengths = {e: sorted({*n, *ends.get(e[-1], ())}, reverse=True) for e, n in ends.items()}
+        self.apart: dict[int, bool] = {}
+
+    def _other(self, char: str) -> bytes:
+        """Ids of a character that no piece covers: its bytes."""
+        body = (MARK if char == LITERAL else char).encode()
+        return np.array([self.pieces.byte_ids[b] for b in body], np.int32).tobytes()
+
+    def segmented(self, words: list[str]) -> list[bytes]:
+        """Ids of the segmentation of each marked word, as 32-bit numbers; ``words`` are sorted."""
+        walk = self._by_merges if self.pieces.merges else self._by_sum
+        state = [""], [b""], [0.0]
+        before, out = "", []
+        for word in words:
+            shared, most = 0, min(len(word), len(before))
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            for held in state:
+                del held[shared + 1 :]
+            walk(word, shared, *state)
+            out.append(state[1][-1])
+            before = word
+        return out
+
+    def _by_merges(self, word: str, shared: int, last: list[str], ids: list[bytes], sums: list[float]) -> None:
+        """For each further prefix the one last piece that the merges leave, and the ids so far."""
+        number, apart, lengths, packed = self.number, self.apart, self.lengths, self.packed
+        for end in range(shared + 1, len(word) + 1):
+            char = word[end - 1]
+            for n in lengths.get(word[end - 2 : end] if end > 1 else char) or (1,):
+                if n > end:
+                    continue
+                piece = word[end - n : end]
+                own = number.get(piece)
+                if own is None:
+                    continue
+                key = number.get(last[end - n], -1) << 32 | own
+                fits = apart.get(key)
                 if fits is None:
-                    if len(apart) > REMEMBERED:
-                        apart.clear()
-                    fits = apart[before, piece] = merged(before + piece, scores) == ([before, piece] if before else [piece])
+                    fits = self._fits(key, last[end - n], piece)
                 if fits:
-                    return 0.0, piece
-        return 0.0, word[end - 1]
-
-    return step
-
-
-def segmented(words: list[str], pieces: Pieces) -> list[bytes]:
-    """Ids of the segmentation of each marked word, as 32-bit numbers; ``words`` are sorted."""
-    step = _only_merge(pieces) if pieces.merges else _best_sum(pieces)
-    states: list[tuple] = [(0.0, "")]
-    before, out = "", []
-    for word in words:
-        shared, most = 0, min(len(word), len(before))
-        while shared < most and word[shared] == before[shared]:
-            shared += 1
-        del states[shared + 1 :]
+                    last.append(piece)
+                    ids.append(ids[end - n] + packed[own])
+                    break
+            else:
+                last.append(char)
+                ids.append(ids[end - 1] + self._other(char))
+
+    def _fits(self, key: int, before: str, piece: str) -> bool:
+        """Whether merging two pieces' characters alone gives the two again."""
+        if len(self.apart) > REMEMBERED:
+            self.apart.clear()
+        wanted = [before, piece] if key >= 0 else [piece]
+        self.apart[key] = merged("".join(wanted), self.pieces.scores) == wanted
+        return self.apart[key]
+
+    def _by_sum(self, word: str, shared: int, last: list[str], ids: list[bytes], sums: list[float]) -> None:
+        """For each further prefix the best sum of scores, and the ids so far."""
+        scores = self.pieces.scores
+        lowest = min((s for s, _ in scores.values()), default=0.0) - 10.0
         for end in range(shared + 1, len(word) + 1):
-            states.append(step(word, end, states))
-        found, at = [], len(word)
-        while at:
-            piece = states[at][1]
-            at -= len(piece)
-            hit = pieces.scores.get(piece)
-            found.append(np.int32(hit[1]).tobytes() if hit else np.array([pieces.byte_ids[b] for b in piece.replace(LITERAL, MARK).encode()], np.int32).tobytes())
-        out.append(b"".join(reversed(found)))
-        before = word
-    return out
-
-
-def encoded(documents: DataFrame, pieces: Pieces) -> DataFrame:
-    """doc_id and ids (array of piece ids) for every row of ``documents``; text goes along.
+            top, way = None, b""
+            for n in self.lengths.get(word[end - 2 : end] if end > 1 else word[0]) or (1,):
+                hit = scores.get(word[end - n : end]) if n <= end else None
+                if hit is not None and (top is None or sums[end - n] + hit[0] > top):
+                    top, way = sums[end - n] + hit[0], ids[end - n] + self.packed[hit[1]]
+            if word[end - 1] not in scores and (top is None or sums[end - 1] + lowest > top):
+                top, way = sums[end - 1] + lowest, ids[end - 1] + self._other(word[end - 1])
+            sums.append(top)
+            ids.append(way)
+
+
+def word_pattern(pieces: Pieces) -> re.Pattern:
+    """What a marked word is: spaces and a run of letters and digits, or of other characters.
+
+    A character that some piece joins to one of the other kind counts as other, and so on until no piece
+    joins the two kinds; pieces hold marks in front only, and no line ends.
+    """
+    pairs = {(a, b) for p in pieces.scores for a, b in zip(p, p[1:]) if MARK not in (a, b)}
+    letter, odd = re.compile(r"[^\W_]"), {"_"}
+    if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces.scores):
+        return re.compile("(?s).+")
+    while more := {c for p in pairs for c, d in (p, p[::-1]) if letter.match(c) and c not in odd and (d in odd or not letter.match(d))}:
+        odd |= more
+    others = re.escape("".join(sorted(odd)))
+    return re.compile(rf" *[^\W{others}]+| *(?:[^\w \n]|[{others}])+| +|\n")
+
+
+class Words:
+    """Words segmented before, of which the ones seen lately are kept."""
+
+    def __init__(self, pieces: Pieces):
+        self.trie = Trie(pieces)
+        self.cut = word_pattern(pieces).findall
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self.cut(" " + t.replace(MARK, LITERAL)) if t else [] for t in texts]
+        distinct = set().union(*split)
+        new = distinct.difference(self.young)
+        if len(self.young) + len(new) > REMEMBERED:
+            self.old, self.young, new = self.young, {}, distinct
+        seen = new.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in seen)
+        marked = sorted((w.replace(" ", MARK), w) for w in new.difference(seen))
+        self.young.update(zip((w for _, w in marked), self.trie.segmented([m for m, _ in marked])))
+        return [np.frombuffer(b"".join(map(self.young.__getitem__, words)), np.int32) for words in split]
+
+
+#: What a Python worker remembers, by vocabulary.
+_REMEMBERED: dict[str, Words] = {}
+
+
+def _slices(texts: list[str]):
+    """Ranges of texts of about AT_ONCE characters; a longer text is alone."""
+    lo, size = 0, 0
+    for hi, text in enumerate(texts):
+        if hi > lo and size + len(text) > AT_ONCE:
+            yield slice(lo, hi)
+            lo, size = hi, 0
+        size += len(text)
+    if len(texts) > lo:
+        yield slice(lo, len(texts))
+
+
+def encoded(documents: DataFrame, pieces: Pieces, decode: bool = False) -> DataFrame:
+    """doc_id, text and ids (array of piece ids) of every row of ``documents``; decoded too, if asked for.
 
     A null or empty text has no ids. Any other text is encoded whole, from the one mark put in front of
     it to its end. Only doc_id and text are read; rows are never shuffled.
@@ -160,36 +230,26 @@ def encoded(documents: DataFrame, pieces: Pieces) -> DataFrame:
 
     def encode(parts):
         held = shared.value
-        known = _REMEMBERED.setdefault(held.name, {})
+        words = _REMEMBERED.setdefault(held.name, Words(held))
         for pdf in parts:
             texts = pdf["text"].to_list()
-            ids, lo, size = [], 0, 0
-            for hi in range(1, len(texts) + 1):
-                size += len(texts[hi - 1])
-                if size > AT_ONCE or hi == len(texts):
-                    ids += _encoded(texts[lo:hi], known, held)
-                    lo, size = hi, 0
-            yield pdf.assign(ids=ids)
+            for rows in _slices(texts):
+                ids = words.encode(texts[rows])
+                out = pd.DataFrame({"doc_id": pdf["doc_id"].iloc[rows], "text": texts[rows], "ids": ids})
+                yield out.assign(decoded=[_decoded(i.tolist(), held.decoded) for i in ids]) if decode else out
 
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.mapInPandas(encode, "doc_id string, text string, ids array<int>")
+    more = ", decoded string" if decode else ""
+    rows = rows.mapInPandas(encode, f"doc_id string, text string, ids array<int>{more}")
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-#: Words a worker has segmented, by vocabulary.
-_REMEMBERED: dict[str, dict[str, bytes]] = {}
-
-
-def _encoded(texts: list[str], known: dict[str, bytes], pieces: Pieces) -> list[np.ndarray]:
-    split = [WORDS.findall(" " + t.replace(MARK, LITERAL)) if t else [] for t in texts]
-    new = set().union(*split).difference(known)
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = set().union(*split)
-    marked = {w.replace(" ", MARK): w for w in new}
-    order = sorted(marked)
-    known.update(zip(map(marked.__getitem__, order), segmented(order, pieces)))
-    return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
+def _decoded(ids: list, table: list[bytes]) -> str:
+    try:
+        body = b"".join(map(table.__getitem__, ids))
+    except (IndexError, TypeError):
+        body = b"".join(table[int(i)] for i in ids if i is not None and i == i and 0 <= i < len(table))
+    return body.decode("utf-8", "replace").removeprefix(" ")
 
 
 def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
@@ -204,14 +264,6 @@ def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
     def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = shared.value.decoded
         for ids in parts:
-            out = []
-            for row in ids:
-                numbers = [] if row is None else row.tolist()
-                try:
-                    body = b"".join(map(table.__getitem__, numbers))
-                except (IndexError, TypeError):
-                    body = b"".join(table[int(i)] for i in numbers if i is not None and i == i and 0 <= i < len(table))
-                out.append(body.decode("utf-8", "replace").removeprefix(" "))
-            yield pd.Series(out)
+            yield pd.Series([_decoded([] if row is None else row.tolist(), table) for row in ids])
 
     return rows.withColumn("decoded", decode("ids"))

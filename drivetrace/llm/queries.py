@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drivetrace.llm import chat, chunking, embed_dedup, jaccard, mixing, pieces, pii, quality, suffix, vptree
+from drivetrace.llm import chat, chunking, embed_dedup, jaccard, mixing, oracles, pieces, pii, quality, suffix, vptree
 
 
 #: Where the installed public tokenizers keep the piece model.
@@ -62,7 +62,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = pieces.vocabulary(PIECE_MODEL)
-    rows = pieces.decoded(pieces.encoded(_table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    rows = pieces.encoded(_table(spark, sf_dir, "documents"), vocabulary, decode=True)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -84,4 +84,11 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+#: The others hash, learn or cut texts in ways SQL does not have; they are tested against plain versions.
+ORACLES = {
+    "op2_vp_tree": oracles.NEAREST,
+    "op4_chosen_path": oracles.TEXT_LINKS,
+    "op5_embedding_dedup": oracles.VECTOR_LINKS,
+    "op7_chat": oracles.CHAT,
+    "op10_suffix_array": oracles.REPEATED,
+}

@@ -52,7 +52,7 @@ def ids_of(packed):
 def test_merges_equal_the_library(vocabulary, library):
     mine, theirs = marked()
     assert vocabulary.merges
-    assert ids_of(pieces.segmented(mine, vocabulary)) == [library.encode(w) for w in theirs]
+    assert ids_of(pieces.Trie(vocabulary).segmented(mine)) == [library.encode(w) for w in theirs]
 
 
 def test_sums_equal_the_library(as_unigram):
@@ -60,7 +60,7 @@ def test_sums_equal_the_library(as_unigram):
     mine, theirs = marked()
     assert not own.merges
     score = lambda ids: sum(model.get_score(i) for i in ids if not model.is_byte(i))
-    for ids, word in zip(ids_of(pieces.segmented(mine, own)), theirs):
+    for ids, word in zip(ids_of(pieces.Trie(own).segmented(mine)), theirs):
         best = model.nbest_encode_as_ids(word, 2) if 0 < len(word.strip()) < 16 else [ids]
         if not any(model.is_byte(i) for i in best[0]):
             assert score(ids) == max(map(score, best))
@@ -77,7 +77,7 @@ def test_best_sum_by_brute_force():
         return max((best(w[: len(w) - len(p)]) + s for p, (s, _) in scores.items() if w.endswith(p)), default=float("-inf"))
 
     by_id = {i: (s, p) for p, (s, i) in scores.items()}
-    for w, ids in zip(marked, pieces.segmented(marked, own)):
+    for w, ids in zip(marked, pieces.Trie(own).segmented(marked)):
         found = [by_id[i] for i in np.frombuffer(ids, np.int32).tolist()]
         assert "".join(p for _, p in found) == w and sum(s for s, _ in found) == best(w)
 
@@ -96,6 +96,32 @@ def test_round_trip(docs_of, vocabulary):
     assert all((len(r.ids) == 0) == (r.text == "") for r in got)
 
 
+def test_decoded_beside(docs_of, vocabulary):
+    rows = list(enumerate(NASTY))
+    assert all(r.decoded == r.text for r in pieces.encoded(docs_of(rows), vocabulary, decode=True).collect())
+
+
+def test_whole_texts_equal_the_library(vocabulary, library):
+    texts = [" ".join(w).replace("q", "\n") for w in zip(words(300), words(300, seed=3), words(300, seed=4))]
+    texts += ["reed*** (ndsh), x²y m². it's_a-b 12,5% «é» 漢字。 a_b__c", "THE!! | END:)"]
+    got = pieces.Words(vocabulary).encode(texts)
+    assert [g.tolist() for g in got] == [library.encode(t) for t in texts]
+
+
+def test_words_end_only_where_no_piece_goes_on():
+    glued = pieces.Pieces({"▁": (0, 0), "a.": (0, 1), "b": (0, 2), "ab": (0, 3), "!": (0, 4)}, list(range(256)), [])
+    assert pieces.word_pattern(glued).findall(" b!bc ab.!\n  x") == [" b!b", "c", " ab.!", "\n", "  x"]
+
+
+def test_forgetting_words_changes_nothing(vocabulary, monkeypatch):
+    texts = ["".join(w) for w in zip(words(400), words(400, seed=9))]
+    whole = pieces.Words(vocabulary).encode(texts)
+    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    few = pieces.Words(vocabulary)
+    again = [few.encode([t])[0] for t in texts]
+    assert all((a == b).all() for a, b in zip(whole, again))
+
+
 def test_decoding_odd_ids(spark, vocabulary):
     rows = spark.createDataFrame([(1, None, "x"), (2, [], "x"), (3, [None, 99999999, -1, vocabulary.byte_ids[0xE2]], "x")], "n int, ids array<int>, text string")
     got = {r.n: r.decoded for r in pieces.decoded(rows, vocabulary).collect()}
