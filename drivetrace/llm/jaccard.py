@@ -8,7 +8,8 @@ probability that the threshold bounds from below; runs repeat until the target r
 
 In leaves all pairs are compared on their whole sets. Leaves of equal members count once, and a pair
 counts in the first leaf that holds both, so that no link counts twice and none is ever listed: a
-leaf gives the number of links of each member and a tree of links. Large leaves are compared in tiles.
+leaf gives the number of links of each member and a tree of links. Large leaves with members in common
+are one leaf, compared in tiles.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def near_texts(
         F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"), F.min("tokens").alias("tokens")
     )
     classes = written(classes.select(F.xxhash64("digest").alias("node"), "digest", "first.*", "copies", "tokens"), "classes")
-    members = written(leaves_of(classes, runs, leaf, levels), "leaves")
+    members = _gathered(written(leaves_of(classes, runs, leaf, levels), "leaves"), leaf)
     targets = _targets(members, leaf, tile)
     targets = targets.join(classes.select("node", "doc_id", "text_hash", "copies"), "node")
     texts = _rows(documents).groupBy("doc_id", "text_hash").agg(F.first("body").alias("body"))
@@ -192,35 +193,40 @@ def distinct_texts(documents: DataFrame, **options) -> DataFrame:
     return documents.withColumns(own).join(kept, ["_h", "_d"], "left_semi").dropDuplicates(["_h", "_d"]).select(*documents.columns)
 
 
+def _gathered(members: DataFrame, leaf: int) -> DataFrame:
+    """Large leaves that share members as one leaf, which comes before all others: key, node.
+
+    A group of near-copies is too alike to be split, so every run leaves it as large leaves with mostly the
+    same members. Taken together they are compared once, not once for each run.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub"))
+    large = members.join(sizes.where(F.col("size") > leaf), "key")
+    roots = components(large.select(F.col("node").alias("a"), F.col("hub").alias("b")), "large-leaves")
+    key = -1 - F.shiftrightunsigned("root", 1)  # below every other key
+    small = members.join(sizes.where(F.col("size") <= leaf).select("key"), "key").select("key", "node")
+    return written(small.union(roots.select(key.alias("key"), "node")), "gathered")
+
+
 def _targets(members: DataFrame, leaf: int, tile: int) -> DataFrame:
     """Where the set of each node is compared: node, keys (its leaves), targets (bucket, key, side).
 
-    Leaves in which all members met before need no look. Small ones are gathered into buckets. Large ones
-    are cut into tiles of members with the same first leaf, and each pair of tiles is a bucket, but for
-    pairs whose members all met in that first leaf. Side 0 is compared with itself, 1 with 2.
+    Leaves in which all members met before need no look. Small ones are gathered into buckets; large ones
+    are cut into tiles, and each pair of tiles is a bucket. Side 0 is compared with itself, 1 with 2.
     """
     firsts = members.groupBy("node").agg(F.min("key").alias("first"), F.array_sort(F.collect_list("key")).alias("keys"))
     rows = members.join(firsts.select("node", "first"), "node")
-    sizes = rows.groupBy("key", "first").agg(F.count("*").alias("n"))
-    whole = sizes.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.min("first").alias("earliest"))
-    whole = written(whole.where("size > 1 AND (parts > 1 OR earliest = key)").select("key", "size"), "open-leaves")
-    small, large = whole.where(F.col("size") <= leaf).select("key"), whole.where(F.col("size") > leaf).select("key")
+    whole = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("first").alias("least"), F.max("first").alias("most"))
+    whole = written(whole.where("size > 1 AND (least <> most OR least = key)").select("key", "size"), "open-leaves")
+    small = whole.where(F.col("key") >= 0).select("key")
     in_small = rows.join(small, "key").select("node", F.pmod(F.xxhash64("key"), F.lit(max(8, small.count() // 64))).alias("bucket"), "key", F.lit(0).alias("side"))
 
-    tiles = sizes.join(large, "key").withColumn("parts", F.ceil(F.col("n") / tile).cast("int"))
-    tiles = tiles.select("key", "first", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    other = tiles.select("key", F.col("first").alias("first_b"), F.col("part").alias("part_b"))
-    met = F.col("first") == F.col("first_b")
-    pairs = tiles.join(other, "key").where(
-        (F.col("first") < F.col("first_b")) | (met & (F.col("first") == F.col("key")) & (F.col("part") <= F.col("part_b")))
-    )
-    same = met & (F.col("part") == F.col("part_b"))
-    bucket = F.xxhash64("key", "first", "part", "first_b", "part_b").alias("bucket")
-    left = pairs.select("key", "first", "part", bucket, F.when(same, 0).otherwise(1).alias("side"))
-    right = pairs.where(~same).select("key", F.col("first_b").alias("first"), F.col("part_b").alias("part"), bucket, F.lit(2).alias("side"))
-    placed = rows.join(tiles.select("key", "first", "parts").distinct(), ["key", "first"])
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    in_large = placed.join(left.union(right), ["key", "first", "part"]).select("node", "bucket", "key", "side")
+    parts = whole.where(F.col("key") < 0).withColumn("parts", F.ceil(F.col("size") / tile).cast("int")).select("key", "parts")
+    placed = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # A tile meets itself and every other one.
+    met = placed.select("node", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+    bucket = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    in_large = met.select("node", bucket.alias("bucket"), "key", side.alias("side"))
     target = F.collect_list(F.struct("bucket", "key", "side")).alias("targets")
     return in_small.union(in_large).groupBy("node").agg(target).join(firsts.select("node", "keys"), "node")
 
