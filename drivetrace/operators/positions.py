@@ -92,7 +92,8 @@ def attach_positions(
     Without a given tolerance each key uses that of its own source; rows out of tolerance, and rows
     that had a position before, get nulls.  Keys without any position stay as they are.
     """
-    track = position_track(positions, keys, order=order).withColumnsRenamed(
+    unique = unique_positions(positions, keys, order=order)
+    track = running_distance(unique, keys, ts="ts", lat="lat", lon="lon", width_us=GRAIN_US["hour"]).withColumnsRenamed(
         {"cum_dist_km": "_km", "lat": "_lat", "lon": "_lon"}
     )
     limit = POSITION_TOLERANCE_MAX_SECONDS if tolerance_s is None else tolerance_s
@@ -108,12 +109,11 @@ def attach_positions(
     )
     near = F.col("_at").isNotNull()
     if tolerance_s is None:
-        own = gap_tolerance(positions, keys).select(*keys, "tolerance_s")
+        own = gap_tolerance(unique, keys).select(*keys, "tolerance_s")
         allowed = F.coalesce("tolerance_s", F.lit(POSITION_TOLERANCE_MAX_SECONDS))
         out = out.join(own, list(keys), "left")
         near = near & (F.abs(micros(ts) - micros("_at")) <= allowed * 1e6)
-    known = positions.filter(number("lat").isNotNull() & number("lon").isNotNull() & F.col("ts").isNotNull())
-    has = known.select(*keys).distinct().withColumn("_has", F.lit(True))
+    has = unique.select(*keys).distinct().withColumn("_has", F.lit(True))
     out = out.join(has, list(keys), "left")
     for old, new in zip(("latitude", "longitude", "cum_dist_km"), ("_lat", "_lon", "_km")):
         kept = F.col(old) if old in rows.columns else F.lit(None).cast("double")

@@ -8,7 +8,7 @@ rows of its key, or few rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,57 +22,61 @@ ACCURACY, MARGIN = 10_000, 1e-3
 FEW = 2_500
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = (), *, also: dict[str, Callable[[Column], Column]] | None = None
+) -> DataFrame:
     """``keys``, ``n`` and one column per entry of ``probs`` (name to probability).
 
     Linear interpolation between the two nearest ranks; nulls and NaN do not count.  A key without any
-    value has ``n`` 0 and null quantiles.
+    value has ``n`` 0 and null quantiles.  ``also`` names further aggregates of the value, found on the way.
     """
-    keys, ps = list(keys), [float(p) for p in probs.values()]
+    keys, ps, more = list(keys), [float(p) for p in probs.values()], also or {}
     rows = df.select(*keys, number(value).alias("_v"))
-    low = F.percentile_approx("_v", [max(0.0, p - MARGIN) for p in ps], ACCURACY)
-    high = F.percentile_approx("_v", [min(1.0, p + MARGIN) for p in ps], ACCURACY)
-    extent = F.min("_v"), F.max("_v")
-    known = rows.groupBy(*keys).agg(F.count("_v").alias("n"), low.alias("_low"), high.alias("_high"), extent[0].alias("_min"), extent[1].alias("_max"))
+    v = F.col("_v")
+    low = F.percentile_approx(v, [max(0.0, p - MARGIN) for p in ps], ACCURACY)
+    high = F.percentile_approx(v, [min(1.0, p + MARGIN) for p in ps], ACCURACY)
+    known = rows.groupBy(*keys).agg(
+        F.count(v).alias("n"), low.alias("_low"), high.alias("_high"), F.min(v).alias("_min"), F.max(v).alias("_max"),
+        *[f(v).alias(name) for name, f in more.items()],
+    )
 
-    def bracket(n: int, p: float) -> Column:
+    def bracket(no: int, p: float) -> Column:
         few = F.col("n") < FEW
         return F.struct(
-            F.lit(n).alias("no"),
-            F.when(few | F.lit(p <= MARGIN), F.col("_min")).otherwise(F.element_at("_low", n + 1)).alias("low"),
-            F.when(few | F.lit(p >= 1 - MARGIN), F.col("_max")).otherwise(F.element_at("_high", n + 1)).alias("high"),
+            F.lit(no).alias("no"),
+            F.when(few | F.lit(p <= MARGIN), F.col("_min")).otherwise(F.element_at("_low", no + 1)).alias("low"),
+            F.when(few | F.lit(p >= 1 - MARGIN), F.col("_max")).otherwise(F.element_at("_high", no + 1)).alias("high"),
             ((F.col("n") - 1) * F.lit(p)).alias("at"),
         )
 
-    known = known.select(*keys, "n", F.array(*[bracket(n, p) for n, p in enumerate(ps)]).alias("_b"))
-    beside = with_totals(rows.filter(F.col("_v").isNotNull()), known.select(*keys, "_b"), keys)
-    below = beside.groupBy(*keys).agg(
-        *[F.count_if(F.col("_v") < F.col("_b")[n]["low"]).alias(f"_below{n}") for n in range(len(ps))]
-    )
-    inside = F.exists("_b", lambda b: (F.col("_v") >= b["low"]) & (F.col("_v") <= b["high"]))
-    counted = beside.filter(inside).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    counted = with_totals(with_totals(counted, known.select(*keys, "_b"), keys), below, keys)
-    mine = F.filter("_b", lambda b: (F.col("_v") >= b["low"]) & (F.col("_v") <= b["high"]))
-    start = F.array(*[F.col(f"_below{n}") for n in range(len(ps))])
-    places = counted.select(*keys, "_v", "_c", start.alias("_start"), F.explode(mine).alias("_q"))
-    before = W.partitionBy(*keys, "_q.no").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    first = F.element_at("_start", F.col("_q.no") + 1) + F.coalesce(F.sum("_c").over(before), F.lit(0))
-    places = places.withColumn("_first", first)
-    holds = lambda rank: (rank >= F.col("_first")) & (rank < F.col("_first") + F.col("_c"))
+    brackets = F.array(*[bracket(no, p) for no, p in enumerate(ps)]).alias("_b")
+    beside = with_totals(rows, known.select(*keys, F.struct("n", brackets, *more).alias("_k")), keys)
+    # Values inside a bracket are counted one by one, all others by the brackets they lie below.
+    b = F.col("_k._b")
+    inside = F.exists(b, lambda q: (v >= q["low"]) & (v <= q["high"]))
+    beneath = F.transform(b, lambda q: F.coalesce(v < q["low"], F.lit(False)))
+    counted = beside.groupBy(*keys, beneath.alias("_beneath"), F.when(inside, v).alias("_v")).agg(F.count("*").alias("_c"), F.first("_k").alias("_k"))
+    mine = F.filter(b, lambda q: F.element_at("_beneath", q["no"] + 1) | ((v >= q["low"]) & (v <= q["high"])))
+    places = counted.select(*keys, "_v", "_c", "_k", "_beneath", F.explode_outer(mine).alias("_q"))
+    own = F.when(~F.element_at("_beneath", F.col("_q.no") + 1), v)
+    before = W.partitionBy(*keys, "_q.no").orderBy(F.asc_nulls_first("_own")).rowsBetween(W.unboundedPreceding, -1)
+    places = places.withColumn("_own", own).withColumn("_first", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     at = F.col("_q.at")
     floor, ceil = F.floor(at), F.ceil(at)
-    hits = places.filter(holds(floor) | holds(ceil))
+    holds = lambda rank: F.col("_own").isNotNull() & (rank >= F.col("_first")) & (rank < F.col("_first") + F.col("_c"))
     aggs = []
-    for n, name in enumerate(probs):
-        own = F.col("_q.no") == n
-        lower, upper = F.max(F.when(own & holds(floor), F.col("_v"))), F.max(F.when(own & holds(ceil), F.col("_v")))
-        aggs.append((lower + (upper - lower) * F.max(F.when(own, at - floor))).alias(name))
-    found = hits.groupBy(*keys).agg(*aggs)
-    return with_totals(known.select(*keys, "n"), found, keys)
+    for no, name in enumerate(probs):
+        here = F.col("_q.no") == no
+        lower, upper = F.max(F.when(here & holds(floor), F.col("_own"))), F.max(F.when(here & holds(ceil), F.col("_own")))
+        aggs.append((lower + (upper - lower) * F.max(F.when(here, at - floor))).alias(name))
+    found = places.groupBy(*keys).agg(F.first("_k").alias("_k"), *aggs)
+    if not keys:  # also without any row
+        return found.select(F.coalesce("_k.n", F.lit(0).cast("long")).alias("n"), *[F.col(f"_k.{m}").alias(m) for m in more], *probs)
+    return found.select(*keys, "_k.n", *[F.col(f"_k.{m}").alias(m) for m in more], *probs)
 
 
 def with_totals(rows: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``rows`` beside the one row of ``totals`` for their keys, where there is one.
+    """``rows`` beside the one row of ``totals`` for their keys.
 
     Without keys ``totals`` is a single row and comes as scalar subquery, not through a join.
     """
@@ -89,12 +93,6 @@ def describe(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
 
     Keys without any value stay, with count 0.
     """
-    keys = list(keys)
-    rows = df.select(*keys, number(value).alias("_value"))
-    v = F.col("_value")
-    moments = rows.groupBy(*keys).agg(
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
-    )
-    quartiles = exact_quantiles(rows, "_value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, keys)
-    columns = ["n", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    return with_totals(moments, quartiles, keys).select(*keys, *columns)
+    moments = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    found = exact_quantiles(df, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, keys, also=moments)
+    return found.select(*keys, "n", "mean", "std", "min", "p25", "p50", "p75", "max")

@@ -171,6 +171,33 @@ def asof_positions(spark, sf):
     )
 
 
+@query(
+    "asof_positions_auto",
+    oracle(
+        "tel worst",
+        _TRACK_SQL.replace("FROM tel\n", "FROM (SELECT * FROM tel WHERE state_name <> 'error')\n")
+        + """, lft AS (SELECT row_number() OVER () AS rid, vehicle_id, period_id, chunk_idx, win, sec_time FROM worst),
+        rgt AS (SELECT * FROM ptrack),
+        tol_ AS (SELECT vehicle_id AS v, CAST(1e6 * least(65, greatest(2, 1.5 * median(g))) AS BIGINT) AS tol FROM (
+          SELECT vehicle_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY vehicle_id ORDER BY ts)) / 1e6 AS g
+          FROM (SELECT DISTINCT vehicle_id, ts FROM ptrack)) GROUP BY 1),"""
+        + nearest_sql("lft", "rgt", "lat lon cum_dist_km", "(SELECT t.tol FROM tol_ t WHERE t.v = vehicle_id)", "sec_time")
+        + """SELECT vehicle_id, period_id, chunk_idx, win, sec_time, round(m_lat, 9) AS latitude,
+          round(m_lon, 9) AS longitude, round(m_cum_dist_km, 2) AS cum_dist_km FROM near""",
+    ),
+    {"cum_dist_km": 2},
+)
+def asof_positions_auto(spark, sf):
+    """As above from a denser log, with the tolerance that each vehicle's own gaps give."""
+    rows = metric(run_of(spark, sf), SPEC).select(
+        "vehicle_id", "period_id", "chunk_idx", "win", "sec_time", "latitude", "longitude", "cum_dist_km"
+    )
+    log = telemetry(spark, sf).filter("state_name <> 'error'").select(
+        "vehicle_id", "ts", "event_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon")
+    )
+    return attach_positions(rows, log, ["vehicle_id"], order=["event_id"], slice_s=SLICE_S)
+
+
 @query(
     "asof_remap_fallback",
     oracle(

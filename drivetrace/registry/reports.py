@@ -185,7 +185,7 @@ def xy_distance(spark, sf):
     oracle(
         "worst",
         """c AS (SELECT 'q1' AS item, 'y' AS axis, -30.0 AS limit_lo, 40.0 AS limit_hi, min(signal_a) AS data_lo, max(signal_a) AS data_hi FROM worst
-          UNION ALL SELECT 'q1', 'x', 0, 10, min(cum_dist_km), max(cum_dist_km) FROM worst)
+          UNION ALL SELECT 'q1', 'x', 0, 0.5, min(cum_dist_km), max(cum_dist_km) FROM worst)
         SELECT item, axis, CAST(limit_lo AS DOUBLE) AS limit_lo, CAST(limit_hi AS DOUBLE) AS limit_hi,
           round(CAST(data_lo AS DOUBLE), 2) AS data_lo, round(CAST(data_hi AS DOUBLE), 2) AS data_hi FROM c WHERE axis = 'x'""",
     ),
@@ -195,7 +195,7 @@ def range_new_warnings(spark, sf):
     """The distance was not checked before; the value's warning is known."""
     points = metric(run_of(spark, sf), SPEC)
     before = range_warnings(scatter_range_check(points, "q1", "signal_a", ylim=(-30.0, 40.0)))
-    now = range_warnings(scatter_range_check(points, "q1", "signal_a", ylim=(-30.0, 40.0), xlim=(0.0, 10.0)))
+    now = range_warnings(scatter_range_check(points, "q1", "signal_a", ylim=(-30.0, 40.0), xlim=(0.0, 0.5)))
     return new_warnings(now, before)
 
 

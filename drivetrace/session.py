@@ -15,7 +15,8 @@ def local_session(cores: str = "8", app: str = "drivetrace", memory: str = "8g")
     """A single-machine session for tests and the bench.
 
     Call sites of column expressions are not recorded: plans here hold hundreds of them, and each
-    costs several round trips while a plan is built.
+    costs several round trips while a plan is built. Plans are described briefly to listeners, as the
+    long form is written anew at each adaptive step.
     """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -27,6 +28,8 @@ def local_session(cores: str = "8", app: str = "drivetrace", memory: str = "8g")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.ui.explainMode", "simple")
+        .config("spark.sql.maxPlanStringLength", "20000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -442,11 +442,13 @@ def test_override_of_a_run(spark, topics):
     p = periods.periods_frame(spark, ranges)
     spec = RunSpec(split_minutes=0)
     r = plan_run(Tables(rows, rows, rows, rows), p, spec)
-    base = results(r)
-    states = r.rows("state").select("vehicle_id", "period_id", "ts", "system_state")
+    solid = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    base = {name: solid(df) for name, df in results(r).items() if name in ("metric:q1", "hist")}
+    states = solid(r.rows("state").select("vehicle_id", "period_id", "ts", "system_state"))
     track = rows.select("vehicle_id", F.lit(2).alias("period_id"), "ts", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     entry = OverrideEntry(str(topics / "debug.csv"), 1, "q1", "debug.lateral_error")
     out = override(spark, base, entry, spec, p, states=states, positions=track)
+    out = {name: solid(df) for name, df in out.items()}
     got = values(out["metric:q1"], "vehicle_id", "period_id", "lateral_error", "overridden")
     assert got == [(1, 1, 9.0, False), (1, 2, -0.9, True), (2, 1, 9.0, False), (2, 2, 9.0, False)]
     row = out["metric:q1"].filter("overridden").collect()[0]

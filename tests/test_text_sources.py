@@ -1,14 +1,23 @@
 import pytest
-from helpers import frame, utc, values
+from helpers import at, frame, values
 from pyspark.sql import functions as F
 
 from drivetrace.functions.text import clean_column, parse_instant, safe_name, vehicle_number
 from drivetrace.operators.overrides import epoch_to_instant
-from drivetrace.sources.legs import clean_legs, legs_of_day, local_dates, read_legs_jsonl, vehicles
+from drivetrace.sources.legs import as_periods, clean_legs, legs_of_day, legs_table, local_dates, read_legs_jsonl, vehicles
 from drivetrace.sources.position_log import parse_position_lines, read_position_log
 from drivetrace.sources.range_text import parse_excludes, parse_periods, require_valid
-from drivetrace.sources.sinks import write_csv, write_sheets
-from drivetrace.sources.topic_csv import read_topic_csv, read_value_csv, state_rows, typed_values, value_column
+from drivetrace.sources.sinks import ordered, write_csv, write_sheets
+from drivetrace.sources.tables import from_catalog, list_tables
+from drivetrace.sources.topic_csv import (
+    chosen_columns,
+    read_topic_csv,
+    read_value_csv,
+    read_values,
+    state_rows,
+    typed_values,
+    value_column,
+)
 
 
 def naive(rows):
@@ -194,7 +203,7 @@ def test_legs(spark, tmp_path):
     ]))
     legs = read_legs_jsonl(spark, str(path))
     assert [r[0] for r in shown(legs, "display_name")] == ["a", "b", "c", "d"]
-    assert [r.display_name for r in legs.collect()][0] == "b"
+    assert [r.display_name for r in ordered(legs, "legs").collect()][0] == "b"
     got = shown(legs.filter("display_name in ('a', 'c')"), "display_name", "start_ts", "end_ts", "version", "range_line")
     line = "2025-12-09T10:37:00+09:00, 2025-12-09T11:37:00+09:00, "
     assert got == [("a", "2025-12-09 01:37:00", "2025-12-09 02:37:00", "1", line + "a"),
@@ -221,3 +230,46 @@ def test_unreadable_times_are_told(spark):
     assert typed_values(raw.filter("_file = 'b'")).count() == 1
     with pytest.raises(Exception, match="no readable time in a"):
         typed_values(raw).collect()
+
+
+def test_written_rows_are_ordered(spark, tmp_path):
+    rows = frame(spark, "vehicle_id int, start_ts timestamp, display_name string",
+                 [(1, "2026-01-01 00:00:00", "a"), (2, "2026-01-03 00:00:00", "b"), (1, "2026-01-02 00:00:00", "c")])
+    write_csv(rows, str(tmp_path / "legs"), "legs")
+    text = "".join(sorted(p.read_text() for p in (tmp_path / "legs").glob("part-*") if p.stat().st_size))
+    assert [line.split(",")[2] for line in text.splitlines() if "display_name" not in line] == ["b", "c", "a"]
+    assert [r[0] for r in ordered(rows, "legs of a day").select("display_name").collect()] == ["a", "c", "b"]
+    points = frame(spark, "period_id int, chunk_idx int, query string, vehicle_id int, sec_time timestamp",
+                   [(1, 0, "Q1", 1, at("2026-01-01 00:00:00", 59 - n)) for n in range(60)])
+    write_sheets(points.repartition(4), str(tmp_path / "points"))
+    for part in (tmp_path / "points").rglob("*.parquet"):
+        times = [r[0] for r in spark.read.parquet(str(part)).select("sec_time").collect()]
+        assert times == sorted(times)
+
+
+def test_legs_and_tables_of_the_catalog(spark):
+    frame(spark, "data_start_time string, data_end_time string, vehicle_id string, display_name string, version string, "
+          "vehicle_generation string, direction string, guid string", [("1", "2", "v", "n", None, None, None, None)]).createOrReplaceTempView("leg_rows")
+    legs = legs_table(spark, "leg_rows")
+    assert values(as_periods(legs), "vehicle_id", "label") == [("v", "n")]
+    tables = from_catalog(spark, {"control": "leg_rows", "state": "leg_rows", "pose": "leg_rows", "more": "leg_rows"})
+    assert tables.role("speed").columns == tables.role("more").columns
+    assert "leg_rows" in list_tables(spark)
+    with pytest.raises(KeyError):
+        tables.role("none")
+
+
+def test_many_files_in_one_plan(spark, tmp_path):
+    """Files of two layouts, with and without byte-order mark, one with a quoted comma."""
+    for n in range(3):
+        (tmp_path / f"a{n}.csv").write_text("\ufefft_ns,x.signal,note\n" + "".join(f'{k}000000000,{n + k},"a,b"\n' for k in range(3)))
+    (tmp_path / "b.csv").write_text("time,signal\n2026-01-01 00:00:00,5\n2026-01-01 00:00:01,-\n")
+    paths = [str(p) for p in sorted(tmp_path.glob("*.csv"))]
+    rows = read_values(spark, paths)
+    got = {(r.file.rsplit("/")[-1], tuple(sorted(r["values"].items(), key=str))) for r in rows.collect()}
+    assert ("a2.csv", (("note", None), ("x.signal", 4.0))) in got
+    assert ("b.csv", (("signal", 5.0),)) in got and ("b.csv", (("signal", None),)) in got
+    assert rows.count() == 11
+    wishes = spark.createDataFrame([(p, c, "signal") for p in paths[:1] + paths[3:] for c in ("", "signal", "nope")], "file string, column string, token string")
+    assert sorted((r.file.rsplit("/")[-1], r.column) for r in chosen_columns(wishes, rows, "column", "token").collect() if r.column) == [
+        ("a0.csv", "x.signal"), ("b.csv", "signal"), ("b.csv", "signal")]
