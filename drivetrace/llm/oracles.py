@@ -61,3 +61,60 @@ kept AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_s
   FROM edge JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def _located(source: str, text: str, pattern: str, columns: str) -> str:
+    """Matches of a pattern as start (from 0) and value, beside ``columns`` of ``source``."""
+    return rf"""(SELECT {columns}, f[i] AS v, CAST(list_sum(list_transform(g[1:i], lambda s: length(s)))
+    + coalesce(list_sum(list_transform(f[1:i - 1], lambda s: length(s))), 0) AS BIGINT) AS a
+  FROM (SELECT {columns}, f, g, unnest(range(1, len(f) + 1)) AS i
+    FROM (SELECT {columns}, regexp_extract_all({text}, '{pattern}') AS f, string_split_regex({text}, '{pattern}') AS g FROM {source})))"""
+
+
+_LUHN = """list_sum(list_transform(range(1, length(digits) + 1), lambda j: CASE WHEN j % 2 = 1
+  THEN CAST(substr(reverse(digits), j, 1) AS INTEGER)
+  ELSE (2 * CAST(substr(reverse(digits), j, 1) AS INTEGER)) % 10 + (2 * CAST(substr(reverse(digits), j, 1) AS INTEGER)) // 10 END)) % 10 = 0"""
+_PLAIN = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "TRUE", "lower(v)"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+     "len(list_filter(string_split(v, '.'), lambda p: coalesce(try_cast(p AS HUGEINT) <= 255, FALSE))) = 4", "v"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", f"length(digits) BETWEEN 12 AND 19 AND {_LUHN}", "digits"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 9 AND 15", "digits"),
+)
+_BASE = " UNION ALL ".join(
+    f"""SELECT doc_id, a, {n} AS kind, a + length(v) AS z, '{name}:' || {normal} AS entity
+  FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM {_located("d", "t", pattern, "doc_id")}) WHERE {holds}"""
+    for n, (name, pattern, holds, normal) in enumerate(_PLAIN)
+)
+_BESIDE = r"\p{L}{3,}"
+PRIVATE = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_BASE}),
+island AS (SELECT doc_id, min(a) AS a, max(z) AS z FROM (
+  SELECT *, count_if(a >= before) OVER (PARTITION BY doc_id ORDER BY a, kind, z) AS n FROM (
+    SELECT *, coalesce(max(z) OVER (PARTITION BY doc_id ORDER BY a, kind, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM base))
+  GROUP BY doc_id, n),
+hidden AS (SELECT doc_id, string_agg(substr(t, before + 1, a - before) || repeat('#', z - a) || CASE WHEN last THEN substr(t, z + 1) ELSE '' END, '' ORDER BY a) AS t
+  FROM (SELECT doc_id, t, a, z, coalesce(lag(z) OVER w, 0) AS before, lead(z) OVER w IS NULL AS last
+    FROM island JOIN d USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a)) GROUP BY doc_id),
+side AS (SELECT doc_id, kind, a AS sa, z AS sz, entity, substr(t, greatest(a - 120, 0) + 1, least(a, 120)) AS l, substr(t, z + 1, 120) AS r
+  FROM base JOIN hidden USING (doc_id)),
+word AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, kind, sa ORDER BY a DESC) AS n FROM (
+    SELECT doc_id, kind, sa, entity, v, a + sa - ll AS a FROM {_located("(SELECT *, length(l) AS ll FROM side)", "l", _BESIDE, "doc_id, kind, sa, entity, ll")} WHERE a > 0 OR sa = ll)
+  UNION ALL SELECT *, row_number() OVER (PARTITION BY doc_id, kind, sa ORDER BY a) AS n FROM (
+    SELECT doc_id, kind, sa, entity, v, a + sz AS a FROM {_located("(SELECT *, length(r) AS lr FROM side)", "r", _BESIDE, "doc_id, kind, sa, sz, entity, lr")} WHERE a + length(v) < lr OR lr < 120)),
+near AS (SELECT doc_id, entity, lower(v) AS term, a, a + length(v) AS z FROM word WHERE n <= 8),
+both_ AS (SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM near GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3),
+entity_ AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM base GROUP BY 1),
+term_ AS (SELECT term, count(*) AS n_term FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(t), '\p{{L}}+')) AS term FROM d) GROUP BY 1),
+told AS (SELECT entity, term, ln(CAST(n AS DOUBLE) * n_both / (CAST(n_term AS DOUBLE) * n_entity)) / ln(CAST(n AS DOUBLE) / n_entity) AS disclosure
+  FROM both_ JOIN entity_ USING (entity) JOIN term_ USING (term), (SELECT count(*) AS n FROM d) WHERE n_entity < n),
+spans AS (SELECT doc_id, a, kind, z FROM base
+  UNION ALL SELECT doc_id, a, CASE WHEN max(disclosure) >= 0.9 THEN 5 ELSE 4 END, z
+    FROM near JOIN told USING (entity, term) WHERE disclosure >= 0.5 - 1e-9 GROUP BY doc_id, a, z),
+listed AS (SELECT doc_id, a, kind, z, list_extract(['email', 'ip', 'card', 'phone', 'general', 'remove'], kind + 1) || ':' || a || ':' || z AS s FROM spans)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card,
+  count(*) FILTER (kind = 3) AS n_phone,
+  sha256(coalesce(string_agg(s, ',' ORDER BY a, kind, z) FILTER (kind < 4), '')) AS base_sha256,
+  coalesce(string_agg(s, ',' ORDER BY a, kind, z), '') AS spans
+FROM d LEFT JOIN listed USING (doc_id) GROUP BY doc_id"""

@@ -86,6 +86,7 @@ QUERIES = {
 
 #: The others hash, learn or cut texts in ways SQL does not have; they are tested against plain versions.
 ORACLES = {
+    "op1_pii": oracles.PRIVATE,
     "op2_vp_tree": oracles.NEAREST,
     "op4_chosen_path": oracles.TEXT_LINKS,
     "op5_embedding_dedup": oracles.VECTOR_LINKS,
