@@ -448,22 +448,23 @@ def test_override_of_a_run(spark, topics):
     track = rows.select("vehicle_id", F.lit(2).alias("period_id"), "ts", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     entry = OverrideEntry(str(topics / "debug.csv"), 1, "q1", "debug.lateral_error")
     out = override(spark, base, entry, spec, p, states=states, positions=track)
-    out = {name: solid(df) for name, df in out.items()}
+    out = {"metric:q1": solid(out["metric:q1"]), "hist": base["hist"]}
     got = values(out["metric:q1"], "vehicle_id", "period_id", "lateral_error", "overridden")
     assert got == [(1, 1, 9.0, False), (1, 2, -0.9, True), (2, 1, 9.0, False), (2, 2, 9.0, False)]
     row = out["metric:q1"].filter("overridden").collect()[0]
     assert row.latitude == pytest.approx(35.0003) and row.cum_dist_km == pytest.approx(0.0333585, rel=1e-4)
     hist_entry = OverrideEntry(entry.path, 1, "q3", entry.column, period_label="late", drive_mode="manual")
-    again = override(spark, out, [hist_entry, entry], spec, p, states=states, positions=track)
+    again = override(spark, {"hist": base["hist"]}, hist_entry, spec, p)
     counts = values(again["hist"].filter("overridden"), "vehicle_id", "bin_start", "cnt_auto", "cnt_manual")
     assert counts == [(1, -0.9, 0, 60), (1, 0.5, 0, 60), (1, 1.5, 0, 60)]
-    assert values(again["metric:q1"], "vehicle_id", "period_id", "lateral_error", "overridden") == got
-    blank = override(spark, base, OverrideEntry(entry.path, 1, "q1"), spec, p, states=states, positions=track)
-    assert values(blank["metric:q1"], "vehicle_id", "period_id", "lateral_error", "overridden") == got
+    # A blank column is found by its name; applied to a result that was overridden before.
+    more = [OverrideEntry(entry.path, 1, "q1", drive_mode="auto", scale=2.0), OverrideEntry(entry.path, 1, "q1", drive_mode="auto")]
+    blank = override(spark, {"metric:q1": out["metric:q1"]}, more, spec, p)
+    assert values(blank["metric:q1"].filter("overridden"), "vehicle_id", "period_id", "lateral_error") == [(1, 2, -0.9), (1, 2, 1.5)]
     with pytest.raises(ValueError):
         override(spark, base, entry, spec, p)
     with pytest.raises(Exception, match="no states"):
-        override(spark, base, entry, spec, p, states=states.filter("vehicle_id = 2"), positions=track)["metric:q1"].collect()
+        override(spark, base, entry, spec, p, states=states.filter("vehicle_id = 2"))["metric:q1"].collect()
     with pytest.raises(ValueError):
         override(spark, base, OverrideEntry(entry.path, 1, "zzz", entry.column), spec, p)
 
