@@ -135,7 +135,7 @@ def learned(documents: DataFrame, labels: DataFrame, column: str = "quality", sa
     """A machine fitted on at most ``sample`` labelled documents that are not held out.
 
     The sample is taken by a hash of the doc_id. Null labels and doc_ids teach nothing; of several labels
-    of a document the largest counts.
+    of a document the largest counts. Of several rows of a doc_id one teaches, the least in its features.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
     known = known.where("doc_id IS NOT NULL AND label IS NOT NULL").where(~held_out(F.col("doc_id")))
@@ -153,7 +153,8 @@ def learned(documents: DataFrame, labels: DataFrame, column: str = "quality", sa
 
     # At most ``sample`` pairs of numbers are broadcast.
     rows = _texts(documents).join(F.broadcast(known), "doc_id").mapInPandas(sparse, "doc_id long, label int, at binary, x binary")
-    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["x"]))[: 2 * sample]
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "at", "label")).alias("r")).select("doc_id", "r.*")
+    rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
     x = np.zeros((len(rows), WIDTH), np.float32)
     for n, r in enumerate(rows):
         x[n, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["x"], np.float32)

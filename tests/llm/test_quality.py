@@ -79,3 +79,15 @@ def test_no_labels(spark, docs_of):
 def test_query_on_whole_table(spark, sf_dir):
     got = op8_quality(spark, sf_dir).collect()
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+
+
+def test_a_document_teaches_once(spark, docs_of, monkeypatch):
+    """One labelled doc_id with many rows neither fills the sample nor reaches the driver row by row."""
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(ids[0], f"word{k} and more") for k in range(200)] + [(i, f"the text of {i}") for i in ids[1:]]
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fitted", lambda x, y: seen.append((x, y)))
+    quality.learned(docs_of(rows), labels, sample=len(ids))
+    x, y = seen[0]
+    assert x.shape[0] == len(ids) and list(y) == [float(n % 2) for n in range(len(ids))]
