@@ -118,3 +118,12 @@ SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1)
   sha256(coalesce(string_agg(s, ',' ORDER BY a, kind, z) FILTER (kind < 4), '')) AS base_sha256,
   coalesce(string_agg(s, ',' ORDER BY a, kind, z), '') AS spans
 FROM d LEFT JOIN listed USING (doc_id) GROUP BY doc_id"""
+
+LINES = """WITH line AS (SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS l
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+keyed AS (SELECT *, translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
+often AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (last > doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (coalesce(last <= doc_id, TRUE)), '')) AS kept_sha256
+FROM keyed LEFT JOIN often USING (key) GROUP BY doc_id"""

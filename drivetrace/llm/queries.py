@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drivetrace.llm import chat, chunking, embed_dedup, jaccard, mixing, oracles, pieces, pii, quality, suffix, vptree
+from drivetrace.llm import chat, chunking, embed_dedup, jaccard, lines, mixing, oracles, pieces, pii, quality, suffix, vptree
 
 
 #: Where the installed public tokenizers keep the piece model.
@@ -76,11 +76,16 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.deduplicated(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_vp_tree, op3_chunk_dedup, op4_chosen_path, op5_embedding_dedup, op6_temperature_mixing,
-        op7_chat, op8_quality, op9_pieces, op10_suffix_array,
+        op7_chat, op8_quality, op9_pieces, op10_suffix_array, op13_lines,
     )
 }
 
@@ -92,4 +97,5 @@ ORACLES = {
     "op5_embedding_dedup": oracles.VECTOR_LINKS,
     "op7_chat": oracles.CHAT,
     "op10_suffix_array": oracles.REPEATED,
+    "op13_lines": oracles.LINES,
 }
