@@ -127,3 +127,33 @@ often AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GRO
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (last > doc_id) AS n_dropped,
   sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (coalesce(last <= doc_id, TRUE)), '')) AS kept_sha256
 FROM keyed LEFT JOIN often USING (key) GROUP BY doc_id"""
+
+
+def _clusters(k: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """Every round of the assignments (a0, a1, ...) and centroids (c0, c1, ...) by name; doubles hold these whole numbers."""
+    apart = "list_inner_product(e, e) - 2 * list_inner_product(e, c) + list_inner_product(c, c)"
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, CAST(list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND isfinite(list_max(embedding)) AND isfinite(list_min(embedding))),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS k, e AS c
+  FROM (SELECT sha256('{seed}:' || vec_id) AS h, e FROM v ORDER BY h LIMIT {k}))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (SELECT vec_id, e, CAST(best.d AS BIGINT) AS d, best.k AS k
+  FROM (SELECT vec_id, any_value(e) AS e, min(struct_pack(d := {apart}, k := k)) AS best FROM v, c{r} GROUP BY vec_id))"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+  SELECT k, list(CAST((s - (s % n + n) % n) // n AS DOUBLE) ORDER BY i) AS c
+  FROM (SELECT k, i, sum(CAST(x AS BIGINT)) AS s, count(*) AS n FROM (SELECT k, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{r}) GROUP BY k, i)
+  GROUP BY k) m USING (k))"""
+            )
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, k AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
+CLUSTERS = _clusters()

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drivetrace.llm import chat, chunking, embed_dedup, jaccard, lines, mixing, oracles, pieces, pii, quality, suffix, vptree
+from drivetrace.llm import alignment, chat, chunking, embed_dedup, jaccard, lines, mixing, oracles, pieces, pii, quality, suffix, vptree, zones
 
 
-#: Where the installed public tokenizers keep the piece model.
+#: Where the installed public tokenizers keep the piece model and the byte-level one.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +77,16 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizers = alignment.Tokenizers.read(BYTE_LEVEL, PIECE_MODEL)
+    rows = alignment.aligned(_table(spark, sf_dir, "documents"), tokenizers, digest=True)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_zone_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones.clustered(_table(spark, sf_dir, "embeddings")).drop("candidates")
+
+
 def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.deduplicated(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -85,7 +96,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_vp_tree, op3_chunk_dedup, op4_chosen_path, op5_embedding_dedup, op6_temperature_mixing,
-        op7_chat, op8_quality, op9_pieces, op10_suffix_array, op13_lines,
+        op7_chat, op8_quality, op9_pieces, op10_suffix_array, op11_alignment, op12_zone_maps, op13_lines,
     )
 }
 
@@ -97,5 +108,6 @@ ORACLES = {
     "op5_embedding_dedup": oracles.VECTOR_LINKS,
     "op7_chat": oracles.CHAT,
     "op10_suffix_array": oracles.REPEATED,
+    "op12_zone_maps": oracles.CLUSTERS,
     "op13_lines": oracles.LINES,
 }
