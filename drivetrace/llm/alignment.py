@@ -12,7 +12,7 @@ counted and joined back as rows, one for each pair and batch.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +27,7 @@ from drivetrace.llm.blocks import NO_ID
 from drivetrace.llm.common import doc_texts, written
 
 #: Characters encoded at a time, and characters that one row of the kept table stands for.
-AT_ONCE, TOGETHER = 1 << 20, 8 << 20
+AT_ONCE, TOGETHER = 1 << 18, 2 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -38,22 +38,37 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
+#: How byte-level tokenizers cut a text into words before they merge bytes: a fixed value of the format.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class ByteLevel:
-    """A byte-level tokenizer from its JSON text; it reads a space and the text."""
+    """A byte-level byte-pair tokenizer from its JSON text; it reads a space and the text.
 
-    def __init__(self, spec: str):
-        from tokenizers import Tokenizer
+    Its entries are ranks for ``tiktoken``, which merges the same way several times as fast where entries are
+    numbered in the order of their merges. Special tokens are entries that no merge makes.
+    """
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
-        alphabet, vocabulary = byte_alphabet(), self.tokenizer.get_vocab(with_added_tokens=True)
+    def __init__(self, spec: str):
+        import tiktoken
+
+        model = json.loads(spec)
+        alphabet, vocabulary = byte_alphabet(), dict(model["model"]["vocab"])
+        made = [m if isinstance(m, str) else " ".join(m) for m in model["model"]["merges"]]
+        made = [vocabulary[m.replace(" ", "")] for m in made]
+        level = model["pre_tokenizer"]
+        if level["type"] != "ByteLevel" or level["add_prefix_space"] or not level["use_regex"] or model["normalizer"] or any(a >= b for a, b in zip(made, made[1:])):
+            raise ValueError("not a plain byte-level tokenizer with entries in the order of merges")
+        merged = set(made)
+        ranks = {bytes(alphabet[c] for c in e): i for e, i in vocabulary.items() if len(e) == 1 or i in merged}
+        vocabulary |= {t["content"]: t["id"] for t in model["added_tokens"]}
         self.table = [b""] * (max(vocabulary.values()) + 1)
         for entry, i in vocabulary.items():
             self.table[i] = bytes(alphabet[c] for c in entry)
+        self.encoding = tiktoken.Encoding("byte level", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [self.encoding.encode_ordinary(" " + t) for t in texts]
 
 
 class Piecewise:
@@ -103,6 +118,8 @@ class Sides:
         self.a, self.b = a, b
         self.sizes = [np.array([len(t) for t in side.table], np.int64) for side in (a, b)]
         self.n_a, self.n_b = len(a.table), len(b.table)
+        #: Type of a pair of ids as one number.
+        self.pair = np.min_scalar_type(self.n_a * self.n_b)
         shown = [f"{i}{end}" for n, ends in ((self.n_a, ",|"), (self.n_b, ",;")) for end in ends for i in range(n)]
         rows = np.array(shown, "S")
         self.shown = rows.view(np.uint8).reshape(len(rows), -1)
@@ -135,8 +152,9 @@ class Aligned:
         self.i = np.concatenate([over_a["a"].to_numpy(), over_b["a"].to_numpy()[later]])
         self.j = np.concatenate([over_a["b"].to_numpy(), over_b["b"].to_numpy()[later]])
         self.together = self.end_a[self.i] == self.end_b[self.j]
-        order = np.argsort(self.end_a[self.i[self.together]], kind="stable")
+        order = np.argsort(self.i[self.together], kind="stable")
         self.link_a, self.link_b = self.i[self.together][order], self.j[self.together][order]
+        #: Where tokens of both sides end; tokens hold bytes, so none ends where the one before does.
         self.cuts = self.end_a[self.link_a]
 
     def _side(self, ids: list[list[int]], sizes: np.ndarray):
@@ -151,11 +169,11 @@ class Aligned:
 
     def pairs(self) -> np.ndarray:
         """The ids of each link as one number."""
-        return self.a[self.link_a] * self.sides.n_b + self.b[self.link_b]
+        return (self.a[self.link_a] * self.sides.n_b + self.b[self.link_b]).astype(self.sides.pair)
 
     def groups(self) -> tuple[np.ndarray, list[bytes]]:
         """Number of groups of each text, and the groups as text: a1,a2|b1;a3|b2,b3."""
-        cuts, s = np.unique(self.cuts), self.sides
+        cuts, s = self.cuts, self.sides
         group_a, group_b = np.searchsorted(cuts, self.end_a), np.searchsorted(cuts, self.end_b)
         last_a, last_b = cuts[group_a] == self.end_a, cuts[group_b] == self.end_b
         order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
@@ -195,7 +213,7 @@ def overlaps(documents: DataFrame, tokenizers: Tokenizers) -> DataFrame:
         for ids, texts in _batches(parts, AT_ONCE):
             at = Aligned(texts, sides)
             first_a, first_b = (np.searchsorted(d, np.arange(at.n)) for d in (at.doc_a, at.doc_b))
-            cuts, doc = np.unique(at.cuts), at.doc_a[at.i]
+            cuts, doc = at.cuts, at.doc_a[at.i]
             group = np.searchsorted(cuts, np.minimum(at.end_a[at.i], at.end_b[at.j]))
             first_group = np.searchsorted(cuts, np.append(at.start_a, 0)[np.minimum(first_a, len(at.a))], "right")
             yield pa.RecordBatch.from_pydict(
@@ -215,7 +233,7 @@ _KEPT = "block long, ids binary, links binary, groups array<binary>, " + ", ".jo
 def _bundle(number: int, ids: list, held: list[tuple]) -> pa.RecordBatch:
     """Some batches as one row: packed numbers of the documents, and their links one after another."""
     row = {"block": [number], "ids": [np.array([NO_ID if i is None else i for i in ids], np.int64).tobytes()]}
-    row["links"] = [np.concatenate([h[0] for h in held]).astype(np.int64).tobytes()]
+    row["links"] = [np.concatenate([h[0] for h in held]).tobytes()]
     row["groups"] = [[g for h in held for g in h[1]]]
     for n, c in enumerate(_NUMBERS, 2):
         row[c] = [np.concatenate([h[n] for h in held]).astype(np.int64).tobytes()]
@@ -236,7 +254,8 @@ def aligned(
     ``at_once`` and ``together`` bound the characters of a batch and of a row of the kept table.
     """
     shared = documents.sparkSession.sparkContext.broadcast(tokenizers)  # as large as the vocabularies
-    n_b = tokenizers.sides().n_b
+    own = tokenizers.sides()
+    n_b, kind = own.n_b, own.pair
 
     def kept(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides, number = shared.value.sides(), TaskContext.get().partitionId() << 32
@@ -259,14 +278,14 @@ def aligned(
     def pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for block, links in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                pair, n = np.unique(np.frombuffer(links, np.int64), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"block": np.full(len(pair), block), "pair": pair, "n": n})
+                pair, n = np.unique(np.frombuffer(links, kind), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"block": np.full(len(pair), block), "pair": pair.astype(np.int64), "n": n})
 
     def told(block: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         row = block.iloc[0]
         out = {c: np.frombuffer(row[c], np.int64) for c in ("ids", *_NUMBERS)}
         counts = counts.sort_values("pair")
-        at = np.searchsorted(counts["pair"].to_numpy(), np.frombuffer(row["links"], np.int64))
+        at = np.searchsorted(counts["pair"].to_numpy(), np.frombuffer(row["links"], kind))
         ends = np.cumsum(out["n_links"])
         for name, column in (("n_best", "best"), ("count_sum", "count")):
             upto = np.concatenate([[0], np.cumsum(counts[column].to_numpy().astype(np.int64)[at])])

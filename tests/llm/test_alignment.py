@@ -147,3 +147,18 @@ def test_query(spark, sf_dir, tokenizers):
         assert (r.n_a, r.n_b, r.n_links) == (na, nb, len(links))
         assert r.n_best == sum(counts[p] == most[p[1]] for p in links) and r.count_sum == sum(counts[p] for p in links)
         assert (r.groups_sha256 == "") == (na == 0)
+
+
+def test_byte_level_tokens_are_the_librarys(sf_dir):
+    """Over documents and odd texts, special tokens' strings and all kinds of white space among them."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE_LEVEL)
+    library.encode_special_tokens = True
+    rng = random.Random(9)
+    some = [t or "" for _, t in texts()] + pq.read_table(f"{sf_dir}/documents.parquet").column("text").to_pylist()
+    some += ["".join(chr(rng.choice([rng.randint(0, 0x2FF), rng.randint(0x2000, 0x30FF), rng.randint(0x1F300, 0x1F9FF), 32, 10, 9, 39])) for _ in range(200)) for _ in range(300)]
+    with open(BYTE_LEVEL, encoding="utf-8") as file:
+        own = alignment.ByteLevel(file.read())
+    assert own.encode(some) == [e.ids for e in library.encode_batch_fast([" " + t for t in some], add_special_tokens=False)]
