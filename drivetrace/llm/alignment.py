@@ -5,8 +5,9 @@ by their first byte; an as-of merge, keyed by document, finds for each of them t
 that covers this byte. The union of both directions is every overlap. Overlaps that end at one byte are
 links, and their ends cut the tokens of a text into groups.
 
-How often the corpus links two ids takes all documents: batches are kept as a table, their distinct pairs of ids are
-counted and joined back as rows, one for each pair and batch.
+How often the corpus links two ids takes all documents: batches are kept as a table and their distinct pairs of ids
+are counted. The counts return to the batches as a broadcast of measured size, beyond it by a join with one
+row for each pair and batch.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from drivetrace.llm.common import doc_texts, written
 
 #: Characters encoded at a time, and characters that one row of the kept table stands for.
 AT_ONCE, TOGETHER = 1 << 18, 2 << 20
+#: Different pairs of ids (17 bytes each) up to which their counts are broadcast.
+SHARED_PAIRS = 1 << 21
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -240,8 +243,22 @@ def _bundle(number: int, ids: list, held: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(row)
 
 
+def _told(row, kind: np.dtype, pair: np.ndarray, count: np.ndarray, best: np.ndarray) -> dict:
+    """The documents of one row of the kept table; pairs are sorted and hold all of its links."""
+    out = {c: np.frombuffer(row[c], np.int64) for c in ("ids", *_NUMBERS)}
+    out["doc_id"] = out.pop("ids")
+    at = np.searchsorted(pair, np.frombuffer(row["links"], kind).astype(np.int64))
+    ends = np.cumsum(out["n_links"])
+    for name, values in (("n_best", best), ("count_sum", count)):
+        upto = np.concatenate([[0], np.cumsum(values[at].astype(np.int64))])
+        out[name] = upto[ends] - upto[ends - out["n_links"]]
+    out["groups"] = [g.decode() for g in row["groups"]]
+    return {c: out[c] for c in ("doc_id", *_NUMBERS, "n_best", "count_sum", "groups")}
+
+
 def aligned(
-    documents: DataFrame, tokenizers: Tokenizers, digest: bool = False, at_once: int = AT_ONCE, together: int = TOGETHER
+    documents: DataFrame, tokenizers: Tokenizers, digest: bool = False, at_once: int = AT_ONCE, together: int = TOGETHER,
+    shared_pairs: int = SHARED_PAIRS,
 ) -> DataFrame:
     """The alignment of each text, and how usual its links are in all of them.
 
@@ -251,7 +268,8 @@ def aligned(
     for a text without tokens). One row for each row of ``documents``; every row counts, repeated ones too.
     Texts that are null or empty, or whose tokens do not give back a space and the text on both sides, have
     no tokens. Special tokens inside texts are plain text. Null doc_ids stay null. Other columns are ignored.
-    ``at_once`` and ``together`` bound the characters of a batch and of a row of the kept table.
+    ``at_once`` and ``together`` bound the characters of a batch and of a row of the kept table. Up to
+    ``shared_pairs`` different pairs of ids, by count, are broadcast; more are joined to the rows they stand in.
     """
     shared = documents.sparkSession.sparkContext.broadcast(tokenizers)  # as large as the vocabularies
     own = tokenizers.sides()
@@ -277,28 +295,31 @@ def aligned(
 
     def pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for block, links in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                pair, n = np.unique(np.frombuffer(links, kind), return_counts=True)
+            for i, block in enumerate(part.column(0).to_pylist()):
+                pair, n = np.unique(np.frombuffer(part.column(1)[i].as_py(), kind), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"block": np.full(len(pair), block), "pair": pair.astype(np.int64), "n": n})
 
-    def told(block: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        row = block.iloc[0]
-        out = {c: np.frombuffer(row[c], np.int64) for c in ("ids", *_NUMBERS)}
+    def joined(block: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         counts = counts.sort_values("pair")
-        at = np.searchsorted(counts["pair"].to_numpy(), np.frombuffer(row["links"], kind))
-        ends = np.cumsum(out["n_links"])
-        for name, column in (("n_best", "best"), ("count_sum", "count")):
-            upto = np.concatenate([[0], np.cumsum(counts[column].to_numpy().astype(np.int64)[at])])
-            out[name] = upto[ends] - upto[ends - out["n_links"]]
-        out["groups"] = [g.decode() for g in row["groups"]]
-        return pd.DataFrame(out).rename(columns={"ids": "doc_id"})
+        return pd.DataFrame(_told(block.iloc[0], kind, *(counts[c].to_numpy() for c in ("pair", "count", "best"))))
+
+    def looked_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, count, best = (np.frombuffer(x, t) for x, t in zip(known.value, (np.int64, np.int64, np.bool_)))
+        for part in parts:
+            for i in range(part.num_rows):
+                yield pa.RecordBatch.from_pydict(_told(part.slice(i, 1).to_pylist()[0], kind, pair, count, best))
 
     blocks = written(doc_texts(documents).mapInArrow(kept, _KEPT), "aligned")
     rows = blocks.select("block", "links").mapInArrow(pairs, "block long, pair long, n long")
     totals = rows.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("b", F.col("pair") % n_b)
     most = totals.groupBy("b").agg(F.max("count").alias("most"))
-    totals = totals.join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
-    counts = rows.select("block", "pair").join(totals, "pair")
+    totals = written(totals.join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best")), "pair-counts")
     kinds = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
-    out = blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(told, kinds)
+    if totals.count() <= shared_pairs:
+        held = totals.orderBy("pair").toArrow()
+        known = documents.sparkSession.sparkContext.broadcast([held.column(c).to_numpy().tobytes() for c in ("pair", "count", "best")])
+        out = blocks.mapInArrow(looked_up, kinds)
+    else:
+        counts = rows.select("block", "pair").join(totals, "pair")
+        out = blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(joined, kinds)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

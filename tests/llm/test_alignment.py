@@ -82,11 +82,11 @@ def texts(seed=3, n=60):
 COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 
 
-@pytest.mark.parametrize("at_once, together", [(200, 700), (1 << 20, 8 << 20)])
-def test_alignment(docs_of, tokenizers, at_once, together):
+@pytest.mark.parametrize("at_once, together, shared_pairs", [(200, 700, 0), (200, 700, 1 << 20), (1 << 20, 8 << 20, 1 << 20)])
+def test_alignment(docs_of, tokenizers, at_once, together, shared_pairs):
     rows = texts()
     df = docs_of(rows).coalesce(2)
-    got = alignment.aligned(df, tokenizers, at_once=at_once, together=together).select(*COLUMNS).collect()
+    got = alignment.aligned(df, tokenizers, at_once=at_once, together=together, shared_pairs=shared_pairs).select(*COLUMNS).collect()
     want = brute(rows)
     assert sorted((tuple(r) for r in got), key=str) == want
     assert sum(r[4] for r in want) > 500 and any(r[5] < r[4] for r in want)
