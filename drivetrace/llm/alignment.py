@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from drivetrace.llm.blocks import NO_ID
 from drivetrace.llm.common import doc_texts, written
 
-#: Characters encoded at a time, and characters that one row of the kept table stands for.
+#: Bytes of text encoded at a time, and characters that one row of the kept table stands for.
 AT_ONCE, TOGETHER = 1 << 18, 2 << 20
 #: Different pairs of ids (17 bytes each) up to which their counts are broadcast.
 SHARED_PAIRS = 1 << 21
@@ -190,17 +191,15 @@ class Aligned:
 
 
 def _batches(parts: Iterator[pa.RecordBatch], at_once: int) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of about ``at_once`` characters together; a longer text is alone."""
+    """Ids and texts of about ``at_once`` bytes together; a longer text is alone."""
     for part in parts:
-        ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-        lo, size = 0, 0
-        for hi, text in enumerate(texts):
-            if hi > lo and size + len(text) > at_once:
-                yield ids[lo:hi], texts[lo:hi]
-                lo, size = hi, 0
-            size += len(text)
-        if len(texts) > lo:
-            yield ids[lo:], texts[lo:]
+        ends = np.cumsum(pc.binary_length(part.column(1)).to_numpy())
+        lo = 0
+        while lo < part.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + at_once, "right")))
+            yield part.column(0)[lo:hi].to_pylist(), part.column(1)[lo:hi].to_pylist()
+            lo = hi
 
 
 def overlaps(documents: DataFrame, tokenizers: Tokenizers) -> DataFrame:
@@ -268,7 +267,7 @@ def aligned(
     for a text without tokens). One row for each row of ``documents``; every row counts, repeated ones too.
     Texts that are null or empty, or whose tokens do not give back a space and the text on both sides, have
     no tokens. Special tokens inside texts are plain text. Null doc_ids stay null. Other columns are ignored.
-    ``at_once`` and ``together`` bound the characters of a batch and of a row of the kept table. Up to
+    ``at_once`` and ``together`` bound the bytes of a batch and the characters of a row of the kept table. Up to
     ``shared_pairs`` different pairs of ids, by count, are broadcast; more are joined to the rows they stand in.
     """
     shared = documents.sparkSession.sparkContext.broadcast(tokenizers)  # as large as the vocabularies
