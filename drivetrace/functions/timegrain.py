@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,3 +70,16 @@ def local_day_start(ts: str | Column, tz: str = LOCAL_TZ) -> Column:
 
 def next_local_day(ts: str | Column, tz: str = LOCAL_TZ) -> Column:
     return from_local(F.date_trunc("day", to_local(ts, tz)) + F.expr("INTERVAL 1 DAY"), tz)
+
+
+def instant(t: datetime) -> Column:
+    """An instant as a literal; without zone it is in UTC."""
+    aware = t if t.tzinfo else t.replace(tzinfo=timezone.utc)
+    return F.timestamp_micros(F.lit(round(aware.timestamp() * 1_000_000)))
+
+
+def within(ts: str | Column, start: datetime | None, end: datetime | None) -> Column:
+    """``start <= ts < end``; a bound left out is open."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    inside = F.lit(True) if start is None else c >= instant(start)
+    return inside if end is None else inside & (c < instant(end))

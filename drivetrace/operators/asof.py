@@ -4,8 +4,9 @@ Rows on both sides are reduced to one narrow row per key and instant, so copies
 never pile up.  Time is cut into slices that bound what one window holds; inside a slice the last
 right row before and the first right row after each instant come from two running windows, and the
 nearest right rows outside the slice are copied into it from a summary with one row per slice.  The
-slice width therefore does not depend on the tolerance.  Wide left rows are shuffled once, for the final join,
-where AQE can split a hot instant.
+slice width therefore does not depend on the tolerance.  The summary itself is cut into stretches of many
+slices, at least as long as the tolerance, each beside its two neighbours: it is never one window either, not
+even without keys.  Wide left rows are shuffled once, for the final join, where AQE can split a hot instant.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Window as W
 from drivetrace.functions.timegrain import SECOND_US, floor_micros, micros
 
 SLICE_SECONDS = 60.0
+#: Slices in a stretch of the summary, if the tolerance does not ask for more.
+STRETCH = 4096
 
 
 def asof_nearest(
@@ -70,8 +73,12 @@ def asof_nearest(
         F.max(F.struct("_t", "_last")).alias("_e"), F.min(F.struct("_t", "_first")).alias("_b")
     )
     used = l.select(*by, "_s").distinct().withColumn("_used", F.lit(True))
-    summary = ends.withColumn("_used", F.lit(False)).unionByName(used, allowMissingColumns=True)
-    slices = W.partitionBy(*by)
+    stretch = width * max(STRETCH, -(-tolerance // width))
+    own = floor_micros(F.col("_s"), stretch)
+    # What is near enough lies in the same stretch or in one beside it.
+    around = F.explode(F.array(own - stretch, own, own + stretch)).alias("_p")
+    summary = ends.select("*", F.lit(False).alias("_used"), around).unionByName(used.withColumn("_p", own), allowMissingColumns=True)
+    slices = W.partitionBy(*by, "_p")
     earlier = (W.unboundedPreceding, -1)
     before = slices.orderBy("_s", F.desc("_used")).rowsBetween(*earlier)
     after = slices.orderBy(F.desc("_s"), F.desc("_used")).rowsBetween(*earlier)

@@ -24,8 +24,7 @@ def _name_bins(counts: DataFrame, width: float) -> DataFrame:
 
 def histogram(
     samples: DataFrame,
-    states_1s: DataFrame,
-    auto: DataFrame,
+    modes: DataFrame,
     value: Column,
     width: float,
     keys: Sequence[str] = KEYS,
@@ -34,32 +33,50 @@ def histogram(
 ) -> DataFrame:
     """Counts per bin for automatic and manual seconds, in one pass over the samples.
 
-    Samples are counted per second and bin first (combined on the map side), so a second or bin
-    holding many samples becomes one row before it meets the states.  Seconds without a state
-    count in neither class; values that are null count in no bin.
+    ``modes`` holds the seconds with a state and ``is_auto``.  Samples are counted per second and bin
+    first (combined on the map side), so a second or bin holding many samples becomes one row before it
+    meets the states.  Seconds without a state count in neither class; values that are null count in no bin.
     """
-    counted = (
-        samples.withColumn("_v", value)
-        .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .groupBy(*keys, floor_time("ts", fine).alias("sec_time"), bin_index(F.col("_v"), width).alias("bin_idx"))
-        .agg(F.count("*").alias("_n"))
-    )
-    modes = (
-        states_1s.filter(F.col("system_state").isNotNull())
-        .join(auto.select(*keys, "auto_value"), list(keys))
-        .select(*keys, "sec_time", (F.col("system_state") == F.col("auto_value")).alias("_auto"))
-    )
+    counted = _per_second(samples, value, width, keys, fine)
     return _name_bins(
         counted.join(modes, [*keys, "sec_time"])
         .groupBy(*keys, "bin_idx")
         .agg(
-            F.coalesce(F.sum(F.when(F.col("_auto"), F.col("_n"))), F.lit(0)).alias("cnt_auto"),
-            F.coalesce(F.sum(F.when(~F.col("_auto"), F.col("_n"))), F.lit(0)).alias("cnt_manual"),
+            F.coalesce(F.sum(F.when(F.col("is_auto"), F.col("_n"))), F.lit(0)).alias("cnt_auto"),
+            F.coalesce(F.sum(F.when(~F.col("is_auto"), F.col("_n"))), F.lit(0)).alias("cnt_manual"),
         ),
         width,
     ).drop("bin_idx")
 
 
+def histogram_of_mode(
+    samples: DataFrame,
+    modes: DataFrame,
+    value: Column,
+    width: float,
+    mode: str,
+    keys: Sequence[str] = KEYS,
+    *,
+    fine: str = "second",
+) -> DataFrame:
+    """Counts per bin (``cnt_<mode>``) for the seconds of one mode, ``auto`` or ``manual``, alone."""
+    if mode not in ("auto", "manual"):
+        raise ValueError(f"unknown mode: {mode}")
+    seconds = modes.filter(F.col("is_auto") == F.lit(mode == "auto")).select(*keys, "sec_time")
+    counted = _per_second(samples, value, width, keys, fine).join(seconds, [*keys, "sec_time"])
+    return _name_bins(counted.groupBy(*keys, "bin_idx").agg(F.sum("_n").alias(f"cnt_{mode}")), width).drop("bin_idx")
+
+
+def _per_second(samples: DataFrame, value: Column, width: float, keys: Sequence[str], fine: str) -> DataFrame:
+    """Samples with a value, counted per second and bin."""
+    return (
+        samples.withColumn("_v", value)
+        .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        .groupBy(*keys, floor_time("ts", fine).alias("sec_time"), bin_index(F.col("_v"), width).alias("bin_idx"))
+        .agg(F.count("*").alias("_n"))
+    )
+
+
 def masked_histogram(
     samples: DataFrame, value: Column, auto: Column, width: float, keys: Sequence[str]
 ) -> DataFrame:

@@ -3,21 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, timezone
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drivetrace.config import CHUNK, DEFAULT_SPLIT_MINUTES, PERIOD, VEHICLE, Range
-from drivetrace.functions.timegrain import GRAIN_US, floor_micros, micros, plus_seconds
+from drivetrace.functions.timegrain import GRAIN_US, floor_micros, instant, micros, plus_seconds, within
 from drivetrace.operators.intervals import flag_in_intervals, join_intervals, over_buckets
 
 
-def _instant(t: datetime) -> Column:
-    aware = t if t.tzinfo else t.replace(tzinfo=timezone.utc)
-    return F.timestamp_micros(F.lit(round(aware.timestamp() * 1_000_000)))
-
-
 def _inline(spark: SparkSession, rows: list[Column], schema: str) -> DataFrame:
     if not rows:
         return spark.createDataFrame([], schema)
@@ -30,8 +25,8 @@ def periods_frame(spark: SparkSession, ranges: Sequence[Range]) -> DataFrame:
         F.struct(
             F.lit(n).alias(PERIOD),
             F.lit(r.label).alias("label"),
-            _instant(r.start).alias("start_ts"),
-            _instant(r.end).alias("end_ts"),
+            instant(r.start).alias("start_ts"),
+            instant(r.end).alias("end_ts"),
         )
         for n, r in enumerate(ranges, start=1)
     ]
@@ -42,7 +37,7 @@ def periods_frame(spark: SparkSession, ranges: Sequence[Range]) -> DataFrame:
 
 def excludes_frame(spark: SparkSession, ranges: Sequence[Range]) -> DataFrame:
     rows = [
-        F.struct(_instant(r.start).alias("start_ts"), _instant(r.end).alias("end_ts")) for r in ranges
+        F.struct(instant(r.start).alias("start_ts"), instant(r.end).alias("end_ts")) for r in ranges
     ]
     return _inline(spark, rows, "start_ts timestamp, end_ts timestamp")
 
@@ -108,7 +103,7 @@ def select_rows(
     files and row groups outside it are not read.
     """
     if span is not None:
-        df = df.filter((F.col(ts) >= _instant(span[0])) & (F.col(ts) < _instant(span[1])))
+        df = df.filter(within(ts, *span))
     return drop_excluded(tag_chunks(df, chunks, ts=ts), excludes, ts=ts)
 
 

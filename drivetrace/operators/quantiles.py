@@ -1,9 +1,10 @@
-"""Exact quantiles without gathering a column in one task.
+"""Exact quantiles by searching ranks digit by digit, without ordering a column anywhere.
 
-A mergeable sketch brackets every wanted rank between two values; only rows between them are counted
-value by value, and rows below are counted as one number.  The brackets follow the ranks, not the
-extent of the values, so outliers and ties change nothing: a bracket holds a fixed small share of the
-rows of its key, or few rows.
+Every double has a whole number that orders like it.  Its upper digits are counted first, and the digit
+that holds a wanted rank is where the search goes on: only rows with that digit are counted by the next
+one.  After three digits a single value is left.  Counting is a hash aggregate that combines before the
+shuffle; what is put in order is at most one row per digit, however many rows or keys there are and
+however the values lie.
 """
 
 from __future__ import annotations
@@ -14,12 +15,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from drivetrace.functions.generators import computed_once
 from drivetrace.functions.numeric import number
 
-#: The sketch errs by at most one rank in ACCURACY; a bracket reaches MARGIN to either side.
-ACCURACY, MARGIN = 10_000, 1e-3
-#: Keys with fewer rows need no bracket.
-FEW = 2_500
+#: Bits of the second and the third digit; the first has the rest of 64: sign, exponent and ten more.
+BITS = 21
+_DIGITS = ("_d1", "_d2", "_d3")
+
+
+def ordinal(v: Column) -> Column:
+    """A long that orders like the double ``v`` and is equal only for equal values; null for null."""
+    size = F.abs(v)
+    low = F.pow(F.lit(2.0), F.lit(-1022.0))
+    guess = F.floor(F.log2(size))
+    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    exponent = F.when(power(guess) > size, guess - 1).when(power(guess + 1) <= size, guess + 1).otherwise(guess)
+    part = ((size / power(exponent) - 1) * F.lit(2.0**52)).cast("long")
+    normal = F.shiftleft((exponent + 1023).cast("long"), 52) + part
+    tiny = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
+    above = F.when(size < low, tiny).when(size == float("inf"), F.lit(2047 << 52)).otherwise(normal)
+    return F.when(v < 0, -above).when(v.isNotNull(), above)
 
 
 def exact_quantiles(
@@ -28,64 +43,50 @@ def exact_quantiles(
     """``keys``, ``n`` and one column per entry of ``probs`` (name to probability).
 
     Linear interpolation between the two nearest ranks; nulls and NaN do not count.  A key without any
-    value has ``n`` 0 and null quantiles.  ``also`` names further aggregates of the value, found on the way.
+    value has ``n`` 0 and null quantiles.  ``also`` names further aggregates of the value.
     """
-    keys, ps, more = list(keys), [float(p) for p in probs.values()], also or {}
+    keys, more, v = list(keys), also or {}, F.col("_v")
     rows = df.select(*keys, number(value).alias("_v"))
-    v = F.col("_v")
-    low = F.percentile_approx(v, [max(0.0, p - MARGIN) for p in ps], ACCURACY)
-    high = F.percentile_approx(v, [min(1.0, p + MARGIN) for p in ps], ACCURACY)
-    known = rows.groupBy(*keys).agg(
-        F.count(v).alias("n"), low.alias("_low"), high.alias("_high"), F.min(v).alias("_min"), F.max(v).alias("_max"),
-        *[f(v).alias(name) for name, f in more.items()],
-    )
-
-    def bracket(no: int, p: float) -> Column:
-        few = F.col("n") < FEW
-        return F.struct(
-            F.lit(no).alias("no"),
-            F.when(few | F.lit(p <= MARGIN), F.col("_min")).otherwise(F.element_at("_low", no + 1)).alias("low"),
-            F.when(few | F.lit(p >= 1 - MARGIN), F.col("_max")).otherwise(F.element_at("_high", no + 1)).alias("high"),
-            ((F.col("n") - 1) * F.lit(p)).alias("at"),
-        )
-
-    brackets = F.array(*[bracket(no, p) for no, p in enumerate(ps)]).alias("_b")
-    beside = with_totals(rows, known.select(*keys, F.struct("n", brackets, *more).alias("_k")), keys)
-    # Values inside a bracket are counted one by one, all others by the brackets they lie below.
-    b = F.col("_k._b")
-    inside = F.exists(b, lambda q: (v >= q["low"]) & (v <= q["high"]))
-    beneath = F.transform(b, lambda q: F.coalesce(v < q["low"], F.lit(False)))
-    counted = beside.groupBy(*keys, beneath.alias("_beneath"), F.when(inside, v).alias("_v")).agg(F.count("*").alias("_c"), F.first("_k").alias("_k"))
-    mine = F.filter(b, lambda q: F.element_at("_beneath", q["no"] + 1) | ((v >= q["low"]) & (v <= q["high"])))
-    places = counted.select(*keys, "_v", "_c", "_k", "_beneath", F.explode_outer(mine).alias("_q"))
-    own = F.when(~F.element_at("_beneath", F.col("_q.no") + 1), v)
-    before = W.partitionBy(*keys, "_q.no").orderBy(F.asc_nulls_first("_own")).rowsBetween(W.unboundedPreceding, -1)
-    places = places.withColumn("_own", own).withColumn("_first", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    at = F.col("_q.at")
-    floor, ceil = F.floor(at), F.ceil(at)
-    holds = lambda rank: F.col("_own").isNotNull() & (rank >= F.col("_first")) & (rank < F.col("_first") + F.col("_c"))
+    digits = F.col("_k")
+    last = F.lit((1 << BITS) - 1)
+    cut = (F.shiftright(digits, 2 * BITS), F.shiftright(digits, BITS).bitwiseAND(last), digits.bitwiseAND(last))
+    placed = rows.filter(v.isNotNull()).select(*keys, computed_once(_v=v, _k=ordinal(v)))
+    placed = placed.select(*keys, "_v", *[c.alias(d) for c, d in zip(cut, _DIGITS)])
+    known = rows.groupBy(*keys).agg(F.count(v).alias("n"), *[f(v).alias(name) for name, f in more.items()])
+
+    first = placed.groupBy(*keys, "_d1").agg(F.count("*").alias("_c"))
+    n = F.sum("_c").over(W.partitionBy(*keys))
+    at = [(n - 1) * F.lit(float(p)) for p in probs.values()]
+    wanted = [
+        F.struct(F.lit(no).alias("no"), F.lit(up).alias("up"), round_(a).alias("rank"), (a - F.floor(a)).alias("part"))
+        for no, a in enumerate(at)
+        for up, round_ in ((False, F.floor), (True, F.ceil))
+    ]
+    found = _holding(first.withColumn("_t", F.array(*wanted)), keys, "_d1")
+    for depth in (1, 2):
+        path, digit = [*keys, *_DIGITS[:depth]], _DIGITS[depth]
+        counted = placed.join(found, path).groupBy(*path, digit).agg(F.count("*").alias("_c"), F.first("_t").alias("_t"), F.max("_v").alias("_v"))
+        found = _holding(counted, path, digit, *(["_v"] if depth == 2 else []))
+    hits = found.select(*keys, "_v", F.explode("_t").alias("_t"))
     aggs = []
     for no, name in enumerate(probs):
-        here = F.col("_q.no") == no
-        lower, upper = F.max(F.when(here & holds(floor), F.col("_own"))), F.max(F.when(here & holds(ceil), F.col("_own")))
-        aggs.append((lower + (upper - lower) * F.max(F.when(here, at - floor))).alias(name))
-    found = places.groupBy(*keys).agg(F.first("_k").alias("_k"), *aggs)
-    if not keys:  # also without any row
-        return found.select(F.coalesce("_k.n", F.lit(0).cast("long")).alias("n"), *[F.col(f"_k.{m}").alias(m) for m in more], *probs)
-    return found.select(*keys, "_k.n", *[F.col(f"_k.{m}").alias(m) for m in more], *probs)
-
-
-def with_totals(rows: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``rows`` beside the one row of ``totals`` for their keys.
-
-    Without keys ``totals`` is a single row and comes as scalar subquery, not through a join.
-    """
-    keys = list(keys)
+        here = F.col("_t.no") == no
+        lower, upper = (F.max(F.when(here & (F.col("_t.up") == up), v)) for up in (False, True))
+        aggs.append((lower + F.when(upper > lower, (upper - lower) * F.max(F.when(here, F.col("_t.part")))).otherwise(0.0)).alias(name))
+    found = hits.groupBy(*keys).agg(*aggs)
     if keys:
-        return rows.join(totals, keys, "left")
-    columns = totals.columns
-    one = totals.select(F.struct(*columns).alias("_t")).scalar()
-    return rows.withColumn("_t", one).select(*rows.columns, *[F.col(f"_t.{c}").alias(c) for c in columns])
+        return known.join(found, keys, "left").select(*keys, "n", *more, *probs)
+    one = found.select(F.struct(*probs).alias("_q")).scalar()
+    return known.withColumn("_q", one).select("n", *more, *[F.col(f"_q.{p}").alias(p) for p in probs])
+
+
+def _holding(counted: DataFrame, path: Sequence[str], digit: str, *keep: str) -> DataFrame:
+    """The digits under ``path`` that hold a wanted rank, with the ranks inside them."""
+    upto = W.partitionBy(*path).orderBy(digit).rowsBetween(W.unboundedPreceding, 0)
+    below = counted.withColumn("_z", F.sum("_c").over(upto)).withColumn("_a", F.col("_z") - F.col("_c"))
+    mine = F.filter("_t", lambda t: (t["rank"] >= F.col("_a")) & (t["rank"] < F.col("_z")))
+    inside = F.transform(mine, lambda t: t.withField("rank", t["rank"] - F.col("_a")))
+    return below.select(*path, digit, *keep, inside.alias("_t")).filter(F.size("_t") > 0)
 
 
 def describe(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

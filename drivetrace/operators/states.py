@@ -74,6 +74,15 @@ def decide_auto(tops: DataFrame, keys: Sequence[str], generation: str) -> DataFr
     )
 
 
+def second_modes(states_1s: DataFrame, auto: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``keys, sec_time, is_auto`` of the seconds with a state: whether it is the automatic one of their key."""
+    return (
+        states_1s.filter(F.col("system_state").isNotNull())
+        .join(auto.select(*keys, "auto_value"), list(keys))
+        .select(*keys, "sec_time", (F.col("system_state") == F.col("auto_value")).alias("is_auto"))
+    )
+
+
 def auto_mask(state: Column, auto_value: Column) -> Column:
     """Whether a state, given as number or as enum name, means automatic driving; null does not."""
     by_number = number(state) == auto_value

@@ -60,18 +60,20 @@ def worst_per_window(
     grain: Grain = Grain(),
     carry: Sequence[str] = ("latitude", "longitude"),
     tie: Sequence[str] = ("ts",),
+    along: Sequence[str] = (),
 ) -> DataFrame:
     """Worst second of each window among the automatic seconds, with its distance.
 
-    ``auto_seconds`` holds ``keys, sec_time`` of the seconds that count.
+    ``auto_seconds`` holds ``keys, sec_time`` of the seconds that count, and the columns ``along`` of
+    theirs that come with the result.
     """
     picks = worst_per_second(
         samples, value, name, threshold, keys, fine=grain.fine, carry=carry, tie=tie
     )
-    driven = picks.join(auto_seconds.select(*keys, "sec_time"), [*keys, "sec_time"])
+    driven = picks.join(auto_seconds.select(*keys, "sec_time", *along), [*keys, "sec_time"])
     best = (
         driven.groupBy(*keys, floor_time("sec_time", grain.coarse).alias("win"))
-        .agg(_worst(f"abs_{name}", name, carry, ("sec_time", *tie)))
+        .agg(_worst(f"abs_{name}", name, (*carry, *along), ("sec_time", *tie)))
         .select(
             *keys,
             "win",
@@ -79,6 +81,7 @@ def worst_per_window(
             *[F.col(f"_w.{c}").alias(c) for c in carry],
             F.col(f"_w.{name}").alias(name),
             (-F.col("_w._neg")).alias(f"abs_{name}"),
+            *[F.col(f"_w.{c}").alias(c) for c in along],
         )
     )
     if distance is None:

@@ -19,7 +19,8 @@ from drivetrace.operators.overrides import csv_bounds, resolve_drive_mode
 from drivetrace.operators.periods import drop_excluded
 from drivetrace.operators.positions import attach_positions
 from drivetrace.operators.states import auto_mask, decide_auto, detect_auto_value
-from drivetrace.sources.topic_csv import chosen_columns, read_topic_csv, read_values, state_rows
+from drivetrace.sources.shared import stored
+from drivetrace.sources.topic_csv import chosen_columns, file_columns, read_topic_csv, read_values, state_rows
 
 _POSITION = ("latitude", "longitude", "cum_dist_km")
 
@@ -110,7 +111,7 @@ def csv_periods(
 
     ``rows`` are those of all files: file, ts, sec_time, t_ns and values (map of numbers by column).
     ``entries`` has label, file, target, column, scale and offset; a blank column is guessed. One plan
-    serves all of them, however many there are. ``states`` (ts, system_state) hold for every file; without
+    serves all of them, however many there are; the rows they use are stored once and read by each result. ``states`` (ts, system_state) hold for every file; without
     any state row all rows count as automatic. Built-in metrics take scale and offset from the entry,
     custom fields from the field; a time series gets no histogram. The notes are the entries with their
     column and ``note``, which tells why an entry cannot be used, or is empty.
@@ -123,15 +124,15 @@ def csv_periods(
         return F.element_at(F.create_map(*[F.lit(x) for t, v in targets.items() for x in (t, of(v))]), F.col("target"))
 
     told = entries.withColumn("token", by_target(lambda v: v[3].split(".")[-1]))
-    known = rows.select("file").distinct().withColumn("_rows", F.lit(True))
-    told = chosen_columns(told, rows, "column", "token").join(known, "file", "left")
+    files = stored(file_columns(rows), "import-files")
+    told = chosen_columns(told, files, "column", "token").join(files.select("file", F.lit(True).alias("_rows")), "file", "left")
     note = (
         F.when(F.col("token").isNull(), F.lit("unknown target"))
         .when(F.col("_rows").isNull(), F.lit("no rows"))
         .when(F.col("column").isNull(), F.lit("no value column"))
         .otherwise(F.lit(""))
     )
-    told = told.withColumn("note", note).drop("token", "_rows")
+    told = stored(told.withColumn("note", note).drop("token", "_rows"), "import-entries")
     own = by_target(lambda v: v[4] is not None)
     scale = F.when(own, by_target(lambda v: v[4].scale if v[4] else 1.0)).otherwise(F.col("scale"))
     offset = F.when(own, by_target(lambda v: v[4].offset if v[4] else 0.0)).otherwise(F.col("offset"))
@@ -142,7 +143,8 @@ def csv_periods(
             inside, states, by=[], tolerance_s=tolerance_s, columns=["system_state"], order=state_order, right_ts_as="state_ts", slice_s=slice_s
         )
     value = F.element_at("values", F.col("column")) * F.col("_scale") + F.col("_offset")
-    body = inside.join(used, "file").withColumn("_value", value)
+    columns = ["label", "target", "sec_time", "t_ns", *(["system_state"] if states is not None else [])]
+    body = stored(inside.join(used, "file").select(*columns, value.alias("_value")), "import-rows")
     bounds = csv_bounds(body, ["label"])
     body = _automatic(body, states, bounds, spec.generation)
     out = {"bounds": bounds}
@@ -162,10 +164,10 @@ def _automatic(body: DataFrame, states: DataFrame | None, bounds: DataFrame, gen
     """``is_auto`` of rows that carry their nearest state; the automatic value is found per label."""
     if states is None:
         return body.withColumn("is_auto", F.lit(True))
-    top = states.agg(F.max(number("system_state")).alias("_top")).scalar()
-    some = states.select(F.lit(True).alias("_some")).limit(1).scalar()
-    auto = decide_auto(bounds.withColumn("_top", top), ["label"], generation).select("label", "auto_value")
-    return body.join(auto, "label").withColumn("is_auto", some.isNull() | auto_mask(F.col("system_state"), F.col("auto_value")))
+    one = states.agg(F.struct(F.max(number("system_state")).alias("top"), F.count("*").alias("n"))).scalar()
+    auto = decide_auto(bounds.withColumn("_top", one["top"]), ["label"], generation).select("label", "auto_value", (one["n"] > 0).alias("_some"))
+    auto = stored(auto, "import-labels")
+    return body.join(auto, "label").withColumn("is_auto", ~F.col("_some") | auto_mask(F.col("system_state"), F.col("auto_value")))
 
 
 def read_csv_periods(

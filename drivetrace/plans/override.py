@@ -1,7 +1,8 @@
 """Overrides as a user enters them, and saved ones applied again, all at once.
 
 Recipes are rows. They meet the rows of all files in one join by file, and each target of the run is
-replaced by one anti-join, so the plan does not grow with the number of recipes or files.
+replaced by one anti-join, so the plan does not grow with the number of recipes or files. What became of the
+recipes, and the few columns of the rows that they use, are stored once and shared by all targets.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from drivetrace.operators.overrides import apply_overrides, latest_recipes, mask
 from drivetrace.operators.periods import choose_by_label, choose_period
 from drivetrace.operators.states import detect_auto_value
 from drivetrace.plans.csv_import import override_results, override_rows
-from drivetrace.sources.topic_csv import chosen_columns, read_values
+from drivetrace.sources.shared import stored
+from drivetrace.sources.topic_csv import chosen_columns, file_columns, read_values
 
 KEYS = (VEHICLE, PERIOD)
 HIST_TARGET = "q3"
@@ -83,16 +85,17 @@ def replay(
     """
     targets = targets_of(spec)
     known = recipes.filter(F.col("target").isin(*targets))
-    told = _placed(known, rows, periods, {t: x[4].split(".")[-1] for t, x in targets.items()}, order)
-    told = _noted(told, states, order)
+    files = stored(file_columns(rows), "override-files")
+    told = _placed(known, files, periods, {t: x[4].split(".")[-1] for t, x in targets.items()}, order)
+    told = stored(_noted(told, states, order), "override-recipes")
     used = told.filter(F.col("note") == "").select("file", VEHICLE, PERIOD, "target", "column", "scale", "offset", "drive_mode")
     value = F.element_at("values", F.col("column")) * F.col("scale") + F.col("offset")
     body = rows.join(used, "file").select(
         VEHICLE, PERIOD, "target", "drive_mode", "ts", "sec_time", "t_ns", value.alias("_value")
     )
     on = [VEHICLE, PERIOD] if VEHICLE in periods.columns else [PERIOD]
-    inside = override_rows(body, periods.select(*on, "start_ts", "end_ts"), on, excludes)
-    masked = _masked(inside, states, periods, spec, order=state_order, tolerance_s=tolerance_s, slice_s=slice_s)
+    inside = stored(override_rows(body, periods.select(*on, "start_ts", "end_ts"), on, excludes), "override-rows")
+    masked = stored(_masked(inside, states, periods, spec, order=state_order, tolerance_s=tolerance_s, slice_s=slice_s), "override-masked")
     out = dict(results)
     for name, (kind, points, hist, target, _) in targets.items():
         if not {points, hist} & set(out):
@@ -116,17 +119,16 @@ def replay(
     return out, told
 
 
-def _placed(recipes: DataFrame, rows: DataFrame, periods: DataFrame, tokens: Mapping[str, str], order: Sequence[str]) -> DataFrame:
+def _placed(recipes: DataFrame, files: DataFrame, periods: DataFrame, tokens: Mapping[str, str], order: Sequence[str]) -> DataFrame:
     """The recipes that hold, each with its period and column, or null."""
     last = latest_recipes(recipes, PLACE, order)
     last = last.withColumn("token", F.element_at(F.create_map(*[F.lit(x) for kv in tokens.items() for x in kv]), F.col("target")))
-    last = chosen_columns(last, rows, "column", "token").drop("token")
-    extent = rows.groupBy("file").agg(F.min("sec_time").alias("first_ts"), F.max("sec_time").alias("last_ts"))
-    files = last.select(*PLACE, "file").join(extent, "file")
+    last = chosen_columns(last, files, "column", "token").drop("token")
+    extent = last.select(*PLACE, "file").join(files.select("file", "first_ts", "last_ts"), "file")
     on = [VEHICLE] if VEHICLE in periods.columns else []
     own = [c for c in PLACE if c not in on]
-    named = choose_by_label(files.filter("period_label <> ''"), periods, wanted="period_label", on=on)
-    found = choose_period(files.filter("period_label = ''"), periods, on=on, extra=own)
+    named = choose_by_label(extent.filter("period_label <> ''"), periods, wanted="period_label", on=on)
+    found = choose_period(extent.filter("period_label = ''"), periods, on=on, extra=own)
     chosen = named.select(*PLACE, "file", PERIOD).unionByName(found.select(*PLACE, "file", PERIOD))
     return last.join(chosen, [*PLACE, "file"], "left")
 

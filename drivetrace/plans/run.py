@@ -1,6 +1,9 @@
 """A run: all metrics, histograms and custom fields of all vehicles, periods and chunks.
 
-Each result is one plan over the whole fleet; vehicle, period and chunk are columns.
+Each result is one plan over the whole fleet; vehicle, period and chunk are columns.  What all of them need of
+each second, its state, whether it was driven automatically and the distance so far, can be stored once
+(``plan_run(..., store=True)``): in buckets by vehicle, period, chunk and second, in which samples
+reduced to seconds meet it without another exchange of it, in whichever action and however often.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ from drivetrace.config import KEYS, PERIOD, VEHICLE, CustomField, MetricSpec, Ru
 from drivetrace.functions.numeric import linear, number
 from drivetrace.operators.compare import union_periods, with_labels
 from drivetrace.operators.distance import cumulative_distance, stitch_distance
-from drivetrace.operators.histogram import histogram, sum_bins, with_ratios
+from drivetrace.operators.histogram import histogram, histogram_of_mode, sum_bins, with_ratios
 from drivetrace.operators.periods import chunk_periods, select_rows
-from drivetrace.operators.states import auto_of_chunks, state_per_second, state_seconds
+from drivetrace.operators.states import auto_of_chunks, second_modes, state_per_second, state_seconds
 from drivetrace.operators.worst import auto_seconds, mean_per_second, worst_per_window
+from drivetrace.sources.shared import stored_by
 from drivetrace.sources.tables import Tables, has_position
 
 
@@ -33,6 +37,7 @@ class Run:
     tables: Tables
     span: tuple[datetime, datetime] | None
     tie: tuple[str, ...]
+    store: bool = False
     _built: dict = field(default_factory=dict, repr=False, compare=False)
 
     def _once(self, name, build: Callable[[], DataFrame]) -> DataFrame:
@@ -57,9 +62,35 @@ class Run:
         return self._once("auto", lambda: auto_of_chunks(self.states(), self.chunks, generation=generation))
 
     def driven(self) -> DataFrame:
+        """The automatic seconds; of stored ones with their distance."""
+        if self.store:
+            return self._once("driven", lambda: self.seconds().filter("is_auto").select(*KEYS, "sec_time", "cum_dist_km"))
         return self._once("driven", lambda: auto_seconds(self.states(), self.auto()))
 
+    def modes(self) -> DataFrame:
+        """Seconds with a state, and whether it is the automatic one."""
+        if self.store:
+            return self._once("modes", lambda: self.seconds().filter("is_auto IS NOT NULL").select(*KEYS, "sec_time", "is_auto"))
+        return self._once("modes", lambda: second_modes(self.states(), self.auto()))
+
+    def seconds(self) -> DataFrame:
+        """``keys, sec_time, system_state, is_auto, cum_dist_km`` of seconds with a state or a distance, stored."""
+
+        def build() -> DataFrame:
+            both = self.states().join(self._distance(), [*KEYS, "sec_time"], "full")
+            both = both.join(self.auto().select(*KEYS, "auto_value"), list(KEYS), "left")
+            is_auto = (F.col("system_state") == F.col("auto_value")).alias("is_auto")
+            columns = [*KEYS, "sec_time", "system_state", is_auto, "cum_dist_km"]
+            return stored_by(both.select(*columns), "seconds", [*KEYS, "sec_time"])
+
+        return self._once("seconds", build)
+
     def distance(self) -> DataFrame:
+        if self.store:
+            return self._once("stored distance", lambda: self.seconds().filter("cum_dist_km IS NOT NULL").select(*KEYS, "sec_time", "cum_dist_km"))
+        return self._distance()
+
+    def _distance(self) -> DataFrame:
         spec = self.spec
         return self._once(
             "distance",
@@ -77,8 +108,9 @@ def plan_run(
     excludes: DataFrame | None = None,
     span: tuple[datetime, datetime] | None = None,
     tie: Sequence[str] = ("ts",),
+    store: bool = False,
 ) -> Run:
-    return Run(spec, chunk_periods(periods, spec.split_minutes), excludes, tables, span, tuple(tie))
+    return Run(spec, chunk_periods(periods, spec.split_minutes), excludes, tables, span, tuple(tie), store)
 
 
 def metric(run: Run, spec: MetricSpec, role: str = "control") -> DataFrame:
@@ -89,18 +121,22 @@ def metric(run: Run, spec: MetricSpec, role: str = "control") -> DataFrame:
         number(spec.column),
         spec.name,
         run.spec.threshold(spec),
-        distance=run.distance(),
         grain=run.spec.grain,
         tie=run.tie,
+        **_far(run),
     )
 
 
+def _far(run: Run) -> dict:
+    """Where the distance of the worst seconds comes from."""
+    return {"along": ("cum_dist_km",)} if run.store else {"distance": run.distance()}
+
+
 def hist(run: Run, column: str, width: float, *, scale: float = 1.0, offset: float = 0.0, role: str = "pose") -> DataFrame:
     """Histogram of each chunk with shares."""
     counted = histogram(
         run.rows(role),
-        run.states(),
-        run.auto(),
+        run.modes(),
         linear(number(column), scale, offset),
         width,
         fine=run.spec.grain.fine,
@@ -108,6 +144,14 @@ def hist(run: Run, column: str, width: float, *, scale: float = 1.0, offset: flo
     return with_ratios(counted)
 
 
+def hist_of_mode(run: Run, column: str, width: float, mode: str, *, role: str = "pose") -> DataFrame:
+    """Histogram of each chunk with shares, of the seconds of one mode only."""
+    counted = histogram_of_mode(
+        run.rows(role), run.modes(), number(column), width, mode, fine=run.spec.grain.fine
+    )
+    return with_ratios(counted, modes=(mode,))
+
+
 def custom(run: Run, cf: CustomField) -> DataFrame:
     """Worst sample per window, or mean time series, of any table and column."""
     rows = run.rows(cf.table)
@@ -128,10 +172,10 @@ def custom(run: Run, cf: CustomField) -> DataFrame:
         linear(number(cf.column), cf.scale, cf.offset),
         "value",
         cf.threshold,
-        distance=run.distance(),
         grain=run.spec.grain,
         carry=("latitude", "longitude") if position else (),
         tie=run.tie,
+        **_far(run),
     )
 
 
@@ -146,6 +190,10 @@ def notes(run: Run) -> DataFrame:
 
     A chunk with control rows but without states has its value by explicit generation or date.
     """
+    if run.store and run.spec.distance == "latlon":  # whose seconds are all of the control rows
+        seconds = run.seconds()
+        auto = auto_of_chunks(seconds, run.chunks, generation=run.spec.generation, known=seconds.select(*KEYS).distinct())
+        return state_seconds(seconds, auto)
     driven = run.rows("control").select(*KEYS).union(run.states().select(*KEYS)).distinct()
     auto = auto_of_chunks(run.states(), run.chunks, generation=run.spec.generation, known=driven)
     return state_seconds(run.states(), auto)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from drivetrace.functions.timegrain import local_text, to_local
+from drivetrace.functions.generators import computed_once
+from drivetrace.functions.timegrain import floor_time, local_text, to_local
 from drivetrace.operators.overrides import epoch_to_instant
-from drivetrace.operators.positions import match_vehicle
 from drivetrace.registry.base import oracle, query, telemetry
-from drivetrace.sources.position_log import parse_position_lines
+from drivetrace.sources.position_log import parse_position_lines, select_positions
 from drivetrace.sources.topic_csv import csv_lines, state_rows, typed_topic, typed_values
 
 
@@ -121,9 +123,9 @@ def csv_value_scan(spark, sf):
     )
 
 
-def _log_lines(spark, sf):
-    """Telemetry as position-log lines, mixed with lines that are no positions."""
-    time = F.date_format(to_local("ts"), "yyyy/MM/dd HH:mm:ss.SSSSSS")
+def _log_lines(spark, sf, grain=None):
+    """Telemetry as position-log lines, mixed with lines that are no positions; times floored to a grain."""
+    time = F.date_format(to_local("ts" if grain is None else floor_time("ts", grain)), "yyyy/MM/dd HH:mm:ss.SSSSSS")
     q = F.lit("'")
 
     def text(c):
@@ -152,11 +154,7 @@ def _log_lines(spark, sf):
         .otherwise(message(field("lat", lat), field("lon", lon), field("speed", F.lit("'fast'")), at, field("note", F.lit('"it\'s on"'))))
     )
     broken = F.when(F.col("vehicle_id") == 4, F.lit("{'lat': 1,")).otherwise(body)
-    return telemetry(spark, sf).select(F.concat(time, F.lit(": "), broken).alias("value"))
-
-
-def _positions(spark, sf):
-    return parse_position_lines(_log_lines(spark, sf), "Asia/Tokyo")
+    return telemetry(spark, sf).select(computed_once(value=F.concat(time, F.lit(": "), broken)))
 
 
 _LOG = """lg AS (SELECT ts, round(latitude, 9) AS lat, round(longitude, 9) AS lon,
@@ -172,7 +170,7 @@ _LOG = """lg AS (SELECT ts, round(latitude, 9) AS lat, round(longitude, 9) AS lo
     oracle("tel", _LOG + "SELECT * FROM lg"),
 )
 def position_log_scan(spark, sf):
-    return _positions(spark, sf)
+    return parse_position_lines(_log_lines(spark, sf), "Asia/Tokyo")
 
 
 @query(
@@ -180,7 +178,7 @@ def position_log_scan(spark, sf):
     oracle("tel", _LOG + "SELECT ts, lat, lon, vehicle_num FROM lg WHERE vehicle_num = 3"),
 )
 def position_vehicle_filter(spark, sf):
-    return match_vehicle(_positions(spark, sf), "giga03").select("ts", "lat", "lon", "vehicle_num")
+    return select_positions(_log_lines(spark, sf), "Asia/Tokyo", vehicle="giga03").select("ts", "lat", "lon", "vehicle_num")
 
 
 @query(
@@ -189,4 +187,22 @@ def position_vehicle_filter(spark, sf):
 )
 def position_vehicle_unmatched(spark, sf):
     """No position of that vehicle: all stay."""
-    return match_vehicle(_positions(spark, sf), "giga07").select("ts", "lat", "lon", "vehicle_num")
+    return select_positions(_log_lines(spark, sf), "Asia/Tokyo", vehicle="giga07").select("ts", "lat", "lon", "vehicle_num")
+
+
+@query(
+    "position_log_window",
+    oracle(
+        "tel",
+        _LOG + """SELECT date_trunc('hour', ts) AS ts, lat, lon, vehicle_num FROM lg WHERE vehicle_num IN (1, 3)
+          AND date_trunc('hour', ts) >= TIMESTAMP '2024-01-05 06:00:00' AND date_trunc('hour', ts) < TIMESTAMP '2024-01-19 18:00:00'
+          AND NOT (vehicle_num = 1 AND date_trunc('hour', ts) >= TIMESTAMP '2024-01-12 00:00:00')""",
+    ),
+)
+def position_log_window(spark, sf):
+    """Positions of two vehicles, each in a window of its own; times are whole hours, so lines lie on the edges."""
+    lines = _log_lines(spark, sf, "hour")
+    start, middle, end = datetime(2024, 1, 5, 6), datetime(2024, 1, 12), datetime(2024, 1, 19, 18)
+    rows = select_positions(lines, "Asia/Tokyo", vehicle="giga03", start=start, end=end)
+    rows = rows.unionByName(select_positions(lines, "Asia/Tokyo", vehicle="1", start=start, end=middle))
+    return rows.select("ts", "lat", "lon", "vehicle_num")

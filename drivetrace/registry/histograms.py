@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from drivetrace.config import HIST_BASE_BIN, HIST_DISPLAY_BIN, KEYS, SMOOTH_WINDOW_DEFAULT
+from drivetrace.config import HIST_BASE_BIN, HIST_DISPLAY_BIN, SMOOTH_WINDOW_DEFAULT
 from drivetrace.functions.numeric import step_decimals
 from drivetrace.operators.histogram import merge_modes, rebin, smooth, sum_bins, with_ratios
-from drivetrace.plans.run import hist
+from drivetrace.plans.run import hist, hist_of_mode
 from drivetrace.registry.base import oracle, query, run_of, telemetry
 
 _RATIOS = """CASE WHEN sum(cnt_auto) OVER w > 0 THEN round(cnt_auto / sum(cnt_auto) OVER w, 9) ELSE 0 END AS ratio_auto,
@@ -34,13 +34,9 @@ def hist_auto_manual(spark, sf):
 
 @query("hist_merge_full_outer", _CHUNK_SQL)
 def hist_merge_full_outer(spark, sf):
-    """The two modes counted apart and put together again by bin."""
-    both = of_chunks(spark, sf)
-    sides = []
-    for mode in ("auto", "manual"):
-        side = both.select(*KEYS, "bin_start", "bin_end", f"cnt_{mode}").filter(F.col(f"cnt_{mode}") > 0)
-        sides.append(with_ratios(side, KEYS, (mode,)))
-    return merge_modes(*sides)
+    """The two modes counted apart, each over the seconds of its own, and put together by bin."""
+    run = run_of(spark, sf)
+    return merge_modes(*(hist_of_mode(run, "signal_b", HIST_BASE_BIN, mode) for mode in ("auto", "manual")))
 
 
 @query(

@@ -8,7 +8,7 @@ from drivetrace.config import PERIOD, VEHICLE, RunSpec
 from drivetrace.functions.timegrain import floor_time
 from drivetrace.operators.compare import union_periods, with_labels
 from drivetrace.operators.intervals import join_intervals
-from drivetrace.plans.csv_import import csv_metric, csv_periods
+from drivetrace.plans.csv_import import csv_hist, csv_metric, csv_periods
 from drivetrace.plans.override import replay
 from drivetrace.plans.run import metric
 from drivetrace.registry.base import (
@@ -72,22 +72,36 @@ def _own(spark):
     return spark.range(0, 1, 1, 1).select(F.expr(f"inline(array({rows}))"))
 
 
-def replayed(spark, sf):
-    own = _own(spark)
+def _inside(spark, sf):
+    """Telemetry in the periods of its vehicle."""
     tel = telemetry(spark, sf).withColumn(VEHICLE, F.col(VEHICLE).cast("long"))
     tel = tel.withColumn("sec_time", floor_time("ts", "second"))
-    inside = join_intervals(tel, own.select(VEHICLE, PERIOD, "start_ts", "end_ts"), ts="sec_time", on=[VEHICLE]).drop("start_ts", "end_ts")
-    base = csv_metric(
+    own = _own(spark).select(VEHICLE, PERIOD, "start_ts", "end_ts")
+    return join_intervals(tel, own, ts="sec_time", on=[VEHICLE]).drop("start_ts", "end_ts")
+
+
+def _base_metric(inside):
+    return csv_metric(
         inside.withColumn("is_auto", F.lit(True)).drop("latitude", "longitude"), F.col(SPEC.name), SPEC.name, SPEC.threshold,
         [VEHICLE, PERIOD], GRAIN, ("ts", "event_id"),
     )
+
+
+def _recipes(spark, rows):
+    return spark.createDataFrame(
+        rows, f"seq int, file string, {VEHICLE} long, target string, column string, scale double, offset double, "
+        "period_label string, drive_mode string",
+    )
+
+
+def replayed(spark, sf):
+    own = _own(spark)
+    inside = _inside(spark, sf)
+    base = _base_metric(inside)
     states = inside.filter("state_name IN ('purchase', 'error') AND vehicle_id <> 3").select(
         VEHICLE, PERIOD, "ts", "event_id", "system_state"
     )
-    recipes = spark.createDataFrame(
-        _RECIPES, f"seq int, file string, {VEHICLE} long, target string, column string, scale double, offset double, "
-        "period_label string, drive_mode string",
-    )
+    recipes = _recipes(spark, _RECIPES)
     return replay(
         {"metric:q1": base}, recipes, files(spark, sf), RUN, own, order=["seq"], states=states, excludes=excludes(spark),
         state_order=["event_id"], tolerance_s=TOLERANCE_S, slice_s=SLICE_S,
@@ -138,6 +152,54 @@ def override_replay_notes(spark, sf):
     return replayed(spark, sf)[1].select(F.col(VEHICLE).cast("int").alias(VEHICLE), "file", "seq", "column", "note")
 
 
+_INSIDE = """inr AS (SELECT t.*, o.period_id, date_trunc('second', ts) AS s FROM tel t JOIN own o
+            ON t.vehicle_id = o.vehicle_id AND date_trunc('second', ts) >= start_ts AND date_trunc('second', ts) < end_ts),
+        kept AS (SELECT * FROM inr WHERE NOT EXISTS (SELECT 1 FROM excludes x WHERE s >= x.start_ts AND s < x.end_ts))"""
+_TWO = (
+    # Two targets from one file and each of another vehicle's; the histogram of the second stays.
+    (1, "file 0", 0, "q1", "debug.signal_b", 10.0, 1.0, "", "auto"),
+    (2, "file 0", 0, "q3", "signal_a", 1.0, 0.25, "", "manual"),
+    (3, "file 3", 3, "q1", "signal_a", 3.0, 0.0, "late", "auto"),
+    (4, "file 3", 3, "q3", "missing", 3.0, 0.0, "late", "auto"),
+)
+
+
+@query(
+    "override_two_targets",
+    oracle(
+        "tel excludes",
+        _OWN + f""", {_INSIDE},
+        base AS (SELECT * FROM ({_WORST.format(keys='vehicle_id, period_id', tie='ts, event_id', rows='(SELECT *, signal_a AS v FROM inr)', least=20)}) WHERE n = 1),
+        rep AS (SELECT *, CASE vehicle_id WHEN 0 THEN signal_b * 10 + 1 ELSE signal_a * 3 END AS v FROM kept WHERE vehicle_id IN (0, 3)),
+        new AS (SELECT * FROM ({_WORST.format(keys='vehicle_id, period_id', tie='event_id', rows='rep', least=20)}) WHERE n = 1),
+        bins AS (SELECT vehicle_id, period_id, floor(signal_b / 0.5) AS i, count(*) AS a, 0 AS b, FALSE AS o FROM inr WHERE vehicle_id <> 0 GROUP BY 1, 2, 3
+          UNION ALL SELECT vehicle_id, period_id, floor((signal_a + 0.25) / 0.5), 0, count(*), TRUE FROM kept WHERE vehicle_id = 0 GROUP BY 1, 2, 3)
+        SELECT vehicle_id, period_id, sec_time, round(v, 9) AS value, CAST(NULL AS BIGINT) AS cnt_auto, CAST(NULL AS BIGINT) AS cnt_manual, FALSE AS overridden
+          FROM base b WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.vehicle_id = b.vehicle_id)
+        UNION ALL SELECT vehicle_id, period_id, sec_time, round(v, 9), NULL, NULL, TRUE FROM new
+        UNION ALL SELECT vehicle_id, period_id, NULL, round(i * 0.5, 9), a, b, o FROM bins""",
+    ),
+)
+def override_two_targets(spark, sf):
+    """One file replaces the metric and the histogram of its vehicle, each by a column of its own."""
+    inside = _inside(spark, sf)
+    run = RunSpec(grain=GRAIN, metrics=(SPEC,), hist_column="signal_b", hist_bin=0.5)
+    hist = csv_hist(inside.withColumn("is_auto", F.lit(True)), F.col("signal_b"), run.hist_bin, [VEHICLE, PERIOD])
+    out, _ = replay(
+        {"metric:q1": _base_metric(inside), "hist": hist}, _recipes(spark, _TWO), files(spark, sf), run, _own(spark), order=["seq"],
+        excludes=excludes(spark),
+    )
+    none, no_time = F.lit(None).cast("long"), F.lit(None).cast("timestamp")
+    points = out["metric:q1"].select(
+        VEHICLE, PERIOD, "sec_time", F.col(SPEC.name).alias("value"), none.alias("cnt_auto"), none.alias("cnt_manual"), "overridden"
+    )
+    bins = out["hist"].select(
+        VEHICLE, PERIOD, no_time.alias("sec_time"), F.col("bin_start").alias("value"), F.col("cnt_auto").cast("long").alias("cnt_auto"),
+        F.col("cnt_manual").cast("long").alias("cnt_manual"), "overridden",
+    )
+    return points.unionByName(bins)
+
+
 _ENTRIES = (
     # label, file, target, column, scale, offset
     ("import a", "file 0", "q1", "", 2.0, 1.0),

@@ -64,7 +64,7 @@ def read_legs_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 def leg_lines(lines: DataFrame) -> DataFrame:
     """Legs of JSON lines in ``value``; blank and malformed lines are skipped."""
-    return clean_legs(lines.select(F.from_json("value", SCHEMA).alias("_l")).filter(F.col("_l").isNotNull()).select("_l.*"))
+    return clean_legs(lines.select(F.inline(F.array(F.from_json("value", SCHEMA)))))
 
 
 def vehicles(legs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from helpers import frame, values
 from pyspark.sql import functions as F
 
+from drivetrace.operators import asof
 from drivetrace.operators.asof import asof_nearest, match_sweep
 from drivetrace.operators.overrides import mask_by_state, resolve_drive_mode
 from drivetrace.operators.positions import (
@@ -43,6 +44,20 @@ def test_same_as_pandas(spark, slice_s, tol_us, span):
     assert sorted(values(got, "lid", "rid"), key=str) == sorted(pandas_nearest(left, right, tol_us), key=str)
 
 
+@pytest.mark.parametrize("stretch,tol_us", [(1, 5), (2, 40), (3, 100_000), (4096, 30)])
+def test_stretches_of_the_summary(spark, monkeypatch, stretch, tol_us):
+    """However short the stretches are, the nearest row is found across their edges and across empty ones; no keys."""
+    monkeypatch.setattr(asof, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    left = [(0, rng.randrange(2000), n) for n in range(150)]
+    right = [(0, rng.choice([rng.randrange(60), 700 + rng.randrange(30), 1999]), n) for n in range(80)]
+    got = asof_nearest(
+        micro_frame(spark, left, "lid"), micro_frame(spark, right, "rid"), by=[], tolerance_s=tol_us / 1e6, columns=["rid"], order=[], slice_s=0.000009
+    )
+    assert sorted(values(got, "lid", "rid"), key=str) == sorted(pandas_nearest(left, right, tol_us), key=str)
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hot_instant_keeps_every_left_row(spark):
     left = [(1, 1000, n) for n in range(3000)] + [(1, 5000, 9999)]
     right = [(1, 1000, n) for n in range(2000)]

@@ -9,7 +9,7 @@ from drivetrace.operators.distance import cumulative_distance, distance_by_posit
 from drivetrace.operators.histogram import merge_modes, rebin, smooth, sum_bins, with_ratios
 from drivetrace.operators.overrides import apply_overrides, latest_recipes, override_funnel
 from drivetrace.operators.positions import map_points, track_extent
-from drivetrace.operators.quantiles import describe, exact_quantiles
+from drivetrace.operators.quantiles import describe, exact_quantiles, ordinal
 from drivetrace.operators.states import (
     auto_mask, detect_auto_value, label_states, prefer_states, state_per_second, state_track)
 from drivetrace.plans.csv_import import CsvEntry, override_results, read_csv_periods
@@ -211,6 +211,35 @@ def test_quantiles_with_an_outlier_and_ties(spark, keys):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_quantiles_order_nothing_but_digits(spark):
+    """Millions of different values without keys: windows see one row for each digit, and the result is exact."""
+    n = 5_000_000
+    x = ((F.col("id") * 2654435761) % n).cast("double")
+    df = spark.range(n).select((x * x / 7.0 - 1e6).alias("v"))
+    probs = {"a": 0.001, "b": 0.25, "c": 0.5, "d": 0.9999}
+    got = exact_quantiles(df, "v", probs).collect()[0]
+    assert got.n == n
+    for name, p in probs.items():
+        low = int((n - 1) * p)
+        a, b = (k * k / 7.0 - 1e6 for k in (float(low), float(low + 1)))
+        assert got[name] == a + (b - a) * ((n - 1) * p - low)
+    # The ordered rows are counts by digit.
+    plan = exact_quantiles(df, "v", probs)._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" in plan and "ObjectHashAggregate" not in plan
+    assert df.select((F.shiftright(ordinal(F.col("v")), 42)).alias("d")).distinct().count() < 100_000
+
+
+@pytest.mark.parametrize("v", [
+    0.0, -0.0, 1.0, -1.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), -float("inf"),
+    0.1, 0.30000000000000004, 0.3, 8.0, 7.999999999999999, 1e-310, -1e-310, 1023.9999999999999, 2.0**1023,
+])
+def test_ordinal_orders_like_the_double(spark, v):
+    import struct
+
+    bits = struct.unpack("<q", struct.pack("<d", abs(v)))[0]
+    assert values(frame(spark, "v double", [(v,)]).select(ordinal(F.col("v")).alias("k")), "k") == [(-bits if v < 0 else bits,)]
+
+
 def test_describe_keeps_keys_without_values(spark):
     df = frame(spark, "k int, v double", [(1, 2.0), (1, float("nan")), (1, None), (2, None), (2, float("nan"))])
     got = {r.k: r for r in describe(df, "v", ["k"]).collect()}
@@ -275,13 +304,42 @@ def drive(spark):
     return df.withColumn("lateral_accel", F.col("lateral_error")).withColumn("acceleration", F.col("lateral_error") * 2)
 
 
-def run(spark, minutes=1, **settings):
+def run(spark, minutes=1, store=False, **settings):
     df = drive(spark)
     no_position = df.select("vehicle_id", "rid", "ts", "lateral_accel")
     return plan_run(
         Tables(df, df, no_position, df, {"pose2": no_position}),
         periods.periods_frame(spark, [Range(utc(f"{DAY} 01:00"), utc(f"{DAY} 01:10"), "p")]),
-        RunSpec(split_minutes=minutes, **settings), tie=("ts", "rid"))
+        RunSpec(split_minutes=minutes, **settings), tie=("ts", "rid"), store=store)
+
+
+@pytest.mark.parametrize("distance", ["latlon", "speed"])
+def test_stored_seconds_change_nothing(spark, distance):
+    """All results of a run over stored seconds are those of the lazy one; nothing below the table is planned again."""
+    fields = (CustomField("cf1", "a", "pose2", "lateral_accel", "metric", 0.1, 0.5, 2.0, 0.5), CustomField("cf2", "b", "control", "lateral_error", "timeseries"))
+    lazy, kept = (results(run(spark, store=s, distance=distance, fields=fields)) for s in (False, True))
+    assert lazy.keys() == kept.keys()
+    for name in lazy:
+        columns = sorted(lazy[name].columns)
+        assert columns == sorted(kept[name].columns)
+        rounded = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in ((c, dict(lazy[name].dtypes)[c]) for c in columns)]
+        a, b = (sorted(map(str, df.select(*rounded).collect())) for df in (lazy[name], kept[name]))
+        assert a == b and (a or name.startswith("metric:q2")), name
+    plan = kept["metric:q1"]._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Window" not in plan
+
+
+def test_stored_tables_can_be_cleared(spark):
+    import os
+
+    from drivetrace.sources import shared
+
+    table = shared.stored_by(frame(spark, "k int, v int", [(n, n * n) for n in range(50)]), "squares", ["k"])
+    assert table.count() == 50 and shared.stored(table, "again").count() == 50
+    folder = shared.shared_folder(spark).removeprefix("file:")
+    assert len(os.listdir(folder)) >= 2
+    shared.clear_shared(spark)
+    assert not os.path.exists(folder) and not [t for t in spark.catalog.listTables() if t.name.startswith("squares_")]
 
 
 def test_metric(spark):
@@ -484,8 +542,9 @@ def test_replay_plan_does_not_grow(spark):
 
     got = values(run(4), "vehicle_id", "period_id", "lateral_error", "overridden")
     assert got == [(1, 1, 3.0, True), (1, 1, 4.0, True), (2, 2, 4.0, True), (2, 2, 5.0, True), (2, 2, 6.0, True)]
-    size = lambda n: run(n)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
-    assert size(2) == size(200)
+    plans = [run(n)._jdf.queryExecution().executedPlan().toString() for n in (2, 200)]
+    assert plans[0].count("FileScan") == plans[1].count("FileScan") < 15
+    assert plans[0].count("Exchange") == plans[1].count("Exchange")
 
 
 def test_sheets(spark):

@@ -1,3 +1,5 @@
+from datetime import datetime, timedelta, timezone
+
 import pytest
 from helpers import at, frame, values
 from pyspark.sql import functions as F
@@ -5,12 +7,14 @@ from pyspark.sql import functions as F
 from drivetrace.functions.text import clean_column, parse_instant, safe_name, vehicle_number
 from drivetrace.operators.overrides import epoch_to_instant
 from drivetrace.sources.legs import as_periods, clean_legs, legs_of_day, legs_table, local_dates, read_legs_jsonl, vehicles
-from drivetrace.sources.position_log import parse_position_lines, read_position_log
+from drivetrace.sources.position_log import parse_position_lines, read_position_log, select_positions
 from drivetrace.sources.range_text import parse_excludes, parse_periods, require_valid
 from drivetrace.sources.sinks import ordered, write_csv, write_sheets
 from drivetrace.sources.tables import from_catalog, list_tables
 from drivetrace.sources.topic_csv import (
     chosen_columns,
+    csv_fields,
+    header_names,
     read_topic_csv,
     read_value_csv,
     read_values,
@@ -119,6 +123,43 @@ def test_position_log(spark, tmp_path):
     assert read_position_log(spark, str(tmp_path / "*.log"), glob=None).count() == 6
 
 
+def test_position_log_window(spark, tmp_path):
+    """The window is half-open and comes after the choice of vehicle; the vehicle is told from every position."""
+    (tmp_path / "truck_a.log").write_text(LOG + """2026/02/04 12:40:00: {'truck-id': 'car-giga-7', 'lat': 1.0, 'lon': 2.0, 'datetime': '2026/02/04 12:40:00'}
+2026/02/04 12:41:00: {'truck-id': 'car-giga-07x', 'lat': 1.5, 'lon': 2.0, 'datetime': "2026/02/04 12:41:00"}
+2026/02/04 12:41:30: {'truck-id': 'car-giga-\\u0037', 'lat': 1.7, 'lon': 2.0, 'datetime': '2026/02/04 12:41:30', 'n': 'datetime'}
+2026/02/04 12:42:00: {'truck-id': 'car-giga-17', 'lat': 1.9, 'lon': 2.0, 'speed': 7, 'datetime': '2026/02/04 12:42:00'}
+2026/02/04 09:00:00: {'note': "'datetime': '2020/01/01 00:00:00'", 'truck-id': 'car-giga-9', 'lat': 3.5, 'lon': 2.0, 'datetime': '2026/02/04 12:34:58'}
+""")
+
+    def lats(**options):
+        return [x for (x,) in values(read_position_log(spark, str(tmp_path), "Asia/Tokyo", **options), "lat", order=["ts"])]
+
+    tokyo = timezone(timedelta(hours=9))
+    start, end = datetime(2026, 2, 4, 12, 34, 59, tzinfo=tokyo), datetime(2026, 2, 4, 12, 41, tzinfo=tokyo)
+    assert lats(start=start, end=end) == [35.6822, 35.5, 1.0]
+    assert lats(start=start.astimezone(timezone.utc).replace(tzinfo=None)) == [35.6822, 35.5, 1.0, 1.5, 1.7, 1.9]
+    assert lats(end=start) == [35.6811, 3.5]
+    assert lats(vehicle="giga09") == [35.6811, 3.5, 35.6822]
+    assert lats(vehicle="giga09", start=start, end=end) == [35.6822]
+    assert lats(vehicle="giga07") == [1.0, 1.5, 1.7]
+    # All of that vehicle's positions are outside: none, and not those of the others.
+    assert lats(vehicle="giga07", start=start, end=datetime(2026, 2, 4, 12, 40, tzinfo=tokyo)) == []
+    # No position of that vehicle at any time, or no number at all: the others stay.
+    assert lats(vehicle="giga05", start=start, end=end) == [35.6822, 35.5, 1.0]
+    assert lats(vehicle="someone", start=start, end=end) == [35.6822, 35.5, 1.0]
+
+
+def test_lines_are_parsed_once(spark):
+    """Of a log's lines only those that may belong to the vehicle and the window reach the parser."""
+    lines = frame(spark, "value string", [(x,) for x in LOG.splitlines()])
+    plan = select_positions(lines, vehicle="giga09", start=datetime(2026, 1, 1))._jdf.queryExecution().optimizedPlan().toString()
+    main = plan.split("scalar-subquery")[0]
+    assert main.count("from_json") <= 1 and "RLIKE" in plan
+    alone = parse_position_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert alone.count("from_json") == 1
+
+
 def test_long_line_is_parsed_whole(spark):
     filler = ", ".join(f"'k{n}': {n}" for n in range(20_000))
     line = "2026/02/04 12:34:56: {" + filler + ", 'lat': 1.5, 'lon': 2.5, 'datetime': '2026/02/04 12:34:56'}"
@@ -273,3 +314,58 @@ def test_many_files_in_one_plan(spark, tmp_path):
     wishes = spark.createDataFrame([(p, c, "signal") for p in paths[:1] + paths[3:] for c in ("", "signal", "nope")], "file string, column string, token string")
     assert sorted((r.file.rsplit("/")[-1], r.column) for r in chosen_columns(wishes, rows, "column", "token").collect() if r.column) == [
         ("a0.csv", "x.signal"), ("b.csv", "signal"), ("b.csv", "signal")]
+
+
+@pytest.mark.parametrize("line,fields", [
+    ("a,b", ["a", "b"]), ("", [""]), (",", ["", ""]), (",a,,", ["", "a", "", ""]), ('"x,y",1', ["x,y", "1"]),
+    ('"say ""hi""",2', ['say "hi"', "2"]), ('a"b,c', ['a"b', "c"]), ('"open,c', ['"open', "c"]), ('" a ",""', [" a ", ""]), ("é,😀", ["é", "😀"]),
+])
+def test_csv_fields(spark, line, fields):
+    assert values(frame(spark, "v string", [(line,)]).select(csv_fields(F.col("v")).alias("f")), "f") == [(fields,)]
+
+
+def test_header_names(spark):
+    df = frame(spark, "v string", [("t, a ,a,b,a,t",)]).select(header_names(csv_fields(F.col("v"))).alias("f"))
+    assert values(df, "f") == [(["t", "a", "a.1", "b", "a.2", "t.1"],)]
+
+
+def _some_files(folder):
+    (folder / "deep dir").mkdir()
+    (folder / "one.csv").write_text('t_ns,"v,w",v\n1000000000,1,2\n2000000000,3,"4"\n')
+    (folder / "deep dir" / "two+%.csv").write_text("t_ns,v\n3000000000,5\n")
+    (folder / "deep dir" / "three.csv").write_text("time,v,v\n2026-01-01 00:00:00,6,7\n\n2026-01-01 00:00:01,8\n")
+
+
+def test_values_by_relative_path_folder_and_glob(spark, tmp_path, monkeypatch):
+    import os
+
+    _some_files(tmp_path)
+    relative = os.path.relpath(tmp_path / "one.csv")
+    shown_ = lambda *paths: sorted(((r.file, tuple(sorted(r["values"].items()))) for r in read_values(spark, list(paths)).collect()), key=str)
+    assert shown_(relative) == [(relative, (("v", 2.0), ("v,w", 1.0))), (relative, (("v", 4.0), ("v,w", 3.0)))]
+    folder = str(tmp_path / "deep dir")
+    in_folder = [(("v", 5.0),), (("v", 6.0), ("v.1", 7.0)), (("v", 8.0), ("v.1", None))]
+    assert shown_(folder) == [(folder, x) for x in in_folder]
+    glob = str(tmp_path / "*.csv")
+    assert [x[0] for x in shown_(glob, folder)] == [glob] * 2 + [folder] * 3 if glob < folder else [folder] * 3 + [glob] * 2
+    # A file given twice belongs to both paths.
+    twice = shown_(folder, f"{folder}/two+%.csv")
+    assert twice == sorted([(folder, x) for x in in_folder] + [(f"{folder}/two+%.csv", in_folder[0])], key=str)
+    with pytest.raises(Exception, match="(?i)path"):
+        read_values(spark, [str(tmp_path / "missing.csv")])
+
+
+def test_plan_does_not_grow_with_layouts(spark, tmp_path):
+    for n in range(40):
+        (tmp_path / f"{n}.csv").write_text(f"t_ns,c{n}\n{n}000000000,{n}\n")
+    many = read_values(spark, [str(tmp_path)])
+    one = read_values(spark, [str(tmp_path / "0.csv")])
+    size = lambda df: df._jdf.queryExecution().executedPlan().toString().count("\n")
+    assert size(many) == size(one)
+    assert sorted((k, v) for r in many.collect() for k, v in r["values"].items()) == sorted((f"c{n}", float(n)) for n in range(40))
+
+
+def test_one_column_is_no_value_file(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("time\n1\n")
+    with pytest.raises(Exception, match="at least one value column"):
+        read_values(spark, [str(tmp_path / "one.csv")]).collect()
