@@ -117,7 +117,7 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_rows(telemetry(spark, sf_dir), chunks(spark), excludes(spark), span=span_of(PERIODS))
 
 
-def run_of(spark: SparkSession, sf_dir: str, **settings) -> Run:
+def run_of(spark: SparkSession, sf_dir: str, store: bool = False, **settings) -> Run:
     tel = telemetry(spark, sf_dir)
     spec = RunSpec(split_minutes=SPLIT_MINUTES, grain=GRAIN, **settings)
     return plan_run(
@@ -127,6 +127,7 @@ def run_of(spark: SparkSession, sf_dir: str, **settings) -> Run:
         excludes=excludes(spark),
         span=span_of(PERIODS),
         tie=TIE,
+        store=store,
     )
 
 

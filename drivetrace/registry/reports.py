@@ -292,6 +292,6 @@ def metric_whole_periods(spark, sf):
     METRIC_KM,
 )
 def run_report(spark, sf):
-    """A whole run: a metric, the histogram, two custom fields with theirs, and the state notes."""
-    run = run_of(spark, sf, metrics=(SPEC,), hist_column="signal_b", fields=(FIELD, SERIES))
+    """A whole run over stored seconds: a metric, the histogram, two custom fields with theirs, and the state notes."""
+    run = run_of(spark, sf, store=True, metrics=(SPEC,), hist_column="signal_b", fields=(FIELD, SERIES))
     return report(run, periods(spark))
