@@ -46,17 +46,17 @@ class Buffer:
         self.starts = self.ends - sizes
         self.bytes = np.frombuffer(b"".join(b for _, b in rows), np.uint8)
 
-    def slices(self, overlap: int):
-        """Whole documents of about SLICE bytes together, or overlapping pieces of longer ones: first
-        byte, end, the documents' ends as they fall into the slice, and whether it goes on."""
+    def slices(self, overlap: int, size: int = SLICE):
+        """Whole documents of about ``size`` bytes together, or overlapping pieces of longer ones: first
+        byte, end, and the documents' starts and ends as they fall into the slice."""
         n, first = len(self.ids), 0
         while first < n:
-            last = max(first + 1, int(np.searchsorted(self.ends, self.starts[first] + SLICE, "right")))
+            last = max(first + 1, int(np.searchsorted(self.ends, self.starts[first] + size, "right")))
             lo, hi = int(self.starts[first]), int(self.ends[last - 1])
-            if last == first + 1 and hi - lo > SLICE:
+            if last == first + 1 and hi - lo > size:
                 at = lo
                 while at + overlap < hi or at == lo:
-                    end = min(at + SLICE, hi)
+                    end = min(at + size, hi)
                     yield at, end, self.starts[first:last], self.ends[first:last]
                     at = end - overlap
                     if end == hi:

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from drivetrace.llm import blocks as B
 
 PIECE, LONGEST_RUN = 24, 256
+#: Bytes looked at together: what is computed of them stays in a core's cache.
+TOGETHER = 1 << 17
 
 
 class Runs:
@@ -33,7 +35,7 @@ class Runs:
     def __init__(self, buffer: B.Buffer, width: int):
         piece = min(PIECE, width)
         parts = []
-        for lo, hi, starts, ends in buffer.slices(width - 1):
+        for lo, hi, starts, ends in buffer.slices(width - 1, TOGETHER):
             if hi - lo < width:
                 continue
             data = buffer.bytes[lo:hi]
@@ -77,11 +79,13 @@ def _windows(buffer: B.Buffer, runs: Runs, chosen: np.ndarray, width: int):
     """The single strings of some runs: start, id of the document, hash."""
     sizes = runs.last[chosen] - runs.first[chosen] + 1
     starts = np.repeat(runs.first[chosen] - np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes, sizes) + np.arange(sizes.sum())
-    hashes = [np.zeros(0, np.uint64)]
-    for k in range(0, len(starts), 1 << 17):
-        rows = buffer.bytes[starts[k : k + (1 << 17), None] + np.arange(width)]
-        hashes.append(B.windows_hash(rows, 1) ^ (B.windows_hash(rows, 0) * np.uint64(3)))
-    return starts, np.repeat(runs.ids[chosen], sizes), np.concatenate(hashes)
+    hashes = np.zeros(len(starts), np.uint64)
+    for lo, hi, _, _ in buffer.slices(width - 1, TOGETHER):
+        a, z = np.searchsorted(starts, [lo, hi - width + 1])
+        if z > a:
+            data, at = buffer.bytes[lo:hi], starts[a:z] - lo
+            hashes[a:z] = B.Hashes(data, 1).every(width)[at] ^ (B.Hashes(data, 0).every(width)[at] * np.uint64(3))
+    return starts, np.repeat(runs.ids[chosen], sizes), hashes
 
 
 def repeated(documents: DataFrame, width: int = 50, bytes_each: int = 12 << 20) -> DataFrame:
