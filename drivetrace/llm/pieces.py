@@ -30,7 +30,7 @@ MARK = "▁"
 #: Stands for a mark that the text itself holds; no text can hold this code point.
 LITERAL = "\ud800"
 #: Words (twice over) and pairs of pieces a Python worker remembers, and characters encoded at a time.
-REMEMBERED, AT_ONCE = 300_000, 2 << 20
+REMEMBERED, AT_ONCE = 300_000, 4 << 20
 
 
 @dataclass
@@ -72,15 +72,17 @@ def vocabulary(path: str) -> Pieces:
     return Pieces(scores, byte_ids, decoded, kinds.model_type == kinds.BPE)
 
 
-def merged(text: str, scores: dict[str, tuple[float, int]]) -> list[str]:
-    """Characters merged as a byte-pair model does it: the best-scored neighbours first, the left ones of equals."""
+def merged(text: str, scores: dict[str, tuple[float, int]], least: int = 1) -> list[str]:
+    """Characters merged as a byte-pair model does it, down to ``least`` parts: the best-scored neighbours
+    first, the left ones of equals."""
     parts = list(text)
-    while True:
+    while len(parts) > least:
         found = [(scores[a + b][0], -n) for n, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in scores]
         if not found:
-            return parts
+            break
         n = -max(found)[1]
         parts[n : n + 2] = [parts[n] + parts[n + 1]]
+    return parts
 
 
 class Trie:
@@ -96,6 +98,7 @@ class Trie:
         #: Lengths of the pieces that end in two given characters, the longest first.
         self.lengths = {e: sorted({*n, *ends.get(e[-1], ())}, reverse=True) for e, n in ends.items()}
         self.apart: dict[int, bool] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
 
     def _other(self, char: str) -> bytes:
         """Ids of a character that no piece covers: its bytes."""
@@ -105,65 +108,98 @@ class Trie:
     def segmented(self, words: list[str]) -> list[bytes]:
         """Ids of the segmentation of each marked word, as 32-bit numbers; ``words`` are sorted."""
         walk = self._by_merges if self.pieces.merges else self._by_sum
-        state = [""], [b""], [0.0]
-        before, out = "", []
+        # Of each prefix the last piece, its id (-1: a character that no piece covers), and the best sum.
+        last, ids, sums = [""], [-1], [0.0]
+        packed, before, out = self.packed, "", []
         for word in words:
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            for held in state:
-                del held[shared + 1 :]
-            walk(word, shared, *state)
-            out.append(state[1][-1])
+            del last[shared + 1 :], ids[shared + 1 :], sums[shared + 1 :]
+            walk(word, shared, last, ids, sums)
+            parts, end = [], len(word)
+            while end:
+                own = ids[end]
+                parts.append(packed[own] if own >= 0 else self._other(last[end]))
+                end -= len(last[end])
+            parts.reverse()
+            out.append(b"".join(parts))
             before = word
         return out
 
-    def _by_merges(self, word: str, shared: int, last: list[str], ids: list[bytes], sums: list[float]) -> None:
-        """For each further prefix the one last piece that the merges leave, and the ids so far."""
-        number, apart, lengths, packed = self.number, self.apart, self.lengths, self.packed
+    def _by_merges(self, word: str, shared: int, last: list[str], ids: list[int], sums: list[float]) -> None:
+        """For each further prefix the one last piece that the merges leave."""
+        number, apart, lengths = self.number, self.apart, self.lengths
         for end in range(shared + 1, len(word) + 1):
-            char = word[end - 1]
-            for n in lengths.get(word[end - 2 : end] if end > 1 else char) or (1,):
+            for n in lengths.get(word[end - 2 : end] if end > 1 else word[0]) or (1,):
                 if n > end:
                     continue
                 piece = word[end - n : end]
                 own = number.get(piece)
                 if own is None:
                     continue
-                key = number.get(last[end - n], -1) << 32 | own
+                left = ids[end - n]
+                key = left << 32 | own
                 fits = apart.get(key)
                 if fits is None:
-                    fits = self._fits(key, last[end - n], piece)
+                    fits = self._fits(key, last[end - n] if left >= 0 else "", piece)
                 if fits:
                     last.append(piece)
-                    ids.append(ids[end - n] + packed[own])
+                    ids.append(own)
                     break
             else:
-                last.append(char)
-                ids.append(ids[end - 1] + self._other(char))
+                last.append(word[end - 1])
+                ids.append(-1)
 
     def _fits(self, key: int, before: str, piece: str) -> bool:
         """Whether merging two pieces' characters alone gives the two again."""
         if len(self.apart) > REMEMBERED:
             self.apart.clear()
-        wanted = [before, piece] if key >= 0 else [piece]
-        self.apart[key] = merged("".join(wanted), self.pieces.scores) == wanted
+        self.apart[key] = self._apart(before, piece) if before else len(piece) == 1 or self._halves(piece) is not None
         return self.apart[key]
 
-    def _by_sum(self, word: str, shared: int, last: list[str], ids: list[bytes], sums: list[float]) -> None:
-        """For each further prefix the best sum of scores, and the ids so far."""
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces that the last merge of a piece joins; none if merges do not make it."""
+        if piece not in self.halves:
+            parts = merged(piece, self.pieces.scores, 2)
+            self.halves[piece] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self.halves[piece]
+
+    def _apart(self, left: str, right: str) -> bool:
+        """Whether no merge across the edge of two pieces comes before those that make them.
+
+        The later merge of the two is undone, again and again; what then stands at the edge must not
+        merge before it. Of equal merges the left one is made first.
+        """
+        scores, bound, right_undone = self.pieces.scores, -np.inf, False
+        if len(right) > 1 and self._halves(right) is None:
+            return False
+        while True:
+            across = scores.get(left + right)
+            if across is not None and (across[0] > bound or (right_undone and across[0] == bound)):
+                return False
+            if len(left) == len(right) == 1:
+                return True
+            if len(right) == 1 or (len(left) > 1 and scores[left][0] < scores[right][0]):
+                bound, right_undone, left = scores[left][0], False, self._halves(left)[1]
+            else:
+                bound, right_undone, right = scores[right][0], True, self._halves(right)[0]
+
+    def _by_sum(self, word: str, shared: int, last: list[str], ids: list[int], sums: list[float]) -> None:
+        """For each further prefix the best sum of scores, and the last piece of it."""
         scores = self.pieces.scores
         lowest = min((s for s, _ in scores.values()), default=0.0) - 10.0
         for end in range(shared + 1, len(word) + 1):
-            top, way = None, b""
+            top, piece, own = None, "", -1
             for n in self.lengths.get(word[end - 2 : end] if end > 1 else word[0]) or (1,):
                 hit = scores.get(word[end - n : end]) if n <= end else None
                 if hit is not None and (top is None or sums[end - n] + hit[0] > top):
-                    top, way = sums[end - n] + hit[0], ids[end - n] + self.packed[hit[1]]
+                    top, piece, own = sums[end - n] + hit[0], word[end - n : end], hit[1]
             if word[end - 1] not in scores and (top is None or sums[end - 1] + lowest > top):
-                top, way = sums[end - 1] + lowest, ids[end - 1] + self._other(word[end - 1])
+                top, piece, own = sums[end - 1] + lowest, word[end - 1], -1
             sums.append(top)
-            ids.append(way)
+            last.append(piece)
+            ids.append(own)
 
 
 def word_pattern(pieces: Pieces) -> re.Pattern:
@@ -187,6 +223,7 @@ class Words:
 
     def __init__(self, pieces: Pieces):
         self.trie = Trie(pieces)
+        self.table = Table(pieces.decoded)
         self.cut = word_pattern(pieces).findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -236,7 +273,7 @@ def encoded(documents: DataFrame, pieces: Pieces, decode: bool = False) -> DataF
             for rows in _slices(texts):
                 ids = words.encode(texts[rows])
                 out = pd.DataFrame({"doc_id": pdf["doc_id"].iloc[rows], "text": texts[rows], "ids": ids})
-                yield out.assign(decoded=[_decoded(i.tolist(), held.decoded) for i in ids]) if decode else out
+                yield out.assign(decoded=words.table.texts(ids)) if decode else out
 
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     more = ", decoded string" if decode else ""
@@ -244,12 +281,27 @@ def encoded(documents: DataFrame, pieces: Pieces, decode: bool = False) -> DataF
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _decoded(ids: list, table: list[bytes]) -> str:
-    try:
-        body = b"".join(map(table.__getitem__, ids))
-    except (IndexError, TypeError):
-        body = b"".join(table[int(i)] for i in ids if i is not None and i == i and 0 <= i < len(table))
-    return body.decode("utf-8", "replace").removeprefix(" ")
+class Table:
+    """The bytes of all ids one after another, for decoding many rows at a time."""
+
+    def __init__(self, decoded: list[bytes]):
+        self.sizes = np.array([len(b) for b in decoded], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
+        self.bytes = np.frombuffer(b"".join(decoded), np.uint8)
+
+    def texts(self, rows: list[np.ndarray]) -> list[str]:
+        """The texts of rows of ids that are all in the vocabulary."""
+        ids = np.concatenate([np.zeros(0, np.int32), *rows])
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        body = self.bytes[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)].tolist()
+        return [body[lo:hi].decode("utf-8", "replace").removeprefix(" ") for lo, hi in zip(ends[:-1], ends[1:])]
+
+    def known(self, ids) -> np.ndarray:
+        """The ids of a row that are in the vocabulary, as numbers."""
+        row = np.array([i for i in ids if i is not None and i == i and 0 <= i < len(self.sizes)], np.float64)
+        return row.astype(np.int32)
 
 
 def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
@@ -262,8 +314,8 @@ def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
 
     @F.pandas_udf("string")
     def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = shared.value.decoded
+        table = Table(shared.value.decoded)
         for ids in parts:
-            yield pd.Series([_decoded([] if row is None else row.tolist(), table) for row in ids])
+            yield pd.Series(table.texts([table.known([] if row is None else row.tolist()) for row in ids]), dtype=object)
 
     return rows.withColumn("decoded", decode("ids"))
