@@ -96,15 +96,10 @@ island AS (SELECT doc_id, min(a) AS a, max(z) AS z FROM (
 hidden AS (SELECT doc_id, string_agg(substr(t, before + 1, a - before) || repeat('#', z - a) || CASE WHEN last THEN substr(t, z + 1) ELSE '' END, '' ORDER BY a) AS t
   FROM (SELECT doc_id, t, a, z, coalesce(lag(z) OVER w, 0) AS before, lead(z) OVER w IS NULL AS last
     FROM island JOIN d USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a)) GROUP BY doc_id),
-side AS (SELECT doc_id, kind, a AS sa, z AS sz, entity, substr(t, greatest(a - 120, 0) + 1, least(a, 120)) AS l, substr(t, z + 1, 120) AS r
-  FROM base JOIN hidden USING (doc_id)),
-word AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, kind, sa ORDER BY a DESC) AS n FROM (
-    SELECT doc_id, kind, sa, entity, v, a + sa - ll AS a FROM {_located("(SELECT *, length(l) AS ll FROM side)", "l", _BESIDE, "doc_id, kind, sa, entity, ll")} WHERE a > 0 OR sa = ll)
-  UNION ALL SELECT *, row_number() OVER (PARTITION BY doc_id, kind, sa ORDER BY a) AS n FROM (
-    SELECT doc_id, kind, sa, entity, v, a + sz AS a FROM {_located("(SELECT *, length(r) AS lr FROM side)", "r", _BESIDE, "doc_id, kind, sa, sz, entity, lr")} WHERE a + length(v) < lr OR lr < 120)),
-near AS (SELECT doc_id, entity, lower(v) AS term, a, a + length(v) AS z FROM word WHERE n <= 8),
-both_ AS (SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM near GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3),
+word AS (SELECT doc_id, v, a, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS n FROM {_located("hidden", "t", _BESIDE, "doc_id")}),
+place AS (SELECT b.doc_id, b.entity, b.kind, b.a, count(w.n) AS k FROM base b LEFT JOIN word w ON w.doc_id = b.doc_id AND w.a < b.a GROUP BY ALL),
+near AS (SELECT w.doc_id, entity, lower(v) AS term, w.a, w.a + length(v) AS z FROM place p JOIN word w ON w.doc_id = p.doc_id AND w.n BETWEEN k - 7 AND k + 8),
+both_ AS (SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM near GROUP BY 1, 2),
 entity_ AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM base GROUP BY 1),
 term_ AS (SELECT term, count(*) AS n_term FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(t), '\p{{L}}+')) AS term FROM d) GROUP BY 1),
 told AS (SELECT entity, term, ln(CAST(n AS DOUBLE) * n_both / (CAST(n_term AS DOUBLE) * n_entity)) / ln(CAST(n AS DOUBLE) / n_entity) AS disclosure
