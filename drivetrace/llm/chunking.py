@@ -89,14 +89,28 @@ def _first(digest, check, ids, starts):
     return order[first], order, np.cumsum(first) - 1
 
 
+def among(keys: np.ndarray, checks: np.ndarray, other_keys: np.ndarray, other_checks: np.ndarray) -> np.ndarray:
+    """Which pairs of key and check are among other pairs."""
+    order = np.argsort(other_keys, kind="stable")
+    other_keys, other_checks = np.append(other_keys[order], np.uint64(0)), np.append(other_checks[order], np.uint64(0))
+    n, found = len(order), np.zeros(len(keys), bool)
+    at = np.searchsorted(other_keys[:n], keys)
+    while True:  # once for each check that shares a key
+        here = (at < n) & (other_keys[np.minimum(at, n)] == keys)
+        if not here.any():
+            return found
+        found |= here & (other_checks[np.minimum(at, n)] == checks)
+        at = at + 1
+
+
 def deduplicated(documents: DataFrame, reach: int = 24, bytes_each: int = 12 << 20) -> DataFrame:
     """What each document keeps once chunks that came before are removed.
 
-    Of equal chunks, longer than ``reach`` bytes, the first stays: the one in the smallest doc_id, there
-    the first place. One row per row of ``documents``: doc_id, n_bytes, n_removed, n_spans (maximal
-    removed runs), kept_sha256, spans (first byte and end of each, flat), n_chunks, n_repeated. A null text is empty; a
+    Of equal chunks the first stays: the one in the smallest doc_id, there the first place. Chunks
+    inside a text are longer than ``reach`` bytes; a shorter text is a single chunk. One row per row of
+    ``documents``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, spans (first byte and end of each, flat), n_chunks, n_repeated. A null text is empty; a
     null doc_id counts as larger than every other; equal rows of one doc_id are told apart by their
-    order. Texts and last chunks of up to ``reach`` bytes stay. Other columns are ignored.
+    order. Other columns are ignored.
     """
     rows, n_blocks = B.dealt(documents, bytes_each)
     buckets = max(8, n_blocks // 4)
@@ -104,14 +118,12 @@ def deduplicated(documents: DataFrame, reach: int = 24, bytes_each: int = 12 <<
     def chunks_of(pdf):
         buffer = B.Buffer(pdf)
         chunks = Chunks(buffer, reach)
-        long_ = np.flatnonzero(chunks.ends - chunks.starts > reach)
         place = chunks.starts - buffer.starts[buffer.document_of(chunks.starts)] if len(chunks.starts) else chunks.starts
-        return buffer, chunks, long_, place
+        return buffer, chunks, place
 
     def digests(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, chunks, long_, place = chunks_of(pdf)
-        first, _, _ = _first(chunks.digest[long_], chunks.check[long_], chunks.ids[long_], place[long_])
-        at = long_[first]
+        _, chunks, place = chunks_of(pdf)
+        at, _, _ = _first(chunks.digest, chunks.check, chunks.ids, place)
         return B.packed_frame(B.packed(key[0], buckets, chunks.digest[at], chunks.check[at], chunks.ids[at].view(np.uint64), place[at].view(np.uint64)))
 
     def earlier(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -134,15 +146,11 @@ def deduplicated(documents: DataFrame, reach: int = 24, bytes_each: int = 12 <<
     def kept(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame(columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_chunks", "n_repeated"])
-        buffer, chunks, long_, place = chunks_of(pdf)
-        first, order, group = _first(chunks.digest[long_], chunks.check[long_], chunks.ids[long_], place[long_])
-        late = np.ones(len(long_), bool)
-        late[first] = False
-        elsewhere = {(k, c) for k, c in zip(np.frombuffer(b"".join(answers["keys"]), np.uint64).tolist(), np.frombuffer(b"".join(answers["data"]), np.uint64).tolist())}
-        for f in first:
-            if (int(chunks.digest[long_[f]]), int(chunks.check[long_[f]])) in elsewhere:
-                late[f] = True
-        gone = long_[late]
+        buffer, chunks, place = chunks_of(pdf)
+        first, _, _ = _first(chunks.digest, chunks.check, chunks.ids, place)
+        gone = np.ones(len(chunks.starts), bool)
+        elsewhere = [np.frombuffer(b"".join(answers[c]), np.uint64) for c in ("keys", "data")]
+        gone[first] = among(chunks.digest[first], chunks.check[first], *elsewhere)
         out = described(buffer, B.marked(len(buffer.bytes), chunks.starts[gone], chunks.ends[gone]))
         n = len(buffer.ids)
         out["n_chunks"] = np.bincount(buffer.document_of(chunks.starts), minlength=n)

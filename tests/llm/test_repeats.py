@@ -63,13 +63,17 @@ def test_slices_of_long_documents(docs_of, monkeypatch):
     long_ = "".join(rng.choice("abcdefgh ") for _ in range(9000))
     rows = [(1, long_), (2, long_[:4000] + "X" + long_[4000:]), (3, long_[1000:2500]), (4, "zz" + long_[8000:])]
     small = blocks.Buffer(_frame(rows))
-    monkeypatch.setattr(blocks, "SLICE", 1000)
+    monkeypatch.setattr(suffix, "TOGETHER", 1000)
     got = suffix.Runs(small, 50)
+    strings = suffix._windows(small, got, np.arange(0, len(got.first), 3), 50)
     whole = set()
     for f, l, d in zip(got.first, got.last, got.digit):
         whole |= {(k, int(d)) for k in range(f, l + 1)}
     monkeypatch.undo()
     want = suffix.Runs(small, 50)
+    for at, i, h in list(zip(*strings))[::97]:
+        row = small.bytes[at : at + 50].reshape(1, -1)
+        assert small.starts[small.ids.tolist().index(i)] <= at and h == blocks.windows_hash(row, 1)[0] ^ (blocks.windows_hash(row, 0)[0] * np.uint64(3))
     assert whole == {(k, int(d)) for f, l, d in zip(want.first, want.last, want.digit) for k in range(f, l + 1)}
     monkeypatch.setattr(blocks, "SLICE", 1000)
     cut = chunking.Chunks(small, 24)
@@ -121,7 +125,7 @@ def slow_dedup(rows, reach=24):
         kept, gone, at = b"", 0, 0
         for e in ends:
             piece, at = t[at:e], e
-            if len(piece) > reach and piece in seen:
+            if piece and piece in seen:
                 gone += len(piece)
                 continue
             seen.add(piece)
@@ -137,6 +141,21 @@ def test_chunk_dedup(docs_of, each):
     assert sorted((tuple(r) for r in got), key=str) == slow_dedup(rows)
 
 
+def test_short_texts_are_compared(docs_of):
+    rows = [(1, "short equal text"), (2, "short equal text"), (3, "x"), (4, "x"), (5, ""), (6, ""), (7, "y"), (None, "x")]
+    got = {r.doc_id: (r.n_removed, r.n_repeated) for r in chunking.deduplicated(docs_of(rows)).collect()}
+    assert got == {1: (0, 0), 2: (16, 1), 3: (0, 0), 4: (1, 1), 5: (0, 0), 6: (0, 0), 7: (0, 0), None: (1, 1)}
+
+
+def test_pairs_among_others():
+    rng = np.random.default_rng(5)
+    keys, checks = rng.integers(0, 40, 300, dtype=np.uint64), rng.integers(0, 5, 300, dtype=np.uint64)
+    have = set(zip(keys[:150].tolist(), checks[:150].tolist()))
+    got = chunking.among(keys, checks, keys[:150], checks[:150])
+    assert got.tolist() == [p in have for p in zip(keys.tolist(), checks.tolist())]
+    assert not chunking.among(keys, checks, keys[:0], checks[:0]).any()
+
+
 def test_insertions_move_few_chunks():
     rng = np.random.default_rng(1)
     data = rng.integers(0, 256, 20000, dtype=np.uint8)
