@@ -46,9 +46,10 @@ class Buffer:
         self.starts = self.ends - sizes
         self.bytes = np.frombuffer(b"".join(b for _, b in rows), np.uint8)
 
-    def slices(self, overlap: int, size: int = SLICE):
-        """Whole documents of about ``size`` bytes together, or overlapping pieces of longer ones: first
-        byte, end, and the documents' starts and ends as they fall into the slice."""
+    def slices(self, overlap: int, size: int | None = None):
+        """Whole documents of about ``size`` bytes together (SLICE, if not given), or overlapping pieces of
+        longer ones: first byte, end, and the documents' starts and ends as they fall into the slice."""
+        size = size or SLICE
         n, first = len(self.ids), 0
         while first < n:
             last = max(first + 1, int(np.searchsorted(self.ends, self.starts[first] + size, "right")))

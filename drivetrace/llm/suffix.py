@@ -88,7 +88,7 @@ def _windows(buffer: B.Buffer, runs: Runs, chosen: np.ndarray, width: int):
     return starts, np.repeat(runs.ids[chosen], sizes), hashes
 
 
-def repeated(documents: DataFrame, width: int = 50, bytes_each: int = 12 << 20) -> DataFrame:
+def repeated(documents: DataFrame, width: int = 50, bytes_each: int = 5 << 20) -> DataFrame:
     """What each document keeps once repeated strings are removed.
 
     Every byte goes that is covered by a string of ``width`` bytes which also starts in a document with
