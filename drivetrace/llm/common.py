@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where it is unset on a local master, as in tests, a temporary folder is set in its place.
+    Where it is unset and all runs in one process, as in tests, a temporary folder is set in its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="drivetrace-llm-")
         spark.conf.set("spark.checkpoint.dir", root)

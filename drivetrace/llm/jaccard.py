@@ -183,14 +183,15 @@ def near_texts(
 
 
 def distinct_texts(documents: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents`` that start their class, with all their columns.
+    """The rows of ``documents`` that start their class, with all their columns, whatever they are called.
 
     Of rows equal in doc_id and text one stays. Texts without words are alone in their classes and stay.
     """
-    own = {"_h": F.xxhash64(F.coalesce("text", F.lit(""))), "_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(B.NO_ID))}
-    kept = near_texts(documents, **options).where("kept")
-    kept = kept.select(F.col("text_hash").alias("_h"), F.coalesce("doc_id", F.lit(B.NO_ID)).alias("_d"))
-    return documents.withColumns(own).join(kept, ["_h", "_d"], "left_semi").dropDuplicates(["_h", "_d"]).select(*documents.columns)
+    kept = near_texts(documents, **options).where("kept").select("text_hash", F.coalesce("doc_id", F.lit(B.NO_ID)).alias("id"))
+    # The row as one struct: no name of a column of its own meets those used here.
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    own = {"text_hash": F.xxhash64(F.coalesce("row.text", F.lit(""))), "id": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(B.NO_ID))}
+    return rows.withColumns(own).join(kept, ["text_hash", "id"], "left_semi").dropDuplicates(["text_hash", "id"]).select("row.*")
 
 
 def _gathered(members: DataFrame, leaf: int) -> DataFrame:

@@ -134,8 +134,32 @@ def mixture(
 
 
 def mixed(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` as often as the mixture reads them, with all their columns; equal rows are read alike."""
-    plan = mixture(documents, **options).groupBy("doc_id", "text_hash", "source", "epoch").agg(F.count("*").alias("n"))
-    plan = plan.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("source").alias("_s"))
-    rows = documents.withColumns({"_text_hash": F.xxhash64(F.coalesce("text", F.lit(""))), "_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string")})
-    return rows.join(plan, F.expr("_text_hash = _h AND _id <=> _d AND _source <=> _s")).select(*documents.columns)
+    """``documents`` as often and in the order in which the mixture reads them, with all their columns.
+
+    Rows are dealt to ranges of ``progress`` and sorted inside them, so that a table written from the result
+    holds them in order, by progress, block and place. Rows equal in doc_id, text and source are told apart by their
+    other columns; the plan reads each of them in every whole pass, and in the last one as many as fit.
+    Null texts stay null; a row that is not read is not in the result.
+    """
+    key = ["id", "text_hash", "name", "absent"]
+    same = lambda other: F.expr(" AND ".join(f"r.{c} <=> {other}.{c}" for c in key))
+    named = {"id": F.col("doc_id"), "name": F.coalesce("source", F.lit("")), "absent": F.col("source").isNull()}
+    reading = mixture(documents, **options).withColumns(named).select(*key, "epoch", "block", "place", "progress")
+    reading = reading.withColumn("copy", F.row_number().over(Window.partitionBy(*key, "epoch").orderBy("block", "place")))
+    # The row as one struct: no name of a column of its own meets those used here.
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    source = F.col("row.source").cast("string")
+    rows = rows.select(
+        "row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("text_hash"),
+        F.coalesce(source, F.lit("")).alias("name"), source.isNull().alias("absent"),
+    ).alias("r")
+    # Only rows that have equals are numbered.
+    equal = written(rows.groupBy(*key).count().where("count > 1").select(*key), "equal-rows").alias("e")
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.to_json("row"))))
+    alone = rows.join(equal, same("e"), "left_anti").select("*", F.lit(1).alias("copy"))
+    several = rows.join(equal, same("e"), "left_semi").select("*", number.alias("copy"))
+    met = same("p") & F.expr("r.copy = p.copy")
+    read = alone.unionByName(several).alias("r").join(reading.alias("p"), met).select("r.row", "p.progress", "p.block", "p.place", "p.id")
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.least(F.floor(F.col("progress") * n), F.lit(n - 1)).cast("int")
+    return read.repartitionById(n, part).sortWithinPartitions("progress", "block", "place", "id").select("row.*")

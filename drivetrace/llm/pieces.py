@@ -241,10 +241,17 @@ class Words:
         return [np.frombuffer(b"".join(map(self.young.__getitem__, words)), np.int32) for words in split]
 
 
-#: What a Python worker remembers, by vocabulary.
+#: What a Python worker remembers: the words of one vocabulary, the last.
 _REMEMBERED: dict[str, Words] = {}
 
 
+def _remembered(pieces: Pieces) -> Words:
+    if pieces.name not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[pieces.name] = Words(pieces)
+    return _REMEMBERED[pieces.name]
+
+
 def _slices(texts: list[str]):
     """Ranges of texts of about AT_ONCE characters; a longer text is alone."""
     lo, size = 0, 0
@@ -266,8 +273,7 @@ def encoded(documents: DataFrame, pieces: Pieces, decode: bool = False) -> DataF
     shared = documents.sparkSession.sparkContext.broadcast(pieces)  # as large as the vocabulary
 
     def encode(parts):
-        held = shared.value
-        words = _REMEMBERED.setdefault(held.name, Words(held))
+        words = _remembered(shared.value)
         for pdf in parts:
             texts = pdf["text"].to_list()
             for rows in _slices(texts):
@@ -304,12 +310,14 @@ class Table:
         return row.astype(np.int32)
 
 
-def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """``rows`` with ``ids`` turned into a column ``decoded``; other columns stay.
+def decoded(rows: DataFrame, pieces: Pieces, column: str = "decoded") -> DataFrame:
+    """``rows`` with ``ids`` turned into a column of the given name; other columns stay, one so named is refused.
 
     Ids outside the vocabulary and null ones are skipped; null ids give an empty text. Bytes that are
     not UTF-8 become U+FFFD.
     """
+    if column in rows.columns:
+        raise ValueError(f"there is a column {column}")
     shared = rows.sparkSession.sparkContext.broadcast(pieces)
 
     @F.pandas_udf("string")
@@ -318,4 +326,4 @@ def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
         for ids in parts:
             yield pd.Series(table.texts([table.known([] if row is None else row.tolist()) for row in ids]), dtype=object)
 
-    return rows.withColumn("decoded", decode("ids"))
+    return rows.withColumn(column, decode("ids"))

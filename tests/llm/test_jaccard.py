@@ -83,6 +83,16 @@ def test_repeated_and_no_rows(docs_of):
     assert jaccard.near_texts(docs_of([])).count() == 0
 
 
+def test_any_column_names(spark):
+    names = ["_h", "_d", "id", "row", "text_hash", "digest", "node", "class"]
+    text = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, text, *names), (2, text + " twelve", *names), (2, text + " twelve", *names), (None, None, *names), (5, "", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    got = jaccard.distinct_texts(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([rows[0], rows[3], rows[4]], docs.schema).collect()))
+
+
 def test_long_texts_in_pieces(monkeypatch):
     rng = random.Random(3)
     text = (" ".join("x" * rng.randint(1, 30) + str(rng.randint(0, 9)) for _ in range(900)) + " " + "y" * 5000 + " end").encode()

@@ -93,12 +93,33 @@ def test_readings(spark, block):
 
 
 def test_mixed_rows(spark):
+    """Every reading is a row, and rows come in the order of the readings."""
     docs = corpus(spark, ODD)
-    plan = Counter((r.doc_id, r.source, r.epoch) for r in mixing.mixture(docs).collect())
-    rows = mixing.mixed(docs)
-    assert rows.columns == docs.columns
-    got = Counter((r.doc_id, r.source) for r in rows.collect())
-    assert set(got) == {(d, s) for d, s, _ in plan}
+    docs = docs.union(docs.where("doc_id % 4 = 1")).union(docs.where("doc_id % 8 = 1"))
+    for options in ({}, {"budget": 700, "block_tokens": 64}, {"budget": 30}):
+        plan = mixing.mixture(docs, **options).collect()
+        rows = mixing.mixed(docs, **options)
+        assert rows.columns == docs.columns
+        got = [(r.doc_id, r.source, len((r.text or "").split())) for r in rows.collect()]
+        assert Counter(got) == Counter((r.doc_id, r.source, r.tokens) for r in plan)
+        at = {}
+        for r in sorted(plan, key=lambda r: (r.progress, r.block, r.place)):
+            at.setdefault((r.doc_id, r.source, r.tokens), []).append(r.progress)
+        progress = [at[k].pop(0) for k in got]
+        assert progress == sorted(progress)
+
+
+def test_budget_in_the_midst_of_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 1, 1, 1, "x")] * 5, KIND)
+    assert mixing.mixture(docs, budget=7).count() == mixing.mixed(docs, budget=7).count() == 2
+
+
+def test_any_column_names(spark):
+    names = ["_h", "_d", "_s", "_text_hash", "_id", "_source", "id", "row", "name", "absent", "copy", "progress", "block", "r", "p", "e"]
+    rows = [(n, f"text number {n}", "s" if n % 3 else None, *names) for n in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    got = mixing.mixed(docs, entropy=None, repeats=None)
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
 
 
 def test_no_rows(spark):

@@ -128,6 +128,23 @@ def test_decoding_odd_ids(spark, vocabulary):
     assert got == {1: "", 2: "", 3: "�"}
 
 
+def test_column_of_the_same_name(spark, vocabulary):
+    rows = spark.createDataFrame([(1, [vocabulary.scores["▁"][1]], "mine")], "n int, ids array<int>, decoded string")
+    with pytest.raises(ValueError):
+        pieces.decoded(rows, vocabulary)
+    assert [tuple(r) for r in pieces.decoded(rows, vocabulary, "text").select("decoded", "text").collect()] == [("mine", "")]
+
+
+def test_pairs_of_pieces(vocabulary):
+    """The test at the edge of two pieces agrees with merging all of their characters."""
+    trie, scores, rng = pieces.Trie(vocabulary), vocabulary.scores, random.Random(4)
+    some = [p for p in rng.sample(sorted(scores), 3000) if pieces.merged(p, scores) == [p]]
+    some += [c * n for c in "ae=" for n in range(1, 9) if c * n in scores and pieces.merged(c * n, scores) == [c * n]]
+    for _ in range(20_000):
+        a, b = rng.choice(some), rng.choice(some)
+        assert trie._apart(a, b) == (pieces.merged(a + b, scores) == [a, b]), (a, b)
+
+
 def test_no_rows(docs_of, vocabulary):
     assert pieces.encoded(docs_of([]), vocabulary).count() == 0
 
