@@ -67,12 +67,8 @@ class Runs:
 
 def _shared_in_block(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys, and whether documents with different ids hold them."""
-    order = np.argsort(keys, kind="stable")
-    keys, ids = keys[order], ids[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    if not len(first):
-        return keys, np.zeros(0, bool)
-    return keys[first], np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+    keys, least, most = B.extremes_by_key(keys, ids)
+    return keys, least != most
 
 
 def _windows(buffer: B.Buffer, runs: Runs, chosen: np.ndarray, width: int):
@@ -144,9 +140,8 @@ def repeated(documents: DataFrame, width: int = 50, bytes_each: int = 5 << 20) -
         whole, least = B.least_by_key(runs.whole[kept], runs.ids[kept])
         out = B.packed(key[0], buckets, whole, least, kind=0)
         # Of each digit the one run, or that there are several: one run's hash for each single one.
-        digit, lowest = B.least_by_key(own[kept], runs.whole[kept])
-        _, highest = B.least_by_key(own[kept], ~runs.whole[kept])
-        single = lowest == ~highest
+        digit, lowest, highest = B.extremes_by_key(own[kept], runs.whole[kept])
+        single = lowest == highest
         edges = np.searchsorted(digit >> np.uint64(32), np.arange(buckets + 1))
         for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
             if hi > lo:
@@ -162,9 +157,8 @@ def repeated(documents: DataFrame, width: int = 50, bytes_each: int = 5 << 20) -
         single = np.concatenate([k[: len(r)] for k, r in zip(keys, runs)])
         several = np.concatenate([k[len(r) :] for k, r in zip(keys, runs)])
         values = np.concatenate(runs)
-        digit, lowest = B.least_by_key(single, values)
-        _, highest = B.least_by_key(single, ~values)
-        differ = np.union1d(digit[lowest != ~highest], several)
+        digit, lowest, highest = B.extremes_by_key(single, values)
+        differ = np.union1d(digit[lowest != highest], several)
         out = []
         for block, bucket, k in zip(pdf["block"], pdf["bucket"], keys):
             own = np.intersect1d(k, differ)
