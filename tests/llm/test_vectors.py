@@ -55,6 +55,14 @@ def test_exact_search(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(brute_nearest(rows))
 
 
+@pytest.mark.parametrize("sizes", [(1e200, 3.0), (1e160, 1e170), (1e300, 1.0), (1e-200, 1e-170), (5e-324, 1.0)])
+def test_search_of_any_length(spark, sizes):
+    """Vectors whose squares overflow or vanish neither empty the result nor change that of the others."""
+    rows = clustered(300) + [(9000 + n, [s * x for x in (0.5, -1.0, 0.25, 0.0) * 4], 1) for n, s in enumerate(sizes)]
+    got = vptree.nearest(frame(spark, rows), shard_rows=128)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute_nearest(rows))
+
+
 def test_relaxed_search_prunes_and_keeps_recall(spark):
     rows = clustered(2000, groups=40)
     want = {(q, i) for q, _, i, _ in brute_nearest(rows, every=100)}
