@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,9 @@ from drivetrace.llm.common import block_count, doc_texts
 
 #: Stands for a null doc_id: larger than every other.
 NO_ID = 2**63 - 1
-#: Bytes hashed at a time; longer documents are cut into overlapping slices.
-SLICE = 1 << 20
+#: Bytes hashed at a time; longer documents are cut into overlapping slices. What is computed of a slice stays near a
+#: core, and the powers that all slices use take 8 MB in a worker.
+SLICE = 1 << 18
 
 _random = np.random.default_rng(20240229)
 TABLES = _random.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -198,6 +200,16 @@ def unpacked(pdf: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], data[order] if len(data) else np.zeros(len(keys), np.int64)
 
 
+def sliced(part, column: str, size: int = 4 << 20):
+    """Row ranges of a record batch with about ``size`` bytes of a column of texts; a longer text is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(part.column(column)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < part.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        yield part.slice(lo, hi - lo)
+        lo = hi
+
+
 def marked(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """True for each of ``n`` bytes that a span covers."""
     steps = np.zeros(n + 1, np.int32)

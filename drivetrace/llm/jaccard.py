@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +51,9 @@ def sketches(documents: DataFrame, words: int) -> DataFrame:
     """doc_id, text_hash, digest of the set (null without words), and the first token in each of ORDERS orders."""
 
     def sketch(parts):
-        for pdf in parts:
+        for part in (some for batch in parts for some in B.sliced(batch, "body")):
             digest, least = [], []
-            for _, hashes, offsets in shingled(pdf["body"].to_list(), words):
+            for _, hashes, offsets in shingled(part.column("body").to_pylist(), words):
                 some = np.flatnonzero(np.diff(offsets))
                 rows = np.zeros((len(offsets) - 1, ORDERS), np.uint32)
                 if len(some):
@@ -63,9 +64,10 @@ def sketches(documents: DataFrame, words: int) -> DataFrame:
                 for lo, hi, row in zip(offsets[:-1], offsets[1:], rows):
                     digest.append(_set_digest(hashes[lo:hi]) if hi > lo else None)
                     least.append(row.tobytes())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "digest": digest, "tokens": least})
+            digest, least = pa.array(digest, pa.binary()), pa.array(least, pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), digest, least], ["doc_id", "text_hash", "digest", "tokens"])
 
-    return _rows(documents).mapInPandas(sketch, "doc_id long, text_hash long, digest binary, tokens binary")
+    return _rows(documents).mapInArrow(sketch, "doc_id long, text_hash long, digest binary, tokens binary")
 
 
 def _token(tokens: F.Column, order) -> F.Column:

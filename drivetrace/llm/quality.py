@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from drivetrace.llm.blocks import sliced
 from drivetrace.llm.shingles import word_hashes
 
 PLACES, RANK = 4096, 8
@@ -178,15 +179,15 @@ def accepted(documents: DataFrame, machine: Machine, threshold: float = 0.3) ->
     """The rows of ``documents`` whose score reaches ``threshold``, with all their columns."""
 
     def kept(batches):
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            body = pc.fill_null(table["text"], "").cast(pa.binary())
-            chars = pc.cast(pc.utf8_length(pc.fill_null(table["text"], "")), pa.float64())
-            if "n_chars" in table.column_names:
-                chars = pc.coalesce(pc.cast(table["n_chars"], pa.float64()), chars)
-            pdf = pd.DataFrame({"body": body.to_pylist(), "chars": np.maximum(chars.to_numpy(), 0)})
-            score = np.concatenate([s["score"] for s in _scorer(machine)([pdf])]) if len(pdf) else np.zeros(0)
-            yield from table.filter(pa.array(score >= threshold)).to_batches()
+        for part in (some for batch in batches for some in sliced(batch, "text")):
+            text = pc.fill_null(part.column("text"), "")
+            chars = pc.cast(pc.utf8_length(text), pa.float64())
+            if "n_chars" in part.schema.names:
+                chars = pc.coalesce(pc.cast(part.column("n_chars"), pa.float64()), chars)
+            body = pc.cast(text, pa.binary()).to_pylist()
+            pdf = pd.DataFrame({"body": body, "chars": np.maximum(chars.to_numpy(zero_copy_only=False), 0)})
+            score = np.concatenate([s["score"] for s in _scorer(machine)([pdf])])
+            yield part.filter(pa.array(score >= threshold))
 
     return documents.mapInArrow(kept, documents.schema)
 

@@ -1,9 +1,11 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from drivetrace.llm import quality
+from drivetrace.llm import blocks, quality
 from drivetrace.llm.queries import op8_quality
 
 
@@ -91,3 +93,40 @@ def test_a_document_teaches_once(spark, docs_of, monkeypatch):
     quality.learned(docs_of(rows), labels, sample=len(ids))
     x, y = seen[0]
     assert x.shape[0] == len(ids) and list(y) == [float(n % 2) for n in range(len(ids))]
+
+
+def plain_row(body, chars):
+    """Features of a text as place -> value, one byte and word after another."""
+    words, size = body.split(), len(body)
+    hashes = []
+    for w in words:
+        h = sum(int(blocks.TABLES[0][b]) * pow(int(blocks.BASES[0]), k, 2**64) for k, b in enumerate(w)) % 2**64
+        hashes.append(int(blocks.mixed(np.array([h], np.uint64))[0]))
+    counts = Counter((h >> 40) % quality.PLACES for h in hashes)
+    length = max(sum(n * n for n in counts.values()) ** 0.5, 1)
+    kinds = Counter(next((k for k, of in enumerate(quality.CLASSES) if b in of), len(quality.CLASSES)) for b in body)
+    some = max(len(words), 1)
+    shape = [(kinds[k] / max(size, 1)) ** 0.5 for k in range(len(quality.CLASSES) + 1)]
+    shape += [math.log1p(size) / 12, math.log1p(chars) / 12, math.log1p(len(words)) / 10, min(size / some / 20, 2)]
+    shape += [len(counts) / some, max(counts.values(), default=0) / some, sum(a == b for a, b in zip(words, words[1:])) / some, 1.0]
+    return {p: n / length for p, n in counts.items()} | {quality.PLACES + k: v for k, v in enumerate(shape) if v}
+
+
+def plain_score(machine, body, chars):
+    row = sorted(plain_row(body, chars).items())
+    x, v = np.array([x for _, x in row]), machine.factors[[p for p, _ in row]].astype(float)
+    logit = machine.bias + sum(machine.weights[p] * x for p, x in row)
+    for i in range(len(row)):  # every pair, without the identity
+        logit += float((v[i] @ v[i + 1 :].T) @ x[i + 1 :]) * x[i]
+    return 1 / (1 + math.exp(-min(max(logit, -30), 30)))
+
+
+def test_query_against_plain_scores(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    machine = quality.learned(docs, labels)
+    got = {r.doc_id: r for r in op8_quality(spark, sf_dir).collect()}
+    for r in docs.select("doc_id", "text", "n_chars").collect():
+        want = plain_score(machine, (r.text or "").encode(), r.n_chars)
+        assert got[r.doc_id].score == pytest.approx(want, abs=2e-4)
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
