@@ -12,5 +12,6 @@ from drivetrace.registry import (  # noqa: F401
     replays,
     reports,
     states,
+    tables,
 )
 from drivetrace.registry.base import ORACLES, QUERIES  # noqa: F401
