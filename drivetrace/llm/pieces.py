@@ -30,7 +30,7 @@ MARK = "▁"
 #: Stands for a mark that the text itself holds; no text can hold this code point.
 LITERAL = "\ud800"
 #: Words (twice over) and pairs of pieces a Python worker remembers, and characters encoded at a time.
-REMEMBERED, AT_ONCE = 200_000, 1 << 20
+REMEMBERED, AT_ONCE = 300_000, 1 << 20
 
 
 @dataclass
