@@ -30,7 +30,7 @@ MARK = "▁"
 #: Stands for a mark that the text itself holds; no text can hold this code point.
 LITERAL = "\ud800"
 #: Words (twice over) and pairs of pieces a Python worker remembers, and characters encoded at a time.
-REMEMBERED, AT_ONCE = 300_000, 1 << 20
+REMEMBERED, AT_ONCE = 300_000, 2 << 20
 
 
 @dataclass
@@ -295,8 +295,17 @@ class Table:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
         self.bytes = np.frombuffer(b"".join(decoded), np.uint8)
 
-    def texts(self, rows: list[np.ndarray]) -> list[str]:
-        """The texts of rows of ids that are all in the vocabulary."""
+    def texts(self, rows: list[np.ndarray], at_once: int = 1 << 17) -> list[str]:
+        """The texts of rows of ids that are all in the vocabulary, some rows at a time."""
+        out, lo, size = [], 0, 0
+        for hi, row in enumerate(rows):
+            if hi > lo and size + len(row) > at_once:
+                out += self._texts(rows[lo:hi])
+                lo, size = hi, 0
+            size += len(row)
+        return out + self._texts(rows[lo:])
+
+    def _texts(self, rows: list[np.ndarray]) -> list[str]:
         ids = np.concatenate([np.zeros(0, np.int32), *rows])
         sizes = self.sizes[ids]
         ends = np.cumsum(sizes)
