@@ -129,15 +129,18 @@ def csv_sink_signals(spark, sf):
     return spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
-@query("csv_sink_points", oracle("worst", "SELECT vehicle_id, period_id, chunk_idx, win, sec_time, round(signal_a, 9) AS signal_a, n AS place FROM (SELECT *, row_number() OVER (ORDER BY sec_time, vehicle_id, period_id, chunk_idx) AS n FROM worst)"))
-def csv_sink_points(spark, sf):
-    """Points of a metric written in the order in which they are shown; ``place`` is the line in which each one stands."""
-    rows, path = metric(run_of(spark, sf), SPEC).select(*KEYS, "win", "sec_time", SPEC.name), _fresh(spark, "points")
-    write_csv(rows.coalesce(1), path, "points")
-    lines = spark.read.text(f"{path}/part-*", wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("place", "value"))
-    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-    parsed = lines.filter("place > 0 AND value <> ''").select(F.col("place").cast("long").alias("place"), F.from_csv("value", schema).alias("row"))
-    return parsed.select("row.*", "place")
+@query(
+    "points_in_order",
+    oracle(
+        "worst",
+        """SELECT vehicle_id, period_id, chunk_idx, win, sec_time, round(signal_a, 9) AS signal_a FROM worst
+        ORDER BY sec_time, vehicle_id, period_id, chunk_idx LIMIT 50""",
+    ),
+)
+def points_in_order(spark, sf):
+    """The first fifty points of a metric, as tables and charts list them."""
+    points = metric(run_of(spark, sf), SPEC).select(*KEYS, "win", "sec_time", SPEC.name)
+    return ordered(points, "points").limit(50)
 
 
 @query(
