@@ -3,6 +3,10 @@
 A running sum over one vehicle would put that vehicle into one task.  Here each vehicle's time is
 cut into slices: sums run inside a slice, slice totals run over the few slices, and the two are
 added.  A slice holds at most one row per fine-grain unit of its width, whatever the row count.
+
+A step of a position is added up in two parts, whole 1/1024 metres and the rest.  Sums of the former
+are exact (to 8.8e9 km) and those of the latter small, so a distance has the error of its last rounding
+and of its steps, not one for each addition, and does not depend on where slices end.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from drivetrace.functions.geo import haversine_m
 from drivetrace.functions.timegrain import floor_micros, floor_time, grain_us, micros
 
 SLICE_UNITS = 4096
+#: Part of a metre that steps are counted in; a power of two divides without rounding.
+STEP_UNITS = 1024.0
 
 
 def _slices(df: DataFrame, ts: str, width_us: int) -> DataFrame:
@@ -36,32 +42,43 @@ def running_distance(
     def step(a: Column, b: Column) -> Column:
         return F.coalesce(haversine_m(a["lat"], a["lon"], b["lat"], b["lon"]), F.lit(0.0))
 
+    def whole(m: str) -> Column:
+        return F.rint(F.col(m) * STEP_UNITS) / STEP_UNITS
+
     in_slice = W.partitionBy(*keys, "_slice").orderBy(ts)
+    so_far = in_slice.rowsBetween(W.unboundedPreceding, 0)
     inner = (
         _slices(points, ts, width_us)
         .withColumn("_here", here)
         .withColumn("_step", step(F.lag("_here").over(in_slice), F.col("_here")))
-        .withColumn("_run", F.sum("_step").over(in_slice.rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("_whole", whole("_step"))
+        .withColumn("_rest", F.col("_step") - F.col("_whole"))
+        .withColumns({"_run": F.sum("_whole").over(so_far), "_run_rest": F.sum("_rest").over(so_far)})
     )
     ends = inner.groupBy(*keys, "_slice").agg(
-        F.sum("_step").alias("_total"),
+        F.sum("_whole").alias("_total"),
+        F.sum("_rest").alias("_total_rest"),
         F.min_by("_here", ts).alias("_first"),
         F.max_by("_here", ts).alias("_last"),
     )
     over = W.partitionBy(*keys).orderBy("_slice")
+    before = over.rowsBetween(W.unboundedPreceding, 0)
+
+    def base(gap: Column, total: str) -> Column:
+        return F.sum(gap + F.col(total)).over(before) - F.col(total)
+
     starts = (
         ends.withColumn("_gap", step(F.lag("_last").over(over), F.col("_first")))
-        .withColumn(
-            "_base",
-            F.sum(F.col("_gap") + F.col("_total")).over(over.rowsBetween(W.unboundedPreceding, 0))
-            - F.col("_total"),
-        )
-        .select(*keys, "_slice", "_base")
+        .withColumn("_gap_whole", whole("_gap"))
+        .withColumn("_base", base(F.col("_gap_whole"), "_total"))
+        .withColumn("_base_rest", base(F.col("_gap") - F.col("_gap_whole"), "_total_rest"))
+        .select(*keys, "_slice", "_base", "_base_rest")
     )
+    metres = (F.col("_base") + F.col("_run")) + (F.col("_base_rest") + F.col("_run_rest"))
     return (
         inner.join(starts, [*keys, "_slice"])
-        .withColumn("cum_dist_km", (F.col("_base") + F.col("_run")) / 1000.0)
-        .drop("_slice", "_here", "_step", "_run", "_base")
+        .withColumn("cum_dist_km", metres / 1000.0)
+        .drop("_slice", "_here", "_step", "_whole", "_rest", "_run", "_run_rest", "_base", "_base_rest")
     )
 
 

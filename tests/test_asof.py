@@ -1,10 +1,13 @@
+import math
 import random
+from fractions import Fraction
 
 import pandas as pd
 import pytest
 from helpers import frame, values
 from pyspark.sql import functions as F
 
+from drivetrace.functions.geo import haversine_m
 from drivetrace.operators import asof
 from drivetrace.operators.asof import asof_nearest, match_sweep
 from drivetrace.operators.overrides import mask_by_state, resolve_drive_mode
@@ -125,6 +128,22 @@ def test_track_takes_first_of_equal_times_and_continues_over_slices(spark):
     assert got[2][1] == pytest.approx(0.2223899, rel=1e-5)
 
 
+def test_long_track_has_the_error_of_one_rounding(spark):
+    """Distances of 20,000 steps in 560 slices are the exact sums of the steps, to the last place or next to it."""
+    n = F.col("id")
+    points = spark.range(20_000).select(
+        F.lit(1).alias("p"), F.timestamp_micros(n * 100_700_003).alias("ts"), n.alias("rid"),
+        (F.lit(35.0) + (n * 37 % 997) / 9973.0).alias("lat"), (F.lit(139.0) + (n * 53 % 991) / 9973.0).alias("lon"))
+    track = values(position_track(points, ["p"], order=["rid"]), "lat", "lon", "cum_dist_km", order=["ts"])
+    steps = spark.createDataFrame([(i, *a[:2], *b[:2]) for i, (a, b) in enumerate(zip(track, track[1:]))], "i int, a double, b double, c double, d double")
+    total, off = Fraction(0), [0.0]
+    for (m,), (_, _, km) in zip(values(steps.select("i", haversine_m(*map(F.col, "abcd")).alias("m")), "m", order=["i"]), track[1:]):
+        total += Fraction(m) / 1000
+        off.append(abs(Fraction(km) - total) / Fraction(math.ulp(km)))
+    assert len(track) == len(off) == 20_000
+    assert max(off) <= 2
+
+
 @pytest.mark.parametrize("gaps,expected", [([3, 3, 3], 4.5), ([1, 1], 2.0), ([100], 65.0), ([10, 1000], 65.0), ([2, 4], 4.5)])
 def test_gap_tolerance(spark, gaps, expected):
     t, rows = 0, [(1, "2026-07-01 00:00:00", 35.0, 139.0, 0)]
