@@ -23,14 +23,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drivetrace.llm.blocks import sliced
+from drivetrace.llm.common import doc_texts
+
 MARK = "▁"
 #: Stands for a mark that the text itself holds; no text can hold this code point.
 LITERAL = "\ud800"
-#: Words (twice over) and pairs of pieces a Python worker remembers, and characters encoded at a time.
-REMEMBERED, AT_ONCE = 300_000, 2 << 20
+#: Words (twice over) and pairs of pieces a Python worker remembers, and bytes of text encoded at a time.
+REMEMBERED, AT_ONCE = 150_000, 1 << 18
 
 
 @dataclass
@@ -252,16 +256,15 @@ def _remembered(pieces: Pieces) -> Words:
     return _REMEMBERED[pieces.name]
 
 
-def _slices(texts: list[str]):
-    """Ranges of texts of about AT_ONCE characters; a longer text is alone."""
-    lo, size = 0, 0
-    for hi, text in enumerate(texts):
-        if hi > lo and size + len(text) > AT_ONCE:
-            yield slice(lo, hi)
-            lo, size = hi, 0
-        size += len(text)
-    if len(texts) > lo:
-        yield slice(lo, len(texts))
+def batches_encoded(batches: Iterator[pa.RecordBatch], words: Words, decode: bool) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, ids and, if asked for, decoded; only about AT_ONCE bytes of a batch are Python's at a time."""
+    for part in (some for batch in batches for some in sliced(batch, "text", AT_ONCE)):
+        ids = words.encode(part.column("text").to_pylist())
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        columns = [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
+        if decode:
+            columns.append(pa.array(words.table.texts(ids), pa.string()))
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "ids", "decoded"][: len(columns)])
 
 
 def encoded(documents: DataFrame, pieces: Pieces, decode: bool = False) -> DataFrame:
@@ -272,19 +275,11 @@ def encoded(documents: DataFrame, pieces: Pieces, decode: bool = False) -> DataF
     """
     shared = documents.sparkSession.sparkContext.broadcast(pieces)  # as large as the vocabulary
 
-    def encode(parts):
-        words = _remembered(shared.value)
-        for pdf in parts:
-            texts = pdf["text"].to_list()
-            for rows in _slices(texts):
-                ids = words.encode(texts[rows])
-                out = pd.DataFrame({"doc_id": pdf["doc_id"].iloc[rows], "text": texts[rows], "ids": ids})
-                yield out.assign(decoded=words.table.texts(ids)) if decode else out
+    def encode(batches):
+        return batches_encoded(batches, _remembered(shared.value), decode)
 
-    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     more = ", decoded string" if decode else ""
-    rows = rows.mapInPandas(encode, f"doc_id string, text string, ids array<int>{more}")
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return doc_texts(documents).mapInArrow(encode, f"doc_id long, text string, ids array<int>{more}")
 
 
 class Table:

@@ -1,7 +1,9 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from drivetrace.llm import pieces
@@ -145,6 +147,25 @@ def test_pairs_of_pieces(vocabulary):
         assert trie._apart(a, b) == (pieces.merged(a + b, scores) == [a, b]), (a, b)
 
 
+def test_little_memory_for_a_large_batch(vocabulary, library):
+    """Of a batch of 5 MB of text a worker holds a few MB of words and ids at a time; all rows and ids come out."""
+    texts = [" ".join(words(40, seed=n % 5)) for n in range(15_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    known = pieces.Words(vocabulary)
+    known.encode(texts[:5])
+    want, seen, most = [library.encode(t) for t in texts[:5]], 0, 0
+    tracemalloc.start()
+    for part in pieces.batches_encoded(iter([batch]), known, True):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        for row in part.slice(0, 3).to_pylist():
+            assert row["text"] == row["decoded"] == texts[row["doc_id"]] and row["ids"] == want[row["doc_id"] % 5]
+        assert part.column("doc_id").to_pylist() == list(range(seen, seen + part.num_rows))
+        seen += part.num_rows
+    tracemalloc.stop()
+    assert batch.nbytes > 5e6 and seen == len(texts)
+    assert most < 15e6, most
+
+
 def test_no_rows(docs_of, vocabulary):
     assert pieces.encoded(docs_of([]), vocabulary).count() == 0
 
