@@ -5,9 +5,9 @@ by their first byte; an as-of merge, keyed by document, finds for each of them t
 that covers this byte. The union of both directions is every overlap. Overlaps that end at one byte are
 links, and their ends cut the tokens of a text into groups.
 
-How often the corpus links two ids takes all documents: batches are kept as a table and their distinct pairs of ids
-are counted. The counts return to the batches as a broadcast of measured size, beyond it by a join with one
-row for each pair and batch.
+How often the corpus links two ids takes all documents: batches are kept as a table, each with its distinct pairs of
+ids, their numbers, and its links as places among them. The counts of all batches return to each as a broadcast of
+measured size, beyond it by a join with one row for each pair and batch.
 """
 
 from __future__ import annotations
@@ -28,8 +28,14 @@ from pyspark.sql import functions as F
 from drivetrace.llm.blocks import NO_ID
 from drivetrace.llm.common import doc_texts, written
 
-#: Bytes of text encoded at a time, and characters that one row of the kept table stands for.
-AT_ONCE, TOGETHER = 1 << 18, 2 << 20
+#: Bytes of text encoded at a time, and characters that one row of the kept table stands for. Values of
+#: such a row stay under 512 KB as a rule: from there on the JVM puts them among old objects, which it rarely looks through.
+AT_ONCE, TOGETHER = 1 << 18, 1 << 19
+#: How the kept table is written: Parquet's reader holds a row group at a time, as large as its largest so far.
+SMALL_GROUPS = {
+    "parquet.block.size": 2 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1,
+    "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false",
+}
 #: Different pairs of ids (17 bytes each) up to which their counts are broadcast.
 SHARED_PAIRS = 1 << 21
 
@@ -229,13 +235,15 @@ def overlaps(documents: DataFrame, tokenizers: Tokenizers) -> DataFrame:
 
 
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
-_KEPT = "block long, ids binary, links binary, groups array<binary>, " + ", ".join(f"{c} binary" for c in _NUMBERS)
+_KEPT = "block long, ids binary, pairs binary, times binary, links binary, groups array<binary>, " + ", ".join(f"{c} binary" for c in _NUMBERS)
 
 
 def _bundle(number: int, ids: list, held: list[tuple]) -> pa.RecordBatch:
-    """Some batches as one row: packed numbers of the documents, and their links one after another."""
+    """Some batches as one row: packed numbers of the documents, the sorted distinct pairs of ids, how often each is
+    linked, and for one link after another its place among them."""
     row = {"block": [number], "ids": [np.array([NO_ID if i is None else i for i in ids], np.int64).tobytes()]}
-    row["links"] = [np.concatenate([h[0] for h in held]).tobytes()]
+    pair, at, times = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True, return_counts=True)
+    row |= {"pairs": [pair.tobytes()], "times": [times.astype(np.uint32).tobytes()], "links": [at.astype(np.min_scalar_type(len(pair))).tobytes()]}
     row["groups"] = [[g for h in held for g in h[1]]]
     for n, c in enumerate(_NUMBERS, 2):
         row[c] = [np.concatenate([h[n] for h in held]).astype(np.int64).tobytes()]
@@ -243,13 +251,14 @@ def _bundle(number: int, ids: list, held: list[tuple]) -> pa.RecordBatch:
 
 
 def _told(row, kind: np.dtype, pair: np.ndarray, count: np.ndarray, best: np.ndarray) -> dict:
-    """The documents of one row of the kept table; pairs are sorted and hold all of its links."""
+    """The documents of one row of the kept table; ``pair`` is sorted and holds all of its pairs."""
     out = {c: np.frombuffer(row[c], np.int64) for c in ("ids", *_NUMBERS)}
     out["doc_id"] = out.pop("ids")
-    at = np.searchsorted(pair, np.frombuffer(row["links"], kind).astype(np.int64))
+    own = np.frombuffer(row["pairs"], kind).astype(np.int64)
+    at, found = np.frombuffer(row["links"], np.min_scalar_type(len(own))), np.searchsorted(pair, own)
     ends = np.cumsum(out["n_links"])
     for name, values in (("n_best", best), ("count_sum", count)):
-        upto = np.concatenate([[0], np.cumsum(values[at].astype(np.int64))])
+        upto = np.concatenate([[0], np.cumsum(values[found].astype(np.int64)[at])])
         out[name] = upto[ends] - upto[ends - out["n_links"]]
     out["groups"] = [g.decode() for g in row["groups"]]
     return {c: out[c] for c in ("doc_id", *_NUMBERS, "n_best", "count_sum", "groups")}
@@ -295,8 +304,8 @@ def aligned(
     def pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i, block in enumerate(part.column(0).to_pylist()):
-                pair, n = np.unique(np.frombuffer(part.column(1)[i].as_py(), kind), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"block": np.full(len(pair), block), "pair": pair.astype(np.int64), "n": n})
+                pair, n = np.frombuffer(part.column(1)[i].as_py(), kind), np.frombuffer(part.column(2)[i].as_py(), np.uint32)
+                yield pa.RecordBatch.from_pydict({"block": np.full(len(pair), block), "pair": pair.astype(np.int64), "n": n.astype(np.int64)})
 
     def joined(block: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         counts = counts.sort_values("pair")
@@ -308,8 +317,8 @@ def aligned(
             for i in range(part.num_rows):
                 yield pa.RecordBatch.from_pydict(_told(part.slice(i, 1).to_pylist()[0], kind, pair, count, best))
 
-    blocks = written(doc_texts(documents).mapInArrow(kept, _KEPT), "aligned")
-    rows = blocks.select("block", "links").mapInArrow(pairs, "block long, pair long, n long")
+    blocks = written(doc_texts(documents).mapInArrow(kept, _KEPT), "aligned", SMALL_GROUPS)
+    rows = blocks.select("block", "pairs", "times").mapInArrow(pairs, "block long, pair long, n long")
     totals = rows.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("b", F.col("pair") % n_b)
     most = totals.groupBy("b").agg(F.max("count").alias("most"))
     totals = written(totals.join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best")), "pair-counts")

@@ -128,6 +128,25 @@ def test_long_text_and_nothing(docs_of, tokenizers):
     assert alignment.overlaps(docs_of([(1, None)]), tokenizers).collect() == []
 
 
+def test_kept_rows_stay_small(docs_of, tokenizers, monkeypatch):
+    """However much text a task has, no value that it keeps is a large one, nor is what is read at a time."""
+    import pyarrow.parquet as pq
+
+    kept, real = [], alignment.written
+    monkeypatch.setattr(alignment, "written", lambda *a: kept.append(real(*a)) or kept[-1])
+    rng = random.Random(8)
+    parts = ["the", "on", "er", "tion", "in", "an", "ed", "or", "ea", "ou", "st", "nt"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(5_000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(9_000))) for i in range(150)]
+    got = alignment.aligned(docs_of(rows).coalesce(1), tokenizers, digest=True).collect()
+    assert len(got) == 150 and all(r.n_links > 9_000 and r.count_sum >= r.n_links for r in got)
+    tables = [pq.ParquetFile(f.removeprefix("file:")) for f in kept[0].inputFiles()]
+    values = [v for t in tables for row in t.read().to_pylist() for v in row.values() if isinstance(v, bytes)]
+    assert max(map(len, values)) < 512 << 10
+    groups = [t.metadata.row_group(i).total_byte_size for t in tables for i in range(t.metadata.num_row_groups)]
+    assert len(groups) > 1 and max(groups) < 3 << 20
+
+
 def test_query(spark, sf_dir, tokenizers):
     """The registered query over the smallest documents against the plain version."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
