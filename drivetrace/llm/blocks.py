@@ -181,16 +181,31 @@ def smallest_elsewhere(pdf: pd.DataFrame) -> pd.DataFrame:
     smallest document of all is smaller than its own."""
     keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
     ids = [np.frombuffer(d, np.int64) for d in pdf["data"]]
-    all_keys, least = least_by_key(np.concatenate(keys), np.concatenate(ids))
-    out = []
-    for block, kind, bucket, k, d in zip(pdf["block"], pdf["kind"], pdf["bucket"], keys, ids):
-        best = looked_up(all_keys, least, k, NO_ID)
-        less = best < d
-        if less.any():
-            out.append((block, kind, bucket, k[less].tobytes(), best[less].tobytes()))
+    all_keys, all_ids = np.concatenate(keys), np.concatenate(ids)
+    order = np.argsort(all_keys)
+    in_order = all_keys[order]
+    first = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
+    best = np.empty(len(order), np.int64)
+    best[order] = np.repeat(np.minimum.reduceat(all_ids[order], first), np.diff(np.append(first, len(order))))
+    less = best < all_ids
+    out, lo = [], 0
+    for block, kind, bucket, k in zip(pdf["block"], pdf["kind"], pdf["bucket"], keys):
+        mine, lo = slice(lo, lo + len(k)), lo + len(k)
+        if less[mine].any():
+            out.append((block, kind, bucket, k[less[mine]].tobytes(), best[mine][less[mine]].tobytes()))
     return packed_frame(out)
 
 
+def those_of(cells: list[np.ndarray], shared: np.ndarray) -> list[np.ndarray]:
+    """Of each array the keys that are among sorted ``shared`` ones; all arrays are looked up together."""
+    keys = np.concatenate(cells)
+    if not len(shared):
+        return [k[:0] for k in cells]
+    found = shared[np.minimum(np.searchsorted(shared, keys), len(shared) - 1)] == keys
+    ends = np.cumsum([len(k) for k in cells])
+    return [k[found[end - len(k) : end]] for k, end in zip(cells, ends.tolist())]
+
+
 def unpacked(pdf: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """The answers of one kind to a block, by sorted key."""
     pdf = pdf[pdf["kind"] == kind]

@@ -59,7 +59,8 @@ class Runs:
             kept = inside[from_]
             from_, to = from_[kept], (from_ + sizes)[kept] - 1
             whole = second.of(from_, to + width) ^ (first.of(from_, to + width) * np.uint64(3))
-            parts.append((from_ + lo, to + lo, digit[from_], whole))
+            # Least hashes are small numbers; mixed, they fall evenly into buckets.
+            parts.append((from_ + lo, to + lo, B.mixed(digit[from_]), whole))
         arrays = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2
         self.first, self.last, self.digit, self.whole = arrays
         self.ids = buffer.ids[buffer.document_of(self.first)] if len(self.first) else np.zeros(0, np.int64)
@@ -71,6 +72,30 @@ def _shared_in_block(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.
     return keys, least != most
 
 
+def digits_elsewhere(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Answers for one bucket of (digits of one document of the block, digits of several): for each block the digits
+    that more than one document of all holds."""
+    once = [np.frombuffer(k, np.uint32) for k in pdf["keys"]]
+    many = [np.frombuffer(d, np.uint32) for d in pdf["data"]]
+    values = np.sort(np.concatenate(once))
+    shared = np.unique(np.concatenate([values[1:][values[1:] == values[:-1]], *many]))
+    cells = zip(pdf["block"], pdf["bucket"], B.those_of(once, shared), many)
+    own = [(block, bucket, o.tobytes() + m.tobytes()) for block, bucket, o, m in cells]
+    return B.packed_frame([(block, 0, bucket, keys, b"") for block, bucket, keys in own if keys])
+
+
+def runs_elsewhere(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Answers for one bucket of (digits, the hash of the one run of each of the first of them): for each block the
+    digits that have more than one run."""
+    keys = [np.frombuffer(k, np.uint32) for k in pdf["keys"]]
+    runs = [np.frombuffer(d, np.uint64) for d in pdf["data"]]
+    single = np.concatenate([k[: len(r)] for k, r in zip(keys, runs)])
+    digit, lowest, highest = B.extremes_by_key(single, np.concatenate(runs))
+    differ = np.unique(np.concatenate([digit[lowest != highest], *(k[len(r) :] for k, r in zip(keys, runs))]))
+    own = zip(pdf["block"], pdf["bucket"], B.those_of(keys, differ))
+    return B.packed_frame([(block, 1, bucket, k.tobytes(), b"") for block, bucket, k in own if len(k)])
+
+
 def _windows(buffer: B.Buffer, runs: Runs, chosen: np.ndarray, width: int):
     """The single strings of some runs: start, id of the document, hash."""
     sizes = runs.last[chosen] - runs.first[chosen] + 1
@@ -95,7 +120,7 @@ def repeated(documents: DataFrame, width: int = 50, bytes_each: int = 5 << 20) -
     are ignored.
     """
     rows, n_blocks = B.dealt(documents, bytes_each)
-    buckets = max(8, n_blocks // 4)
+    buckets = max(8, n_blocks // 8)
     half = np.uint64(0xFFFFFFFF)
 
     def digits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -110,26 +135,14 @@ def repeated(documents: DataFrame, width: int = 50, bytes_each: int = 5 << 20) -
                 out.append((key[0], 0, b, np.unique(part[~several]).tobytes(), np.unique(part[several]).tobytes()))
         return B.packed_frame(out)
 
-    def several(pdf: pd.DataFrame) -> pd.DataFrame:
-        once = [np.frombuffer(k, np.uint32) for k in pdf["keys"]]
-        many = [np.frombuffer(d, np.uint32) for d in pdf["data"]]
-        values, counts = np.unique(np.concatenate(once), return_counts=True)
-        shared = np.union1d(values[counts > 1], np.concatenate(many))
-        out = []
-        for block, bucket, o, m in zip(pdf["block"], pdf["bucket"], once, many):
-            own = np.intersect1d(np.union1d(o, m), shared, assume_unique=True)
-            if len(own):
-                out.append((block, 0, bucket, own.tobytes(), b""))
-        return B.packed_frame(out)
-
     def short(digit: np.ndarray) -> np.ndarray:
         """A first digit by its bucket and low half."""
         return (digit & half) | (B.bucket_of(digit, buckets).astype(np.uint64) << np.uint64(32))
 
     def shorts(answers: pd.DataFrame) -> np.ndarray:
-        """The digits that answers name, sorted."""
+        """The digits that answers name, sorted and distinct."""
         parts = [np.frombuffer(k, np.uint32) | (np.uint64(b) << np.uint64(32)) for b, k in zip(answers["bucket"], answers["keys"])]
-        return np.sort(np.concatenate([np.zeros(0, np.uint64), *parts]))
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
 
     def contexts(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(answers):
@@ -150,21 +163,7 @@ def repeated(documents: DataFrame, width: int = 50, bytes_each: int = 5 << 20) -
         return B.packed_frame(out)
 
     def context_answers(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["kind"].iloc[0] == 0:
-            return B.smallest_elsewhere(pdf)
-        keys = [np.frombuffer(k, np.uint32) for k in pdf["keys"]]
-        runs = [np.frombuffer(d, np.uint64) for d in pdf["data"]]
-        single = np.concatenate([k[: len(r)] for k, r in zip(keys, runs)])
-        several = np.concatenate([k[len(r) :] for k, r in zip(keys, runs)])
-        values = np.concatenate(runs)
-        digit, lowest, highest = B.extremes_by_key(single, values)
-        differ = np.union1d(digit[lowest != highest], several)
-        out = []
-        for block, bucket, k in zip(pdf["block"], pdf["bucket"], keys):
-            own = np.intersect1d(k, differ)
-            if len(own):
-                out.append((block, 1, bucket, own.tobytes(), b""))
-        return B.packed_frame(out)
+        return B.smallest_elsewhere(pdf) if pdf["kind"].iloc[0] == 0 else runs_elsewhere(pdf)
 
     def undecided(runs: Runs, answers: pd.DataFrame):
         """Whether a run as a whole repeats from a smaller document; runs whose strings are looked at one by one."""
@@ -202,7 +201,7 @@ def repeated(documents: DataFrame, width: int = 50, bytes_each: int = 5 << 20) -
         return described(buffer, gone)
 
     parts = rows.groupBy("block")
-    answers1 = parts.applyInPandas(digits, B.PACKED).groupBy("bucket").applyInPandas(several, B.PACKED)
+    answers1 = parts.applyInPandas(digits, B.PACKED).groupBy("bucket").applyInPandas(digits_elsewhere, B.PACKED)
     second = parts.cogroup(answers1.groupBy("block")).applyInPandas(contexts, B.PACKED)
     answers2 = second.groupBy("kind", "bucket").applyInPandas(context_answers, B.PACKED)
     third = parts.cogroup(answers2.groupBy("block")).applyInPandas(strings, B.PACKED)

@@ -87,6 +87,48 @@ def _frame(rows):
     return pd.DataFrame({"doc_id": [i for i, _ in rows], "body": [t.encode() for _, t in rows]})
 
 
+def test_digits_fall_evenly_into_buckets():
+    rng = np.random.default_rng(7)
+    body = rng.integers(97, 123, 200_000, dtype=np.uint8).tobytes()
+    digits = np.unique(suffix.Runs(blocks.Buffer(_frame([(1, body.decode())])), 50).digit)
+    counts = np.bincount(blocks.bucket_of(digits, 32), minlength=32)
+    assert len(digits) > 5_000 and counts.max() < 1.5 * counts.mean()
+
+
+def test_answers_of_a_bucket():
+    """Against sets, cell by cell."""
+    rng = np.random.default_rng(6)
+    some = lambda n, most=600: np.unique(rng.integers(0, most, n))
+    once, many = [some(n) for n in (40, 0, 80, 3, 60)], [some(n, 900) for n in (5, 4, 0, 0, 9)]
+    once = [np.setdiff1d(o, m) for o, m in zip(once, many)]
+    cells = [(9 - b, 0, 3, o.astype(np.uint32).tobytes(), m.astype(np.uint32).tobytes()) for b, (o, m) in enumerate(zip(once, many))]
+    held = [set(o.tolist()) | set(m.tolist()) for o, m in zip(once, many)]
+    shared = {k for k in set().union(*held) if sum(k in h for h in held) > 1 or any(k in m for m in many)}
+    got = suffix.digits_elsewhere(blocks.packed_frame(cells))
+    assert {(r.block, r.bucket): set(np.frombuffer(r.keys, np.uint32).tolist()) for r in got.itertuples()} == {
+        (9 - b, 3): h & shared for b, h in enumerate(held) if h & shared
+    }
+    runs = [rng.integers(0, 2, len(o)).astype(np.uint64) for o in once]
+    cells = [(b, 1, 3, np.concatenate([o, m]).astype(np.uint32).tobytes(), r.tobytes()) for b, (o, m, r) in enumerate(zip(once, many, runs))]
+    of = {}
+    for o, m, r in zip(once, many, runs):
+        for k, v in [*zip(o.tolist(), r.tolist()), *((k, v) for k in m.tolist() for v in (-1, -2))]:
+            of.setdefault(k, set()).add(v)
+    want = {b: {k for k in h if len(of[k]) > 1} for b, h in enumerate(held)}
+    got = suffix.runs_elsewhere(blocks.packed_frame(cells))
+    assert {r.block: set(np.frombuffer(r.keys, np.uint32).tolist()) for r in got.itertuples()} == {b: w for b, w in want.items() if w}
+    ids = [rng.integers(0, 5, len(o)) for o in once]
+    least = {}
+    for o, i in zip(once, ids):
+        for k, v in zip(o.tolist(), i.tolist()):
+            least[k] = min(least.get(k, v), v)
+    cells = [(b, 2, 3, o.astype(np.uint64).tobytes(), i.astype(np.int64).tobytes()) for b, (o, i) in enumerate(zip(once, ids))]
+    got = blocks.smallest_elsewhere(blocks.packed_frame(cells))
+    assert {r.block: dict(zip(np.frombuffer(r.keys, np.uint64).tolist(), np.frombuffer(r.data, np.int64).tolist())) for r in got.itertuples()} == {
+        b: less for b, (o, i) in enumerate(zip(once, ids)) if (less := {k: least[k] for k, v in zip(o.tolist(), i.tolist()) if least[k] < v})
+    }
+
+
 def test_repeated_rows_and_no_rows(docs_of):
     row = (5, "one row twice " * 9)
     got = suffix.repeated(docs_of([row, row])).collect()
