@@ -159,11 +159,21 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def packed(block: int, buckets: int, keys: np.ndarray, *columns: np.ndarray, kind: int = 0) -> list[tuple]:
+def planes(numbers: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones: zeros of small numbers, and upper bytes of sorted ones,
+    stand together and take little room in an exchange."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def packed(block: int, buckets: int, keys: np.ndarray, *columns: np.ndarray, kind: int = 0, as_bytes=np.ndarray.tobytes) -> list[tuple]:
     """One row for each bucket: block, kind, bucket, keys and columns as bytes. Keys are sorted."""
     edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
     return [
-        (block, kind, b, keys[lo:hi].tobytes(), b"".join(c[lo:hi].tobytes() for c in columns))
+        (block, kind, b, as_bytes(keys[lo:hi]), b"".join(as_bytes(c[lo:hi]) for c in columns))
         for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:]))
         if hi > lo
     ]
@@ -178,9 +188,9 @@ def packed_frame(rows: list[tuple]) -> pd.DataFrame:
 
 def smallest_elsewhere(pdf: pd.DataFrame) -> pd.DataFrame:
     """Answers for one bucket of (key, smallest document of the block): for each block the keys whose
-    smallest document of all is smaller than its own."""
-    keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
-    ids = [np.frombuffer(d, np.int64) for d in pdf["data"]]
+    smallest document of all is smaller than its own. Both come and go as ``planes``."""
+    keys = [from_planes(k, np.uint64) for k in pdf["keys"]]
+    ids = [from_planes(d, np.int64) for d in pdf["data"]]
     all_keys, all_ids = np.concatenate(keys), np.concatenate(ids)
     order = np.argsort(all_keys)
     in_order = all_keys[order]
@@ -192,7 +202,7 @@ def smallest_elsewhere(pdf: pd.DataFrame) -> pd.DataFrame:
     for block, kind, bucket, k in zip(pdf["block"], pdf["kind"], pdf["bucket"], keys):
         mine, lo = slice(lo, lo + len(k)), lo + len(k)
         if less[mine].any():
-            out.append((block, kind, bucket, k[less[mine]].tobytes(), best[mine][less[mine]].tobytes()))
+            out.append((block, kind, bucket, planes(k[less[mine]]), planes(best[mine][less[mine]])))
     return packed_frame(out)
 
 
@@ -207,12 +217,12 @@ def those_of(cells: list[np.ndarray], shared: np.ndarray) -> list[np.ndarray]:
 
 
 def unpacked(pdf: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """The answers of one kind to a block, by sorted key."""
+    """The answers of one kind of ``smallest_elsewhere`` to a block, by sorted key."""
     pdf = pdf[pdf["kind"] == kind]
-    keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
-    data = np.frombuffer(b"".join(pdf["data"]), np.int64)
+    keys = np.concatenate([np.zeros(0, np.uint64), *(from_planes(k, np.uint64) for k in pdf["keys"])])
+    ids = np.concatenate([np.zeros(0, np.int64), *(from_planes(d, np.int64) for d in pdf["data"])])
     order = np.argsort(keys)
-    return keys[order], data[order] if len(data) else np.zeros(len(keys), np.int64)
+    return keys[order], ids[order]
 
 
 def sliced(part, column: str, size: int = 4 << 20):

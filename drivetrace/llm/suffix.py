@@ -151,7 +151,7 @@ def repeated(documents: DataFrame, width: int = 50, bytes_each: int = 5 << 20) -
         shared, own = shorts(answers), short(runs.digit)
         kept = B.looked_up(shared, np.ones(len(shared), bool), own, False)
         whole, least = B.least_by_key(runs.whole[kept], runs.ids[kept])
-        out = B.packed(key[0], buckets, whole, least, kind=0)
+        out = B.packed(key[0], buckets, whole, least, kind=0, as_bytes=B.planes)
         # Of each digit the one run, or that there are several: one run's hash for each single one.
         digit, lowest, highest = B.extremes_by_key(own[kept], runs.whole[kept])
         single = lowest == highest
@@ -182,7 +182,7 @@ def repeated(documents: DataFrame, width: int = 50, bytes_each: int = 5 << 20) -
         runs = Runs(buffer, width)
         _, ids, hashes = _windows(buffer, runs, undecided(runs, answers)[1], width)
         keys, least = B.least_by_key(hashes, ids)
-        return B.packed_frame(B.packed(key[0], buckets, keys, least, kind=2))
+        return B.packed_frame(B.packed(key[0], buckets, keys, least, kind=2, as_bytes=B.planes))
 
     def kept(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):

@@ -122,9 +122,9 @@ def test_answers_of_a_bucket():
     for o, i in zip(once, ids):
         for k, v in zip(o.tolist(), i.tolist()):
             least[k] = min(least.get(k, v), v)
-    cells = [(b, 2, 3, o.astype(np.uint64).tobytes(), i.astype(np.int64).tobytes()) for b, (o, i) in enumerate(zip(once, ids))]
+    cells = [(b, 2, 3, blocks.planes(o.astype(np.uint64)), blocks.planes(i.astype(np.int64))) for b, (o, i) in enumerate(zip(once, ids))]
     got = blocks.smallest_elsewhere(blocks.packed_frame(cells))
-    assert {r.block: dict(zip(np.frombuffer(r.keys, np.uint64).tolist(), np.frombuffer(r.data, np.int64).tolist())) for r in got.itertuples()} == {
+    assert {b: dict(zip(*(x.tolist() for x in blocks.unpacked(got[got["block"] == b], 2)))) for b in got["block"]} == {
         b: less for b, (o, i) in enumerate(zip(once, ids)) if (less := {k: least[k] for k, v in zip(o.tolist(), i.tolist()) if least[k] < v})
     }
 
